@@ -1,0 +1,3 @@
+"""SQL that gives the rows of the graph queries in DuckDB."""
+
+ORACLES: dict[str, str] = {}
