@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphspan.llm import substring_dedup
+from graphspan.llm import simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1,
+    "op2_simhash": simhash.op2,
 }
 
 ORACLES: dict[str, str] = {}
