@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphspan.llm import simhash, substring_dedup
+from graphspan.llm import decontaminate, language_id, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1,
     "op2_simhash": simhash.op2,
+    "op4_decontaminate": decontaminate.op4,
+    "op6_language_id": language_id.op6,
 }
 
 ORACLES: dict[str, str] = {}
