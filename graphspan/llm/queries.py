@@ -6,13 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphspan.llm import decontaminate, language_id, simhash, substring_dedup
+from graphspan.llm import (
+    archives,
+    cover_tree,
+    decontaminate,
+    language_id,
+    lm_scoring,
+    packing,
+    simhash,
+    substring_dedup,
+    token_counts,
+    training_order,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1,
     "op2_simhash": simhash.op2,
+    "op3_packing": packing.op3,
     "op4_decontaminate": decontaminate.op4,
+    "op5_training_order": training_order.op5,
     "op6_language_id": language_id.op6,
+    "op7_archives": archives.op7,
+    "op8_token_counts": token_counts.op8,
+    "op9_cover_tree": cover_tree.op9,
+    "op10_lm_scoring": lm_scoring.op10,
 }
 
 ORACLES: dict[str, str] = {}
