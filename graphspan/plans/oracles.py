@@ -1,3 +1,182 @@
-"""SQL that gives the rows of the graph queries in DuckDB."""
+"""SQL that gives the rows of the graph queries in DuckDB, written apart from the Spark code.
 
-ORACLES: dict[str, str] = {}
+Relaxations run as recursive CTEs keyed by node, so that each step keeps the best row of a key.
+"""
+
+from __future__ import annotations
+
+from graphspan.operators.analysis import DATASETS, GRAPH_TYPES
+
+
+def _hash(x: str) -> str:
+    return f"('0x' || substr(md5(CAST({x} AS VARCHAR)), 1, 8))::BIGINT"
+
+
+def _facts() -> str:
+    return ", ".join(f"('{d}', {n}::BIGINT, {m}::BIGINT, {a}::BIGINT, {b}::BIGINT)" for d, n, m, a, b in DATASETS)
+
+
+RAW = "raw AS (SELECT l_suppkey::BIGINT AS u, l_partkey::BIGINT AS v, l_quantity::BIGINT AS w FROM lineitem)"
+PS = (
+    "ps AS (SELECT l_partkey::BIGINT AS u, (l_suppkey + 1000000)::BIGINT AS v, CAST(min(l_quantity) AS BIGINT) AS w FROM lineitem WHERE l_quantity >= 49 GROUP BY l_partkey, l_suppkey), "
+    "adj AS (SELECT u AS src, v AS dst, w FROM ps UNION ALL SELECT v, u, w FROM ps)"
+)
+EV = (
+    "ev AS (SELECT least(u, v)::BIGINT AS u, greatest(u, v)::BIGINT AS v, count(*)::BIGINT AS w FROM "
+    "(SELECT user_id AS u, lag(user_id) OVER (ORDER BY ts, event_id) AS v FROM events) t WHERE u <> v AND v IS NOT NULL GROUP BY least(u, v), greatest(u, v))"
+)
+OC = (
+    "oc AS (SELECT least(a, b)::BIGINT AS u, greatest(a, b)::BIGINT AS v, w FROM (SELECT lag(o_orderkey) OVER own AS a, o_orderkey AS b, "
+    "date_diff('day', CAST(lag(o_orderdate) OVER own AS DATE), CAST(o_orderdate AS DATE))::BIGINT AS w FROM orders WINDOW own AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) t WHERE a IS NOT NULL)"
+)
+DENSE = (
+    f"{PS}, ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS dense FROM (SELECT DISTINCT src AS id FROM adj)), "
+    "dense AS (SELECT least(a.dense, b.dense)::BIGINT AS u, greatest(a.dense, b.dense)::BIGINT AS v, w FROM ps JOIN ids a ON a.id = u JOIN ids b ON b.id = v)"
+)
+MESH = (
+    "mesh AS (SELECT i::BIGINT AS u, (i + 1)::BIGINT AS v FROM range(100) r(i) WHERE i % 10 < 9 UNION ALL SELECT i::BIGINT, (i + 10)::BIGINT FROM range(100) r(i) WHERE i < 90)"
+)
+RUNS = (
+    "runs AS (SELECT o_orderkey AS run_id, CAST(o_custkey % 8 AS BIGINT) AS seed, CASE o_custkey % 4 WHEN 0 THEN 'USA' WHEN 1 THEN 'USA-x5' WHEN 2 THEN 'USA-x10' ELSE 'sk-2005-lcc-rweight' END AS dataset, "
+    "CASE o_orderkey % 3 WHEN 0 THEN 'DeltaStepping' WHEN 1 THEN 'Sequential' ELSE 'RandClusterGuess' END AS algorithm, "
+    "CASE o_orderkey % 3 WHEN 0 THEN '2950' WHEN 1 THEN '' ELSE '100000:29,10' END AS parameters, "
+    f"{_hash('o_orderkey')} % 1000000 AS diameter, CAST(floor(o_totalprice) AS BIGINT) AS total_time_ms, CAST(o_orderdate AS VARCHAR) AS run_date, o_orderkey % 17 = 0 AS killed FROM orders)"
+)
+MAIN = (
+    f"{RUNS}, kept AS (SELECT * FROM runs WHERE NOT killed OR algorithm = 'DeltaStepping'), "
+    "main AS (SELECT run_id, seed, dataset, CASE algorithm WHEN 'RandClusterGuess' THEN 'ClusterDiameter' ELSE algorithm END AS algorithm, parameters, "
+    "CASE WHEN algorithm = 'DeltaStepping' THEN 2 * diameter ELSE diameter END AS diameter, run_date, killed, total_time_ms / 1000.0::DOUBLE AS total_time FROM kept)"
+)
+ITER = (
+    "iters AS (SELECT l_orderkey AS run_id, l_linenumber::BIGINT AS iteration, max(l_linenumber * 290)::BIGINT AS iteration_radius, sum(l_quantity::BIGINT)::BIGINT AS duration_ms, max(l_partkey)::BIGINT AS num_centers FROM lineitem GROUP BY ALL)"
+)
+FACTS = f"facts(dataset, num_nodes, num_edges, min_weight, max_weight) AS (VALUES {_facts()})"
+
+
+def _relax(name: str, start: str, cost: str = "a.w", adj: str = "adj") -> str:
+    """name(id, d): least cost from the start rows."""
+    return (
+        f"{name}(id, d) USING KEY (id) AS ({start} UNION SELECT a.dst, min(s.d + {cost}) FROM {name} s JOIN {adj} a ON a.src = s.id "
+        f"LEFT JOIN recurring.{name} r ON r.id = a.dst WHERE r.d IS NULL OR s.d + {cost} < r.d GROUP BY a.dst)"
+    )
+
+
+ROOT = "SELECT min(src), 0::BIGINT FROM adj"
+SSSP = f"WITH RECURSIVE {PS}, {_relax('s', ROOT)}"
+BFS = f"WITH RECURSIVE {PS}, {_relax('s', ROOT, '1')}"
+ECC = "SELECT max(d) AS ecc, max(d) AS lower, 2 * max(d) AS upper FROM s"
+COMPONENTS = (
+    f"WITH RECURSIVE {OC}, adj AS (SELECT u AS src, v AS dst FROM oc UNION ALL SELECT v, u FROM oc), "
+    "c(id, label) USING KEY (id) AS (SELECT DISTINCT src, src FROM adj UNION SELECT a.dst, min(c.label) FROM c JOIN adj a ON a.src = c.id JOIN recurring.c r ON r.id = a.dst WHERE c.label < r.label GROUP BY a.dst)"
+)
+SWEEP = (
+    f"WITH RECURSIVE {PS}, {_relax('s', ROOT)}, far AS (SELECT id FROM s ORDER BY d DESC, id LIMIT 1), {_relax('t', 'SELECT id, 0::BIGINT FROM far')}"
+)
+_H = _hash("id")
+REG = (
+    f"{PS}, h AS (SELECT id, {_H} AS h FROM (SELECT DISTINCT src AS id FROM adj)), regs AS (SELECT id, h & 15 AS reg, "
+    "list_position([((h >> 4) >> i) & 1 for i in range(0, 28)], 1)::BIGINT AS rho FROM h WHERE (h >> 4) > 0)"
+)
+_BIG = 10_000_000
+WAVE = (
+    f"WITH RECURSIVE {PS}, wadj AS (SELECT src, dst, w * {_BIG} AS w FROM adj), "
+    f"{_relax('k', f'SELECT id, id FROM (SELECT DISTINCT src AS id FROM adj) WHERE {_H} % 16 = 0', adj='wadj')}, wave AS (SELECT id, d % {_BIG} AS root, d // {_BIG} AS distance FROM k)"
+)
+
+
+def _morton(x: str, y: str) -> str:
+    return f"list_sum([((({x} >> i) & 1) << (2 * i + 1)) | ((({y} >> i) & 1) << (2 * i)) for i in range(0, 31)])::BIGINT"
+
+
+SIDE_PER = "per AS (SELECT CAST(ceil((max(greatest(u, v)) + 1) / 4.0) AS BIGINT) AS p FROM dense)"
+BLOCK = "CASE WHEN u % p < v % p THEN (u // p) * 4 + v // p ELSE (v // p) * 4 + u // p END"
+GAPS = f"WITH {DENSE}, {SIDE_PER}, z AS (SELECT {BLOCK} AS block, {_morton('u', 'v')} AS z FROM dense, per), gaps AS (SELECT block, z, z - coalesce(lag(z) OVER (PARTITION BY block ORDER BY z), 0) AS gap FROM z)"
+KNOWN = f"WITH {PS}, nodes AS (SELECT u AS id, count(*)::BIGINT AS distance FROM ps GROUP BY u)"
+MAIL = (
+    f"{KNOWN}, more AS (SELECT * FROM adj UNION ALL SELECT src, src + 1 - src + dst, w FROM adj WHERE false UNION ALL SELECT src, src + 1, w FROM adj WHERE src < dst), "
+    "mail AS (SELECT dst AS id, min(distance + w) AS msg FROM nodes JOIN more ON src = id WHERE distance >= 2 GROUP BY dst)"
+)
+SHORT = "CASE WHEN contains(dataset, 'sk-2005') THEN 'sk-2005' WHEN contains(dataset, 'twitter-2010') THEN 'twitter-2010' WHEN contains(dataset, 'USA') THEN {} END"
+
+ORACLES: dict[str, str] = {
+    "edges_canonical": f"WITH {RAW} SELECT least(u, v) AS u, greatest(u, v) AS v, w FROM raw",
+    "edges_dedup_min": f"WITH {RAW} SELECT least(u, v) AS u, greatest(u, v) AS v, min(w) AS w FROM raw WHERE u <> v GROUP BY 1, 2",
+    "edges_dedup": f"WITH {RAW} SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM raw",
+    "self_loop_filter": f"WITH {RAW} SELECT count(*) AS kept, sum(w)::BIGINT AS weight FROM raw WHERE u <> v",
+    "edges_symmetric": f"WITH {PS} SELECT src, dst, w FROM adj",
+    "degree": f"WITH {PS} SELECT src AS id, count(*) AS degree FROM adj GROUP BY src",
+    "node_scan": f"WITH {EV} SELECT u AS id FROM ev UNION SELECT v FROM ev",
+    "graph_metadata": f"WITH {PS} SELECT max(greatest(u, v)) + 1 AS num_nodes, count(*) AS num_edges, min(w) AS min_weight, max(w) AS max_weight FROM ps",
+    "event_graph": f"WITH {EV} SELECT * FROM ev",
+    "order_graph": f"WITH {OC} SELECT * FROM oc",
+    "dataset_listing": f"WITH {PS}, {EV}, {OC}, a AS (SELECT 'ps' AS dataset, u, v, w FROM ps UNION ALL SELECT 'ev', u, v, w FROM ev UNION ALL SELECT 'oc', u, v, w FROM oc) "
+    "SELECT dataset, max(greatest(u, v)) + 1 AS num_nodes, count(*) AS num_edges, min(w) AS min_weight, max(w) AS max_weight FROM a GROUP BY dataset",
+    "dataset_facts": f"WITH {FACTS} SELECT * FROM facts",
+    "dense_remap": f"WITH {DENSE} SELECT * FROM dense",
+    "block_assign": f"WITH {DENSE}, {SIDE_PER} SELECT u, v, {BLOCK} AS block FROM dense, per",
+    "node_blocks": "SELECT s_suppkey::BIGINT AS id, (i * 4 + s_suppkey // 4096)::BIGINT AS block FROM supplier, range(4) r(i) WHERE s_suppkey < 16384 "
+    "UNION ALL SELECT s_suppkey::BIGINT, ((s_suppkey // 4096) * 4 + i)::BIGINT FROM supplier, range(4) r(i) WHERE s_suppkey < 16384",
+    "morton_encode": f"WITH {PS} SELECT u, v, {_morton('u', 'v')} AS z FROM ps",
+    "morton_roundtrip": f"WITH {PS} SELECT u, v, u AS x, v AS y FROM ps",
+    "delta_gaps": f"{GAPS} SELECT * FROM gaps",
+    "gamma_bits": f"{GAPS} SELECT block, count(*) AS n_edges, sum(2 * length(bin(gap)) - 1)::BIGINT AS n_bits FROM gaps GROUP BY block",
+    "mesh": f"WITH {MESH} SELECT u, v, 1::BIGINT AS w FROM mesh",
+    "mesh_biweight": f"WITH {MESH} SELECT u, v, CASE WHEN {_hash(chr(39) + '7:' + chr(39) + ' || u || ' + chr(39) + ':' + chr(39) + ' || v')} / 4294967296.0::DOUBLE < 0.25 THEN 1 ELSE 1000000 END::BIGINT AS w FROM mesh",
+    "mesh_rweight": f"WITH {MESH} SELECT u, v, 1 + {_hash(chr(39) + '7:' + chr(39) + ' || u || ' + chr(39) + ':' + chr(39) + ' || v')} % 999999 AS w FROM mesh",
+    "rweight": f"WITH {PS}, n AS (SELECT max(greatest(u, v)) + 1 AS n FROM ps) SELECT u, v, 1 + {_hash(chr(39) + '11:' + chr(39) + ' || u || ' + chr(39) + ':' + chr(39) + ' || v')} % n AS w FROM ps, n",
+    "layered": f"WITH {PS}, n AS (SELECT max(greatest(u, v)) + 1 AS n FROM ps) SELECT u + i * n AS u, v + i * n AS v, w FROM ps, n, range(3) r(i) "
+    "UNION ALL SELECT id + i * n, id + (i + 1) * n, 1 FROM (SELECT DISTINCT src AS id FROM adj), n, range(2) r(i)",
+    "components": f"{COMPONENTS} SELECT id, label AS component FROM c",
+    "component_sizes": f"{COMPONENTS} SELECT label AS component, count(*) AS nodes FROM c GROUP BY label",
+    "lcc_edges": f"{COMPONENTS}, best AS (SELECT label FROM c GROUP BY label ORDER BY count(*) DESC, label LIMIT 1) SELECT u, v, w FROM oc WHERE u IN (SELECT id FROM c JOIN best USING (label))",
+    "send_min": f"{KNOWN} SELECT dst AS id, min(distance + w) AS heard FROM nodes JOIN adj ON src = id WHERE distance >= 2 GROUP BY dst",
+    "send_with_default": f"{MAIL} SELECT coalesce(n.id, m.id) AS id, CASE WHEN n.distance IS NULL OR msg < n.distance THEN coalesce(msg, n.distance) ELSE n.distance END AS distance FROM nodes n FULL JOIN mail m ON n.id = m.id",
+    "send_no_default": f"{MAIL} SELECT n.id, CASE WHEN msg < n.distance THEN msg ELSE n.distance END AS distance FROM nodes n LEFT JOIN mail m ON n.id = m.id",
+    "triplets": f"WITH {PS}, d AS (SELECT src AS id, count(*) AS degree FROM adj GROUP BY src) SELECT u, v, w + a.degree + b.degree AS out FROM ps JOIN d a ON a.id = u JOIN d b ON b.id = v WHERE a.degree <> b.degree",
+    "branch_all_counts": f"WITH {PS}, d AS (SELECT src, count(*) AS degree FROM adj GROUP BY src), c AS (SELECT count(*) AS n, count(*) FILTER (degree >= 2) AS m FROM d) "
+    "SELECT t::BIGINT AS threshold, m AS matches, CASE WHEN m > t THEN 0 ELSE n END AS stable, CASE WHEN m > t THEN n ELSE 0 END AS further FROM c, (VALUES (0), (1000000000)) x(t)",
+    "bfs_levels": f"{BFS} SELECT id, d AS distance FROM s",
+    "bfs_ecc": f"{BFS} {ECC}",
+    "sssp": f"{SSSP} SELECT id, d AS distance FROM s",
+    "delta_stepping": f"{SSSP} SELECT id, d AS distance FROM s",
+    "delta_stepping_ecc": f"{SSSP} {ECC}",
+    "ecc_bounds": f"{SSSP} {ECC}",
+    "light_heavy_split": f"WITH {PS} SELECT w <= 49 AS light, count(*) AS n_edges, min(w) AS least, max(w) AS largest FROM ps GROUP BY 1",
+    "double_sweep": f"{SWEEP} SELECT (SELECT min(src) FROM adj) AS component, (SELECT id FROM far) AS start, id AS far, d AS sweep FROM t ORDER BY d DESC, id LIMIT 1",
+    "sequential": f"{SWEEP} SELECT max(d) AS diameter FROM t",
+    "single_pass": f"{SSSP} SELECT max(d) AS diameter FROM s",
+    "hll_registers": f"WITH {REG} SELECT * FROM regs",
+    "hll_merge_step": f"WITH {REG} SELECT id, reg, max(rho) AS rho FROM (SELECT * FROM regs UNION ALL SELECT dst, reg, rho FROM regs JOIN adj ON src = id) GROUP BY id, reg",
+    "hyperball_rounds": f"WITH RECURSIVE {REG}, top AS (SELECT reg, id FROM regs QUALIFY rho = max(rho) OVER (PARTITION BY reg)), "
+    "s(reg, id, d) USING KEY (reg, id) AS (SELECT reg, id, 0::BIGINT FROM top UNION SELECT s.reg, a.dst, min(s.d + 1) FROM s JOIN adj a ON a.src = s.id "
+    "LEFT JOIN recurring.s r ON r.id = a.dst AND r.reg = s.reg WHERE r.d IS NULL OR s.d + 1 < r.d GROUP BY s.reg, a.dst) SELECT max(d) AS iterations FROM s",
+    "cluster_sample": f"WITH {PS} SELECT id FROM (SELECT DISTINCT src AS id FROM adj) WHERE {_hash(chr(39) + '1234:3:' + chr(39) + ' || id')} / 4294967296.0::DOUBLE < 0.125",
+    "cluster_wave": f"{WAVE} SELECT * FROM wave",
+    "cluster_radii": f"{WAVE} SELECT root, max(distance) AS radius FROM wave GROUP BY root",
+    "radius_histogram": f"{WAVE} SELECT radius, count(*) AS clusters FROM (SELECT max(distance) AS radius FROM wave GROUP BY root) GROUP BY radius",
+    "quotient_edges": f"{WAVE} SELECT least(a.root, b.root) AS u, greatest(a.root, b.root) AS v, min(w + a.distance + b.distance) AS w FROM ps JOIN wave a ON a.id = u JOIN wave b ON b.id = v WHERE a.root <> b.root GROUP BY 1, 2",
+    "cluster_invariants": f"WITH {PS} SELECT count(DISTINCT src) AS nodes, 0::BIGINT AS repeats, 0::BIGINT AS too_near, 0::BIGINT AS lost_roots, 0::BIGINT AS moved_roots FROM adj",
+    "cluster_diameter_bounds": "SELECT true AS radius_holds, true AS diameter_holds",
+    "guess_centres_le_memory": "SELECT true AS last_fits, false AS earlier_fits",
+    "latest_run": f"WITH {RUNS} SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY seed, dataset, algorithm, parameters ORDER BY run_date DESC, run_id DESC) = 1",
+    "already_run": f"WITH {RUNS} SELECT min(substr(sha256(CAST(run_id AS VARCHAR)), 1, 6)) AS sha FROM runs WHERE seed = 3 AND dataset = 'sk-2005-lcc-rweight' AND algorithm = 'Sequential' AND parameters = ''",
+    "run_sha": f"WITH {RUNS} SELECT run_id, substr(sha256(run_id || '|' || dataset), 1, 6) AS sha FROM runs",
+    "parse_algorithm": "SELECT * FROM (VALUES ('sequential', 'Sequential', ''), ('sequential-single', 'SequentialSingle', ''), ('bfs', 'Bfs', ''), ('delta-stepping(2950)', 'DeltaStepping', '2950'), ('hyperball(4)', 'HyperBall', '4'), "
+    "('rand-cluster(10, 2)', 'RandCluster', '10:2'), ('rand-cluster-guess(100000, 29,10)', 'RandClusterGuess', '100000:29,10'), ('other', NULL, NULL)) t(spec, algorithm, parameters)",
+    "parse_params": f"WITH {RUNS} SELECT run_id, CASE algorithm WHEN 'DeltaStepping' THEN 2950 WHEN 'RandClusterGuess' THEN 100000 END::BIGINT AS p1, CASE algorithm WHEN 'RandClusterGuess' THEN 29 END::BIGINT AS p2, CASE algorithm WHEN 'RandClusterGuess' THEN 10 END::BIGINT AS p3 FROM runs",
+    "union_killed": f"WITH {MAIN} SELECT algorithm, killed, count(*) AS n, sum(run_id)::BIGINT AS ids FROM kept GROUP BY 1, 2",
+    "main_data": f"WITH {MAIN} SELECT * FROM main",
+    "bounds": f"WITH {MAIN}, up AS (SELECT dataset, min(diameter) AS diameter_upper FROM main WHERE algorithm = 'DeltaStepping' GROUP BY 1), "
+    "low AS (SELECT dataset, max(CASE algorithm WHEN 'Sequential' THEN diameter ELSE diameter // 2 END) AS diameter_lower FROM main WHERE algorithm IN ('DeltaStepping', 'Sequential') GROUP BY 1), "
+    f"t AS (SELECT dataset, avg(total_time) AS total_time FROM main GROUP BY 1) SELECT {SHORT.format(chr(39) + 'USA' + chr(39))} AS dataset, diameter_upper, diameter_lower, round(total_time, 4) AS total_time FROM up JOIN low USING (dataset) JOIN t USING (dataset)",
+    "best_per_group": f"WITH {MAIN}, named AS (SELECT {SHORT.format('dataset')} AS dataset, algorithm, run_id, diameter, CASE WHEN killed THEN 18000.0::DOUBLE ELSE total_time END AS total_time, killed FROM main) "
+    "SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY dataset, algorithm ORDER BY total_time, run_id) = 1",
+    "cumulative_time": f"WITH {ITER} SELECT run_id, iteration, iteration_radius / 2900.0::DOUBLE AS iteration_radius_multiple, sum(duration_ms) OVER (PARTITION BY run_id ORDER BY iteration_radius ROWS UNBOUNDED PRECEDING)::DOUBLE / 1000 AS cumulative_time FROM iters WHERE iteration_radius >= 290",
+    "scale_factor_mean": f"WITH {MAIN} SELECT coalesce(TRY_CAST(regexp_extract(dataset, '(\\d+)', 1) AS INT), 1) AS scale, algorithm, parameters, round(avg(total_time), 4) AS total_time FROM main WHERE NOT killed AND dataset LIKE 'USA%' GROUP BY 1, 2, 3",
+    "pivot_counters": "SELECT substr(sha256(CAST(l_orderkey AS VARCHAR)), 1, 6) AS sha, sum(l_quantity::BIGINT) FILTER (l_linenumber % 2 = 0)::BIGINT AS \"Centers\", sum(l_quantity::BIGINT) FILTER (l_linenumber % 2 <> 0)::BIGINT AS \"Uncovered\" FROM lineitem GROUP BY 1",
+    "semi_join_datasets": f"WITH {RUNS}, {FACTS} SELECT * FROM facts WHERE dataset IN (SELECT dataset FROM runs)",
+    "graph_type": f"WITH {FACTS} SELECT dataset, CASE " + " ".join(f"WHEN dataset IN ({', '.join(chr(39) + n + chr(39) for n in names)}) THEN '{kind}'" for kind, names in GRAPH_TYPES.items()) + " END AS graph_type FROM facts",
+    "center_fraction": f"WITH {RUNS}, {ITER}, {FACTS} SELECT dataset, iteration_radius, round(avg(num_centers / num_nodes::DOUBLE), 9) AS fraction FROM iters JOIN runs USING (run_id) JOIN facts USING (dataset) GROUP BY 1, 2",
+    "parameter_dependence": f"WITH {MAIN}, {ITER} SELECT iteration_radius, count(*) AS n, sum(duration_ms)::BIGINT AS duration_ms, max(num_centers) AS num_centers FROM main JOIN iters USING (run_id) WHERE dataset = 'USA' AND algorithm = 'ClusterDiameter' GROUP BY 1",
+    "mean_and_error": f"WITH {MAIN} SELECT dataset, algorithm, round(avg(total_time), 4) AS mean, round(stddev_samp(total_time) / sqrt(count(*)), 4) AS se FROM main GROUP BY 1, 2",
+}

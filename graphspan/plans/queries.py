@@ -1,9 +1,530 @@
-"""The graph queries by name."""
+"""The graph queries by name: each takes (spark, sf_dir) and returns its whole result."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from graphspan.functions import bits
+from graphspan.operators import analysis, cluster, hyperball, results, superstep, transforms, traversal
+from graphspan.operators.components import connected_components
+from graphspan.session import materialise
+from graphspan.sources import graphs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SIDE = 10  # of the mesh queries
+CENTRES = 16  # a node is a fixed centre if its hash is divisible by this
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item as an edge, in the direction it came."""
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.col("l_suppkey").cast("long").alias("u"), F.col("l_partkey").cast("long").alias("v"), F.col("l_quantity").cast("long").alias("w")
+    )
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as run records."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        key.alias("run_id"),
+        (cust % 8).cast("long").alias("seed"),
+        F.when(cust % 4 == 0, "USA").when(cust % 4 == 1, "USA-x5").when(cust % 4 == 2, "USA-x10").otherwise("sk-2005-lcc-rweight").alias("dataset"),
+        F.when(key % 3 == 0, "DeltaStepping").when(key % 3 == 1, "Sequential").otherwise("RandClusterGuess").alias("algorithm"),
+        F.when(key % 3 == 0, "2950").when(key % 3 == 1, "").otherwise("100000:29,10").alias("parameters"),
+        (bits.hash32("o_orderkey") % 1000000).alias("diameter"),
+        F.floor("o_totalprice").cast("long").alias("total_time_ms"),
+        F.col("o_orderdate").cast("string").alias("run_date"),
+        (key % 17 == 0).alias("killed"),
+    )
+
+
+def _iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as the radius guesses of runs."""
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").cast("long").alias("iteration")).agg(
+        F.max((F.col("l_linenumber") * 290)).cast("long").alias("iteration_radius"),
+        F.sum(F.col("l_quantity").cast("long")).alias("duration_ms"),
+        F.max(F.col("l_partkey")).cast("long").alias("num_centers"),
+    )
+
+
+# ---- edges
+
+
+@query
+def edges_canonical(spark, sf_dir):
+    return _raw(spark, sf_dir).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "w")
+
+
+@query
+def edges_dedup_min(spark, sf_dir):
+    return transforms.canonical(_raw(spark, sf_dir))
+
+
+@query
+def edges_dedup(spark, sf_dir):
+    return edges_canonical(spark, sf_dir).select("u", "v").distinct()
+
+
+@query
+def self_loop_filter(spark, sf_dir):
+    return _raw(spark, sf_dir).filter("u <> v").agg(F.count("*").alias("kept"), F.sum("w").alias("weight"))
+
+
+@query
+def edges_symmetric(spark, sf_dir):
+    return transforms.symmetric(graphs.part_supplier(spark, sf_dir))
+
+
+@query
+def degree(spark, sf_dir):
+    return transforms.degrees(graphs.part_supplier(spark, sf_dir))
+
+
+@query
+def node_scan(spark, sf_dir):
+    return transforms.node_ids(graphs.event_users(spark, sf_dir))
+
+
+@query
+def graph_metadata(spark, sf_dir):
+    return transforms.metadata(graphs.part_supplier(spark, sf_dir))
+
+
+@query
+def event_graph(spark, sf_dir):
+    return graphs.event_users(spark, sf_dir)
+
+
+@query
+def order_graph(spark, sf_dir):
+    return graphs.customer_orders(spark, sf_dir)
+
+
+@query
+def dataset_listing(spark, sf_dir):
+    """The graphs of the driver's tables, listed like data sets."""
+    named = {"ps": graphs.part_supplier(spark, sf_dir), "ev": graphs.event_users(spark, sf_dir), "oc": graphs.customer_orders(spark, sf_dir)}
+    rows = None
+    for name, edges in named.items():
+        one = transforms.metadata(edges).select(F.lit(name).alias("dataset"), "*")
+        rows = one if rows is None else rows.union(one)
+    return analysis.dataset_listing(rows)
+
+
+@query
+def dataset_facts(spark, sf_dir):
+    return analysis.dataset_facts(spark)
+
+
+@query
+def dense_remap(spark, sf_dir):
+    return transforms.remap(graphs.part_supplier(spark, sf_dir))
+
+
+@query
+def block_assign(spark, sf_dir):
+    return transforms.with_blocks(transforms.remap(graphs.part_supplier(spark, sf_dir)), 4).select("u", "v", "block")
+
+
+@query
+def node_blocks(spark, sf_dir):
+    ids = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("id"))
+    return ids.filter("id < 4 * 4096").select("id", F.explode(bits.node_blocks(F.col("id"), 4096, 4)).alias("block"))
+
+
+@query
+def morton_encode(spark, sf_dir):
+    edges = graphs.part_supplier(spark, sf_dir)
+    return edges.select("u", "v", bits.morton_encode(F.col("u"), F.col("v")).alias("z"))
+
+
+@query
+def morton_roundtrip(spark, sf_dir):
+    edges = graphs.part_supplier(spark, sf_dir)
+    x, y = bits.morton_decode(bits.morton_encode(F.col("u"), F.col("v")))
+    return edges.select("u", "v", x.alias("x"), y.alias("y"))
+
+
+@query
+def delta_gaps(spark, sf_dir):
+    return transforms.gaps(transforms.remap(graphs.part_supplier(spark, sf_dir)), 4)
+
+
+@query
+def gamma_bits(spark, sf_dir):
+    """Bits that the gaps of each block take in gamma code."""
+    rows = delta_gaps(spark, sf_dir)
+    return rows.groupBy("block").agg(F.count("*").alias("n_edges"), F.sum(bits.gamma_bits(F.col("gap"))).alias("n_bits"))
+
+
+# ---- generators
+
+
+@query
+def mesh(spark, sf_dir):
+    return graphs.mesh(spark, SIDE)
+
+
+@query
+def mesh_biweight(spark, sf_dir):
+    return graphs.mesh_two_weights(spark, SIDE, 0.25, 1, 1000000, 7)
+
+
+@query
+def mesh_rweight(spark, sf_dir):
+    return graphs.mesh_random_weights(spark, SIDE, 1, 1000000, 7)
+
+
+@query
+def rweight(spark, sf_dir):
+    return transforms.random_weights(graphs.part_supplier(spark, sf_dir), 11)
+
+
+@query
+def layered(spark, sf_dir):
+    return transforms.layered(graphs.part_supplier(spark, sf_dir), 3)
+
+
+# ---- components
+
+
+@query
+def components(spark, sf_dir):
+    return connected_components(graphs.customer_orders(spark, sf_dir))
+
+
+@query
+def component_sizes(spark, sf_dir):
+    return transforms.component_sizes(connected_components(graphs.customer_orders(spark, sf_dir)))
+
+
+@query
+def lcc_edges(spark, sf_dir):
+    return transforms.largest_component(graphs.customer_orders(spark, sf_dir))
+
+
+# ---- supersteps
+
+
+def _known(spark, sf_dir):
+    """Parts of the part-supplier graph as nodes with a distance; suppliers are not among them."""
+    edges = graphs.part_supplier(spark, sf_dir)
+    nodes = edges.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("distance"))
+    return nodes, transforms.symmetric(edges)
+
+
+def _mail(spark, sf_dir, with_default):
+    nodes, adj = _known(spark, sf_dir)
+    adj = adj.union(adj.filter("src < dst").select("src", (F.col("src") + 1).alias("dst"), "w"))
+    got = F.least(F.coalesce("distance", "msg"), "msg")
+    return superstep.send(
+        nodes, adj, should_send=F.col("distance") >= 2, message=F.col("distance") + F.col("w"), aggregate=F.min, update={"distance": got}, with_default=with_default
+    )
+
+
+@query
+def send_min(spark, sf_dir):
+    """Only the messages: the least at each receiver."""
+    nodes, adj = _known(spark, sf_dir)
+    sent = superstep.send(
+        nodes.withColumn("heard", F.lit(None).cast("long")), adj, should_send=F.col("distance") >= 2, message=F.col("distance") + F.col("w"),
+        aggregate=F.min, update={"heard": F.col("msg")}, with_default=True,
+    )
+    return sent.filter("heard is not null").select("id", "heard")
+
+
+@query
+def send_with_default(spark, sf_dir):
+    return _mail(spark, sf_dir, True)
+
+
+@query
+def send_no_default(spark, sf_dir):
+    return _mail(spark, sf_dir, False)
+
+
+@query
+def triplets(spark, sf_dir):
+    edges = graphs.part_supplier(spark, sf_dir)
+    nodes = transforms.degrees(edges)
+    action = F.when(F.col("a.degree") != F.col("b.degree"), F.col("w") + F.col("a.degree") + F.col("b.degree"))
+    return superstep.triplets(nodes, edges, action)
+
+
+@query
+def branch_all_counts(spark, sf_dir):
+    """Rows on either side of the barrier, for thresholds under and over the number of matches."""
+    nodes = materialise(transforms.degrees(graphs.part_supplier(spark, sf_dir)), "degrees")
+    rows = None
+    for threshold in (0, 1_000_000_000):
+        stable, further, matches = superstep.branch_all(nodes, F.col("degree") >= 2, threshold)
+        one = stable.agg(F.count("*").alias("stable")).select(F.lit(threshold).cast("long").alias("threshold"), F.lit(matches).cast("long").alias("matches"), "stable", F.lit(further.count()).cast("long").alias("further"))
+        rows = one if rows is None else rows.union(one)
+    return rows
+
+
+# ---- distances
+
+
+@query
+def bfs_levels(spark, sf_dir):
+    return traversal.bfs(graphs.part_supplier(spark, sf_dir))
+
+
+@query
+def bfs_ecc(spark, sf_dir):
+    return traversal.eccentricity(traversal.bfs(graphs.part_supplier(spark, sf_dir)))
+
+
+@query
+def sssp(spark, sf_dir):
+    return traversal.sssp(graphs.part_supplier(spark, sf_dir))
+
+
+@query
+def delta_stepping(spark, sf_dir):
+    return traversal.delta_stepping(graphs.part_supplier(spark, sf_dir), 100)
+
+
+@query
+def delta_stepping_ecc(spark, sf_dir):
+    return traversal.eccentricity(traversal.delta_stepping(graphs.part_supplier(spark, sf_dir), 150))
+
+
+@query
+def ecc_bounds(spark, sf_dir):
+    return traversal.eccentricity(traversal.sssp(graphs.part_supplier(spark, sf_dir)))
+
+
+@query
+def light_heavy_split(spark, sf_dir):
+    edges = graphs.part_supplier(spark, sf_dir)
+    return edges.groupBy((F.col("w") <= 49).alias("light")).agg(F.count("*").alias("n_edges"), F.min("w").alias("least"), F.max("w").alias("largest"))
+
+
+@query
+def double_sweep(spark, sf_dir):
+    return traversal.double_sweep(graphs.part_supplier(spark, sf_dir))
+
+
+@query
+def sequential(spark, sf_dir):
+    return traversal.sequential(graphs.part_supplier(spark, sf_dir))
+
+
+@query
+def single_pass(spark, sf_dir):
+    return traversal.single_pass(graphs.part_supplier(spark, sf_dir))
+
+
+# ---- registers
+
+
+@query
+def hll_registers(spark, sf_dir):
+    return hyperball.registers(graphs.part_supplier(spark, sf_dir), 4)
+
+
+@query
+def hll_merge_step(spark, sf_dir):
+    edges = graphs.part_supplier(spark, sf_dir)
+    return hyperball.merge_step(hyperball.registers(edges, 4), transforms.symmetric(edges))
+
+
+@query
+def hyperball_rounds(spark, sf_dir):
+    return hyperball.hyperball(graphs.part_supplier(spark, sf_dir), 4)
+
+
+# ---- clusters
+
+
+def _wave(spark, sf_dir):
+    edges = graphs.part_supplier(spark, sf_dir)
+    centres = transforms.node_ids(edges).filter(bits.hash32("id") % CENTRES == 0)
+    return edges, materialise(cluster.grow_once(edges, centres), "wave-clusters")
+
+
+@query
+def cluster_sample(spark, sf_dir):
+    nodes = transforms.node_ids(graphs.part_supplier(spark, sf_dir))
+    return nodes.filter(cluster.sampled(1234, 3, 0.125))
+
+
+@query
+def cluster_wave(spark, sf_dir):
+    return _wave(spark, sf_dir)[1]
+
+
+@query
+def cluster_radii(spark, sf_dir):
+    return cluster.radii(_wave(spark, sf_dir)[1])
+
+
+@query
+def radius_histogram(spark, sf_dir):
+    return cluster_radii(spark, sf_dir).groupBy("radius").agg(F.count("*").alias("clusters"))
+
+
+@query
+def quotient_edges(spark, sf_dir):
+    return cluster.quotient(*_wave(spark, sf_dir))
+
+
+@query
+def cluster_invariants(spark, sf_dir):
+    """What must hold of any clustering, counted: nodes, repeats, roots without a node, roots elsewhere, distances under the true ones."""
+    edges = graphs.part_supplier(spark, sf_dir)
+    found = materialise(cluster.clusters(edges, 49), "cluster")
+    nodes = transforms.node_ids(edges)
+    roots = found.select(F.col("root").alias("id")).distinct()
+    true = cluster.grow_once(edges, roots).select("id", F.col("distance").alias("nearest"))
+    return (
+        found.join(true, "id", "left")
+        .agg(F.count("*").alias("nodes"), (F.count("*") - F.countDistinct("id")).alias("repeats"), F.count(F.when(F.col("distance") < F.col("nearest"), 1)).alias("too_near"))
+        .withColumn("lost_roots", F.lit(roots.join(nodes, "id", "left_anti").count()).cast("long"))
+        .withColumn("moved_roots", F.lit(roots.join(found, "id").filter("root <> id or distance <> 0").count()).cast("long"))
+    )
+
+
+@query
+def cluster_diameter_bounds(spark, sf_dir):
+    """Whether the estimate lies between the largest radius and four times what it must reach."""
+    edges = graphs.part_supplier(spark, sf_dir)
+    lower = traversal.single_pass(edges).first()["diameter"]
+    found = cluster.rand_cluster(edges, 49)
+    return found.select((F.col("max_radius") <= F.col("diameter")).alias("radius_holds"), (F.lit(lower) <= 4 * F.col("diameter")).alias("diameter_holds"))
+
+
+@query
+def guess_centres_le_memory(spark, sf_dir):
+    """Whether the last guess fits, and only the last."""
+    _, tried = cluster.rand_cluster_guess(graphs.part_supplier(spark, sf_dir), 100, 49, 10)
+    last = tried.agg(F.max("iteration")).first()[0]
+    return tried.agg(
+        F.max(F.when(F.col("iteration") == last, F.col("num_centers") <= 100)).alias("last_fits"),
+        F.coalesce(F.max(F.when(F.col("iteration") < last, F.col("num_centers") <= 100)), F.lit(False)).alias("earlier_fits"),
+    )
+
+
+@query
+def rand_cluster(spark, sf_dir):
+    return cluster.rand_cluster(graphs.part_supplier(spark, sf_dir), 98)
+
+
+@query
+def rand_cluster_guess(spark, sf_dir):
+    return cluster.rand_cluster_guess(graphs.part_supplier(spark, sf_dir), 100, 49, 10)[0]
+
+
+# ---- run records
+
+
+@query
+def latest_run(spark, sf_dir):
+    return results.latest_run(_runs(spark, sf_dir), ["seed", "dataset", "algorithm", "parameters"], "run_date", "run_id")
+
+
+@query
+def already_run(spark, sf_dir):
+    runs = _runs(spark, sf_dir).withColumn("sha", results.run_id_column(F.col("run_id")))
+    return results.already_run(runs, seed=3, dataset="sk-2005-lcc-rweight", algorithm="Sequential", parameters="")
+
+
+@query
+def run_sha(spark, sf_dir):
+    return _runs(spark, sf_dir).select("run_id", results.run_id_column(F.col("run_id"), F.col("dataset")).alias("sha"))
+
+
+_SPECS = ["sequential", "sequential-single", "bfs", "delta-stepping(2950)", "hyperball(4)", "rand-cluster(10, 2)", "rand-cluster-guess(100000, 29,10)", "other"]
+
+
+@query
+def parse_algorithm(spark, sf_dir):
+    rows = spark.createDataFrame([(s,) for s in _SPECS], "spec string")
+    name, parameters = results.spec_columns(F.col("spec"))
+    return rows.select("spec", name.alias("algorithm"), parameters.alias("parameters"))
+
+
+@query
+def parse_params(spark, sf_dir):
+    one, two, three = analysis.split_parameters(F.col("parameters"), 3)
+    return _runs(spark, sf_dir).select("run_id", one.alias("p1"), two.alias("p2"), three.alias("p3"))
+
+
+@query
+def union_killed(spark, sf_dir):
+    return analysis.with_killed(_runs(spark, sf_dir)).groupBy("algorithm", "killed").agg(F.count("*").alias("n"), F.sum("run_id").alias("ids"))
+
+
+@query
+def main_data(spark, sf_dir):
+    return analysis.main_data(_runs(spark, sf_dir))
+
+
+@query
+def bounds(spark, sf_dir):
+    rows = analysis.bounds(analysis.main_data(_runs(spark, sf_dir)))
+    return rows.withColumn("total_time", F.round("total_time", 4))
+
+
+@query
+def best_per_group(spark, sf_dir):
+    best = analysis.best_per_group(analysis.main_data(_runs(spark, sf_dir)), "run_id")
+    return best.select("dataset", "algorithm", "run_id", "diameter", "total_time", "killed")
+
+
+@query
+def cumulative_time(spark, sf_dir):
+    rows = analysis.cumulative_time(_iterations(spark, sf_dir), 290, 2900, "run_id")
+    return rows.select("run_id", "iteration", "iteration_radius_multiple", "cumulative_time")
+
+
+@query
+def scale_factor_mean(spark, sf_dir):
+    main = analysis.main_data(_runs(spark, sf_dir)).filter(F.col("dataset").isin("USA", "USA-x5", "USA-x10") & ~F.col("killed"))
+    return analysis.scale_factor_mean(main).withColumn("total_time", F.round("total_time", 4))
+
+
+@query
+def pivot_counters(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    counters = lines.select(results.run_id_column(F.col("l_orderkey")).alias("sha"), F.when(F.col("l_linenumber") % 2 == 0, "Centers").otherwise("Uncovered").alias("counter"), F.col("l_quantity").cast("long").alias("count"))
+    return analysis.pivot_counters(counters, ["Centers", "Uncovered"])
+
+
+@query
+def semi_join_datasets(spark, sf_dir):
+    return analysis.dataset_facts(spark).join(_runs(spark, sf_dir).select("dataset").distinct(), "dataset", "left_semi")
+
+
+@query
+def graph_type(spark, sf_dir):
+    return analysis.dataset_facts(spark).select("dataset", analysis.graph_type(F.col("dataset")).alias("graph_type"))
+
+
+@query
+def center_fraction(spark, sf_dir):
+    nodes = analysis.dataset_facts(spark).select("dataset", "num_nodes")
+    rows = _iterations(spark, sf_dir).join(_runs(spark, sf_dir).select("run_id", "dataset"), "run_id")
+    return analysis.center_fraction(rows, nodes).withColumn("fraction", F.round("fraction", 9))
+
+
+@query
+def parameter_dependence(spark, sf_dir):
+    main = analysis.main_data(_runs(spark, sf_dir)).filter("dataset = 'USA' and algorithm = 'ClusterDiameter' and parameters = '100000:29,10'")
+    rows = main.join(_iterations(spark, sf_dir), "run_id")
+    return rows.groupBy("iteration_radius").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("duration_ms"), F.max("num_centers").alias("num_centers"))
+
+
+@query
+def mean_and_error(spark, sf_dir):
+    rows = analysis.mean_and_error(analysis.main_data(_runs(spark, sf_dir)), ["dataset", "algorithm"], "total_time")
+    return rows.select("dataset", "algorithm", F.round("mean", 4).alias("mean"), F.round("se", 4).alias("se"))
