@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from graphspan.session import discard, materialise
+from graphspan.session import discard, materialise_with
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,15 +30,17 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     """
     nodes = edges.select(F.col(u).alias("id")).union(edges.select(F.col(v).alias("id"))).filter("id is not null").distinct()
     start = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u <> v").distinct()
-    now, before = materialise(start, "cc"), None
+    mark = {"n": F.count("*"), "s": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    now, seen = materialise_with(start, "cc", **mark)
     for _ in range(max_rounds):
-        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if mark == before or not mark["n"]:
+        if not seen["n"]:
             break
-        before = mark
-        nxt = materialise(_small_star(_large_star(now).distinct()).distinct(), "cc")
+        before = seen
+        nxt, seen = materialise_with(_small_star(_large_star(now).distinct()).distinct(), "cc", **mark)
         discard(now)
         now = nxt
+        if seen == before:
+            break
     else:
         raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
     return nodes.join(now.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select(

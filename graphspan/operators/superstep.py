@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from graphspan.session import discard, materialise
+from graphspan.session import discard, materialise_with
 
 
 def send(
@@ -59,13 +59,15 @@ def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], activ
 
     Returns the last state and the number of steps. Steps past the fixpoint must change nothing.
     """
-    now, steps = materialise(state, name), 0
-    while steps < max_steps and now.filter(active).limit(1).count():
+    left = F.count(F.when(active, 1))
+    now, seen = materialise_with(state, name, active=left)
+    steps = 0
+    while seen["active"] and steps < max_steps:
         new = now
         for _ in range(unroll):
             new = step(new, steps)
             steps += 1
-        written = materialise(new, name)
+        written, seen = materialise_with(new, name, active=left)
         discard(now)
         now = written
     return now, steps

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def build_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -54,6 +54,13 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def materialise_with(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """materialise(), and aggregates of the rows that ride on the write instead of a job of their own."""
+    seen = Observation()
+    out = materialise(df.observe(seen, *[m.alias(k) for k, m in measures.items()]), name)
+    return out, seen.get
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a materialised table that nothing reads any more."""
     path = getattr(df, "_graphspan_path", None)
