@@ -1,4 +1,4 @@
-"""The queries of this subpackage, by name, and their SQL where SQL can express them."""
+"""The queries of this subpackage, by name, and their SQL where SQL can express them (ORACLES)."""
 
 from __future__ import annotations
 
@@ -18,6 +18,7 @@ from graphspan.llm import (
     token_counts,
     training_order,
 )
+from graphspan.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1,
@@ -31,5 +32,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_cover_tree": cover_tree.op9,
     "op10_lm_scoring": lm_scoring.op10,
 }
-
-ORACLES: dict[str, str] = {}
