@@ -124,23 +124,36 @@ def arc_to_records(arcs: DataFrame, content_col: str = "content") -> DataFrame:
     return arcs.select(content_col).mapInArrow(run, RECORDS)
 
 
-def with_revisits(records: DataFrame, min_bytes: int = 0, file_bytes: int = 32 << 20) -> DataFrame:
-    """records with refers_key and refers_id where a record repeats the payload of one with a smaller key.
+def _digests(records: DataFrame) -> DataFrame:
+    return materialise(records.select("key", "digest", "payload_bytes", "record_id"), "digests")
 
-    Of equal payloads of at least min_bytes the record with the smallest key stays a response and
-    the others become revisits of it. Only keys and digests are grouped; a digest that very many
-    records share is looked up in a small broadcast table. The result has one partition for each
-    file_bytes of payload.
-    """
-    light = materialise(records.select("key", "digest", "payload_bytes", "record_id"), "digests")
-    size = light.agg(F.count("*").alias("n"), F.sum("payload_bytes").alias("b")).first()
-    parts = max(1, -(-(size["b"] or 0) // file_bytes), -(-size["n"] // 50_000))
+
+def _marked(records: DataFrame, light: DataFrame, min_bytes: int) -> DataFrame:
     able = light.filter((F.col("payload_bytes") >= min_bytes) & F.col("key").isNotNull())
     first = able.groupBy("digest").agg(F.min(F.struct("key", "record_id")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = materialise(first.select("digest", F.col("first.key").alias("refers_key"), F.col("first.record_id").alias("refers_id"), "n"), "first")
-    both = [x.select("key", "digest", "refers_key", "refers_id") for x in split_hot(able, first, "digest", "n", size["n"])]
+    both = [x.select("key", "digest", "refers_key", "refers_id") for x in split_hot(able, first, "digest", "n", light.count())]
     repeats = both[0].union(both[1]).filter("key <> refers_key").groupBy("key", "digest").agg(F.first("refers_key").alias("refers_key"), F.first("refers_id").alias("refers_id"))
-    return records.repartition(parts, "key", "digest").join(repeats.repartition(parts, "key", "digest"), ["key", "digest"], "left")
+    return records.join(materialise(repeats, "repeats"), ["key", "digest"], "left")
+
+
+def with_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """records with refers_key and refers_id where a record repeats the payload of one with a smaller key.
+
+    Of equal payloads of at least min_bytes the record with the smallest key stays a response and
+    the others become revisits of it. Only keys and digests are grouped; a digest that very many
+    records share is looked up in a small broadcast table. The repeats are written before they meet
+    the payloads, so that their size is known: few are broadcast and no payload moves.
+    """
+    return _marked(records, _digests(records), min_bytes)
+
+
+def convert_archives(arcs: DataFrame, path: str, content_col: str = "content", min_bytes: int = 0, file_bytes: int = 32 << 20) -> None:
+    """ARC files, one a row, to WARC files of about file_bytes of payload each under path."""
+    records = arc_to_records(arcs, content_col)
+    light = _digests(records)
+    mean = light.agg(F.avg("payload_bytes")).first()[0] or 0
+    write_warc(_marked(records, light, min_bytes), path, max(1, int(file_bytes / (mean + 500))))
 
 
 def _warc_bytes(row: dict) -> bytes:
@@ -169,8 +182,8 @@ def _warc_bytes(row: dict) -> bytes:
     return b"\r\n".join(lines) + b"\r\nContent-Length: %d" % len(block) + END + block
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Write records (with_revisits) as gzipped WARC files, one for each partition."""
+def write_warc(records: DataFrame, path: str, per_file: int = 4000) -> None:
+    """Write records (with_revisits) as gzipped WARC files of at most per_file records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +191,7 @@ def write_warc(records: DataFrame, path: str) -> None:
                 yield pa.RecordBatch.from_arrays([pa.array([_warc_bytes(r) for r in batch.slice(lo, 200).to_pylist()], pa.binary())], names=["record"])
 
     lines = records.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
+    lines.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -260,7 +273,7 @@ def pages_to_arcs(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 def op7(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = scratch(spark, "warc")
-    write_warc(with_revisits(arc_to_records(pages_to_arcs(pages))), path)
+    convert_archives(pages_to_arcs(pages), path)
     return read_warc(spark, path).select(
         F.col("key").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
         F.col("type").alias("record_type"), F.col("refers_key").alias("refers_to"),
