@@ -1,7 +1,7 @@
 """Token sequences in training order, as shards of fixed stride.
 
 Documents are tokenised to bytes (ids 0-247 as UTF-8 uses them), each followed by the end id 255;
-chunks of documents form streams that are cut into sequences of equal length, the last of a chunk
+the documents of a partition form a stream that is cut into sequences of equal length, the last
 filled with the pad id 254. Sequences are numbered 0..N-1 and a keyed Feistel network, walking its
 cycles until a number falls below N, permutes the numbers into slots: the training order, known for
 any sequence without a shuffle table and invertible. Slots are dealt by range to shards, in order,
@@ -18,11 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphspan.llm import textarrays as ta
-from graphspan.llm.chunks import CHUNK, dealt, in_order
-from graphspan.session import materialise, scratch
+from graphspan.session import scratch
 
 END, PAD = 255, 254
 _ROUNDS = 6
@@ -64,57 +63,80 @@ def numbers(at: np.ndarray, n: int, key: int) -> np.ndarray:
     return _walk(at, n, key, range(_ROUNDS - 1, -1, -1))
 
 
-def sequence_bases(rows: DataFrame, text_col: str, length: int) -> tuple[DataFrame, int]:
-    """(chunk, base): the first sequence number of each chunk; and the number of sequences.
-
-    Running sums are taken within groups of 1,024 chunks and over the groups' totals.
-    """
+def _counted(rows: DataFrame, text_col: str, length: int) -> tuple[dict[int, tuple[int, int]], int]:
+    """For each partition its first sequence number and its tokens; and the number of sequences."""
     tokens = F.coalesce(F.octet_length(text_col), F.lit(0)) + 1
-    count = rows.groupBy(CHUNK).agg(F.ceil(F.sum(tokens) / length).alias("n")).withColumn("group", F.floor(F.col(CHUNK) / 1024))
-    count = materialise(count, "sequences")
-    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    groups = count.groupBy("group").agg(F.sum("n").alias("g"))
-    groups = groups.select("group", F.coalesce(F.sum("g").over(before(F.lit(0)).orderBy("group")), F.lit(0)).alias("from"))
-    inner = F.coalesce(F.sum("n").over(before("group").orderBy(CHUNK)), F.lit(0))
-    bases = count.join(groups, "group").select(CHUNK, (inner + F.col("from")).alias("base"))
-    return bases, int(count.agg(F.sum("n")).first()[0] or 0)
+    got = rows.select(F.spark_partition_id().alias("part"), tokens.alias("t")).groupBy("part").agg(F.sum("t").alias("t")).collect()
+    bases, n = {}, 0
+    for row in sorted(got):
+        bases[row["part"]] = (n, row["t"])
+        n += -(-row["t"] // length)
+    return bases, n
 
 
 def write_training_order(
-    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, key: int = 20240229, shard_rows: int = 16_384
+    docs: DataFrame, path: str, text_col: str = "text", length: int = 2048, key: int = 20240229, shard_rows: int = 16_384
 ) -> dict[str, int]:
     """Write shards under path; returns what a reader needs: n, length, stride, shard_rows, key.
 
-    Null texts are empty documents (an end id only). Repeated rows are documents like others. No
-    shards for no documents.
+    docs is read twice, to count and to cut, and must have the same rows in the same partitions both
+    times, as a scan of files has; a partition that differs stops the write. A count for each
+    partition passes the driver, which schedules them anyway. Null texts are empty documents (an
+    end id only). Repeated rows are documents like others. No shards for no documents.
     """
-    rows, _, _ = dealt(docs.select(id_col, text_col), id_col, text_col)
-    bases, n = sequence_bases(rows, text_col, length)
-    told = {"n": n, "length": length, "stride": length + 1, "shard_rows": shard_rows, "key": key}
-
-    def cut(table: pa.Table, base: pa.Table) -> pa.Table:
-        table = in_order(table, id_col, text_col)
-        data, bounds = ta.text_bytes(table[text_col])
-        size = len(data) + len(table)
-        stream = np.full(-(-size // length) * length, PAD, np.uint8)
-        ends = bounds[1:] + np.arange(len(table))
-        body = np.ones(size, bool)
-        body[ends] = False
-        stream[:size][body] = data
-        stream[ends] = END
-        count = len(stream) // length
-        at = slots(base["base"][0].as_py() + np.arange(count), n, key)
-        tokens = pa.Array.from_buffers(pa.binary(length), count, [None, pa.py_buffer(stream)])
-        return pa.table({"slot": pa.array(at), "tokens": tokens.cast(pa.binary())})
-
-    if n:
-        made = rows.groupBy(CHUNK).cogroup(bases.groupBy(CHUNK)).applyInArrow(cut, "slot long, tokens binary")
-        shards = -(-n // shard_rows)
-        made = made.repartitionById(shards, F.floor(F.col("slot") / shard_rows).cast("int")).sortWithinPartitions("slot")
-        made.select(F.col("tokens").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    spark = docs.sparkSession
+    rows = docs.select(text_col)
+    pinned = "spark.sql.files.minPartitionNum"  # else splits follow the executors that happen to be there
+    before = spark.conf.get(pinned, None)
+    spark.conf.set(pinned, before or str(max(1, spark.sparkContext.defaultParallelism)))
+    try:
+        bases, n = _counted(rows, text_col, length)
+        told = {"n": n, "length": length, "stride": length + 1, "shard_rows": shard_rows, "key": key}
+        if n:
+            shared = spark.sparkContext.broadcast(bases)
+            made = rows.mapInArrow(lambda batches: _cut(batches, shared.value, n, length, key), "slot long, tokens binary")
+            shards = -(-n // shard_rows)
+            made = made.repartitionById(shards, F.floor(F.col("slot") / shard_rows).cast("int")).sortWithinPartitions("slot")
+            made.select(F.col("tokens").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    finally:
+        spark.conf.set(pinned, before) if before else spark.conf.unset(pinned)
     return told
 
 
+def _cut(batches: Iterator[pa.RecordBatch], bases: dict[int, tuple[int, int]], n: int, length: int, key: int) -> Iterator[pa.RecordBatch]:
+    """The sequences of one partition's stream of documents."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    number, want = bases.get(part, (0, 0))
+    rest, seen = np.zeros(0, np.uint8), 0
+
+    def sequences(stream: np.ndarray, first: int) -> pa.RecordBatch:
+        count = len(stream) // length
+        tokens = pa.Array.from_buffers(pa.binary(length), count, [None, pa.py_buffer(np.ascontiguousarray(stream))])
+        at = slots(first + np.arange(count), n, key)
+        return pa.RecordBatch.from_arrays([pa.array(at), tokens.cast(pa.binary())], names=["slot", "tokens"])
+
+    for batch in batches:
+        for lo in range(0, len(batch), 500):
+            data, bounds = ta.text_bytes(batch.column(0).slice(lo, 500))
+            own = np.full(len(data) + len(bounds) - 1, END, np.uint8)
+            body = np.ones(len(own), bool)
+            body[bounds[1:] + np.arange(len(bounds) - 1)] = False
+            own[body] = data
+            seen += len(own)
+            stream = np.concatenate((rest, own))
+            whole = len(stream) // length * length
+            if whole:
+                yield sequences(stream[:whole], number)
+                number += whole // length
+            rest = stream[whole:]
+    if len(rest):
+        yield sequences(np.concatenate((rest, np.full(length - len(rest), PAD, np.uint8))), number)
+    if seen != want:
+        raise ValueError(f"partition {part} had {want} tokens when counted and {seen} when cut")
+
+
 def read_training_order(spark: SparkSession, path: str, told: dict[str, int], first_slot: int = 0) -> DataFrame:
     """(slot, shard, byte_offset, tokens) from first_slot on, shard by shard as written.
 
