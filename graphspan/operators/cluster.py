@@ -14,7 +14,7 @@ from graphspan.functions.bits import hash01
 from graphspan.operators.superstep import iterate, send, triplets
 from graphspan.operators.transforms import adjacency, node_ids
 from graphspan.operators.traversal import double_sweep
-from graphspan.session import discard, materialise
+from graphspan.session import discard, materialise, materialise_with
 
 UNCOVERED, COVERED, FROZEN = 0, 1, 2
 
@@ -51,13 +51,14 @@ def clusters(edges: DataFrame, radius: int, base: float = 2.0, seed: int = 1234,
         raise ValueError("a radius under 1 need not end")
     adj = adjacency(edges)
     none = F.lit(None).cast("long")
-    now = materialise(node_ids(edges).select("id", F.lit(UNCOVERED).alias("status"), none.alias("root"), none.alias("distance"), none.alias("generation"), F.lit(False).alias("updated")), "clusters")
-    n, g = now.count(), 0
-    while now.filter(F.col("status") != FROZEN).limit(1).count():
-        new = (F.col("status") == UNCOVERED) & sampled(seed, g, base**g / max(1, n))
+    fresh = node_ids(edges).select("id", F.lit(UNCOVERED).alias("status"), none.alias("root"), none.alias("distance"), none.alias("generation"), F.lit(False).alias("updated"))
+    now, seen = materialise_with(fresh, "clusters", left=F.count("*"))
+    n, g = seen["left"], 0
+    while seen["left"]:
+        new = (F.col("status") == UNCOVERED) & sampled(seed, g, base**g / n)
         begun = now.select(
             "id",
-            F.when(new, COVERED).otherwise(F.col("status")).alias("status"),
+            F.when(new, COVERED).otherwise(_frozen(radius, g - 1)).alias("status"),
             F.when(new, F.col("id")).otherwise(F.col("root")).alias("root"),
             F.when(new, F.lit(0).cast("long")).otherwise(F.col("distance")).alias("distance"),
             F.when(new, F.lit(g).cast("long")).otherwise(F.col("generation")).alias("generation"),
@@ -73,18 +74,25 @@ def clusters(edges: DataFrame, radius: int, base: float = 2.0, seed: int = 1234,
             "updated": take,
         }
 
-        def grow(nodes: DataFrame, _: int, can_send=can_send, update=update) -> DataFrame:
+        def grow(nodes: DataFrame, can_send=can_send, update=update) -> DataFrame:
             return send(nodes, adj, should_send=can_send, message=message(), aggregate=F.min, update=update, update_no_msg={"updated": F.lit(False)})
 
-        grown, _ = iterate(begun, grow, can_send, "clusters", 2)
-        frozen = grown.withColumn("status", F.when((F.col("status") == COVERED) & within(radius, g), FROZEN).otherwise(F.col("status")))
-        written = materialise(frozen, "clusters")
+        measures = {"senders": F.count(F.when(can_send, 1)), "left": F.count(F.when(_frozen(radius, g) != FROZEN, 1))}
+        written, seen = materialise_with(begun, "clusters", **measures)
+        while seen["senders"]:
+            discard(now)
+            now = written
+            written, seen = materialise_with(grow(grow(now)), "clusters", **measures)
         discard(now)
-        discard(grown)
         now, g = written, g + 1
     return now.select("id", F.coalesce("root", "id").alias("root"), F.coalesce("distance", F.lit(0)).alias("distance"))
 
 
+def _frozen(radius: int, round_: int) -> Column:
+    """A node's status once the round's growth has ended."""
+    return F.when((F.col("status") == COVERED) & within(radius, round_), FROZEN).otherwise(F.col("status"))
+
+
 def _fringe(radius: int, g: int, on: bool) -> Column:
     beyond = F.col("distance") >= F.lit(radius) * (g - F.col("generation"))
     return F.coalesce((F.col("status") == COVERED) & beyond, F.lit(False)) if on else F.lit(False)
