@@ -12,6 +12,15 @@ CHUNK = "__gs_chunk"
 ID = "__gs_id"
 
 
+def growth(total: int) -> float:
+    """By how much chunks and buckets grow with the bytes of text: as the root beyond 1 GB, up to 8.
+
+    The pieces that chunks send to buckets number chunks times buckets, so both must grow for a
+    piece to stay more than a few entries.
+    """
+    return min(8.0, max(1.0, math.sqrt(total / (1 << 30))))
+
+
 def dealt(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = 2 << 20) -> tuple[DataFrame, int, int]:
     """docs with a chunk number, the number of chunks, and the total bytes of text.
 
@@ -20,7 +29,7 @@ def dealt(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = 2 << 2
     """
     size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(text_col)).alias("b")).first()
     n, total = size["n"], size["b"] or 0
-    chunks = max(1, math.ceil(total / chunk_bytes), math.ceil(n / 20_000))
+    chunks = max(1, math.ceil(total / (chunk_bytes * growth(total))), math.ceil(n / 20_000))
     return docs.withColumn(CHUNK, F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).cast("int")), chunks, total
 
 

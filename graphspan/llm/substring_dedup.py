@@ -21,11 +21,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from graphspan.llm import textarrays as ta
-from graphspan.llm.chunks import CHUNK, dealt, emit, in_order, with_fields
+from graphspan.llm.chunks import CHUNK, dealt, emit, growth, in_order, with_fields
 
 _MASK = np.uint64(0xFFFFFFFF)
 _SALT = 0x5851F42D4C957F2D
@@ -256,7 +256,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Hashes have 96 bits, so that unequal windows are not mistaken at any corpus size in reach.
     """
     rows, _, total = dealt(docs.withColumn(id_col, docs[id_col].cast("long")), id_col, text_col)
-    buckets = max(1, -(-total // (8 << 20)))
+    buckets = max(1, -(-total // int((8 << 20) * min(4, growth(total)))))
     fields = [
         T.StructField("n_words", T.LongType()),
         T.StructField("n_removed", T.LongType()),
@@ -280,9 +280,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.groupBy(CHUNK).cogroup(places.groupBy(CHUNK)).applyInArrow(lambda a, b: _cleaned(a, b, id_col, text_col, k, schema, with_text), schema)
 
 
-def op1(spark, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
+def repeated_paths(cleaned: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(source_id, source_start, length, n_docs, n_places): each path that was removed, where it
+    stands in its source and how many documents and places repeat it."""
+    spans = cleaned.select(F.col(id_col), F.explode("spans").alias("s")).select(id_col, "s.*")
+    return spans.groupBy("source_id", "source_start", "length").agg(F.countDistinct(id_col).alias("n_docs"), F.count("*").alias("n_places"))
+
 
+def op1(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = substring_dedup(docs)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))

@@ -56,7 +56,10 @@ def test_spans_point_at_equal_words_of_their_source(docs):
     texts = {}
     for i, text, *_ in corpus():
         texts.setdefault(i, set()).add(tuple(bytes_words(text)))
-    spans = substring_dedup.substring_dedup(docs).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*").collect()
+    out = substring_dedup.substring_dedup(docs)
+    spans = out.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*").collect()
+    paths = substring_dedup.repeated_paths(out).collect()
+    assert sum(p["n_places"] for p in paths) == len(spans) and max(p["n_docs"] for p in paths) > 1
     assert spans and all(s["source_id"] < s["doc_id"] and s["length"] >= 13 for s in spans)
     for s in spans:
         mine = {t[s["start"] : s["start"] + s["length"]] for t in texts[s["doc_id"]]}
