@@ -307,6 +307,24 @@ def test_lm_scores_base_and_training_help(docs):
         assert math.isfinite(r["score"]) and r["score"] < 0
 
 
+def test_lm_training_share_grows_and_rounds_differ(docs):
+    from graphspan.llm.chunks import CHUNK
+
+    held = language_id.fold("doc_id", 10) == 0
+    chunks, some = 8, 2
+    rows = docs.withColumns({lm_scoring.HELD: F.coalesce(held, F.lit(False)), CHUNK: F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")})
+    drawn = [lm_scoring._drawn(rows, r, some, chunks, 1.0, 7, "doc_id", "text") for r in range(4)]
+    seen = [{x[0] for x in d.select(CHUNK).distinct().collect()} for d in drawn]
+    assert not any(a & b for i, a in enumerate(seen) for b in seen[:i])
+    assert sum(d.count() for d in drawn) == docs.count()
+    assert not any(d.filter(f"__gs_drawn and {lm_scoring.HELD}").count() for d in drawn)
+    parts = docs.sparkSession.createDataFrame([(i, 2, np.full(5, i, "<f4").tobytes()) for i in range(150)], f"{lm_scoring.PART} int, tokens long, weights binary")
+    (total,) = lm_scoring._summed(parts, 150, fan_in=4).collect()
+    assert total["tokens"] == 300 and np.frombuffer(total["weights"], "<f4").tolist() == [sum(range(150))] * 5
+    score = lambda **how: sum(r["score"] for r in lm_scoring.lm_scores(docs, held, chunk_bytes=20_000, train_tokens=1, **how).filter("not held_out").collect())
+    assert score(train_share=1.0) > score(train_share=0.0)
+
+
 def test_network_gradients_and_learning():
     from graphspan.llm import gated_lm as lm
 
