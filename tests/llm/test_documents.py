@@ -159,6 +159,49 @@ def test_near_duplicates_join_copies_and_near_copies_only(docs):
     assert sum(group[a] == group[b] for a, b in pairs) >= 5
 
 
+def edited_copies(seed=5):
+    """(id, text): texts and their copies, cut off, extended or with a block or scattered words replaced, at similarity 0.55 to 0.95."""
+    rng = np.random.default_rng(seed)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    texts = []
+    for s in np.linspace(0.55, 0.95, 41):
+        for kind in range(4):
+            base = some(int(rng.integers(120, 400)))
+            n = len(base)
+            new = int(n * (1 - s) / (1 + s))
+            at = int(rng.integers(0, n - new))
+            copy = [base[: int(n * s)], base + some(int(n / s) - n), base[:at] + some(new) + base[at + new :], list(base)][kind]
+            for i in rng.choice(n, max(1, new // 5), replace=False) if kind == 3 else ():
+                copy[i] = "new"
+            texts += [base, copy]
+    line = some(700)  # each like the next ones only
+    texts += [line[i : i + 300] for i in range(0, 400, 8)]
+    crowd = some(200)  # all like the base, most not like each other
+    for _ in range(60):
+        at = int(rng.integers(0, 180))
+        texts.append(crowd[:at] + some(19) + crowd[at + 19 :])
+    return [(i, " ".join(t)) for i, t in enumerate([*texts, crowd, ["few", "words"], ["Few", "words"], ["few", "others"]])]
+
+
+def brute_links(rows):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (bytes_words(t.translate(LOWER)) for _, t in rows)]
+    return {(a, b) for b in range(len(rows)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+
+
+def label_of(n, links):
+    label = np.arange(n)
+    for a, b in links:
+        label[label == max(label[a], label[b])] = min(label[a], label[b])
+    return label.tolist()
+
+
+def test_near_duplicates_find_every_kind_of_edit(spark):
+    """No pair at 0.8 and more stays apart, wherever the texts differ."""
+    rows = edited_copies()
+    got = {r["id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert sum(got[a] != got[b] for a, b in brute_links(rows)) == 0
+
+
 BENCH = [(1, "one two three"), (2, " ".join(f"Common{i}" for i in range(12))), (3, None), (4, "--"), (2, " ".join(f"Common{i}" for i in range(12))), (10, "changed"), (None, "x")]
 
 
