@@ -202,6 +202,16 @@ def test_near_duplicates_find_every_kind_of_edit(spark):
     assert sum(got[a] != got[b] for a, b in brute_links(rows)) == 0
 
 
+def test_near_duplicates_link_nothing_less_alike(spark):
+    """Groups are the components of the pairs at 0.8 and more, no larger, down to the last text; ids may repeat."""
+    rows = edited_copies()
+    want = label_of(len(rows), brute_links(rows))
+    again = [(rows[0][0], rows[0][1].upper()), (rows[1][0], ""), (None, rows[2][1]), (None, "an unknown text")]
+    got = simhash.near_duplicates(spark.createDataFrame([*rows, *again], "doc_id long, text string").repartition(5)).collect()
+    assert {(r["id"], r["component_id"]) for r in got if r["id"] is not None} == set(enumerate(want))
+    assert sorted(map(str, (r["component_id"] for r in got if r["id"] is None))) == sorted(["None", str(want[2])])
+
+
 BENCH = [(1, "one two three"), (2, " ".join(f"Common{i}" for i in range(12))), (3, None), (4, "--"), (2, " ".join(f"Common{i}" for i in range(12))), (10, "changed"), (None, "x")]
 
 
