@@ -4,9 +4,8 @@ Counts of every token of every training document are grouped by word: chunks of
 their distinct word hashes per bucket, a bucket adds the counts up over all chunks and answers each
 with the corpus count of its words. So no task holds the vocabulary, which grows with the corpus.
 The network's vocabulary, classes and biases come from the same counts. Its weights are trained by
-rounds of local passes over groups of documents whose weights are averaged, on whole documents drawn
-by hash: a share of the corpus (`train_share`), so what is learned from grows with the input. Then
-every document is scored from its first token to its end token with the state carried on.
+rounds of local passes over groups of documents whose weights are averaged. Each round has chunks of
+its own and together they have all, so that every training document is learned from once. Then every document is scored from its first token to its end token with the state carried on.
 
 Words are told apart by 64-bit hashes.
 """
@@ -113,9 +112,9 @@ def _counted(tokens: _Tokens, answers: pa.Table) -> np.ndarray:
     return np.concatenate([np.frombuffer(parts[b], "<i8") for b in sorted(parts)])[tokens.word]
 
 
-def _drawn(rows: DataFrame, number: int, some: int, chunks: int, part: float, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """The `some` chunks of a round, next to those of the last, with the part of their documents drawn by hash."""
-    place = F.pmod(F.col(CHUNK) - F.lit(number * some), F.lit(chunks))
+def _drawn(rows: DataFrame, number: int, some: int, chunks: int, part: float, seed: int, id_col: str, text_col: str, start: int | None = None) -> DataFrame:
+    """The `some` chunks of a round from `start` (by default next to those of the last), with the part of their documents drawn by hash."""
+    place = F.pmod(F.col(CHUNK) - F.lit(number * some if start is None else start), F.lit(chunks))
     hit = F.pmod(F.xxhash64(F.lit(seed + number), id_col, text_col), F.lit(1 << 20)) < math.ceil(part * (1 << 20))
     return rows.filter(place < some).select(CHUNK, place.cast("int").alias(PART), id_col, text_col, HELD, (hit & ~F.col(HELD)).alias("__gs_drawn"))
 
@@ -137,15 +136,17 @@ def _summed(parts: DataFrame, n: int, fan_in: int = 64) -> DataFrame:
 
 
 def _fit(
-    rows: DataFrame, answers: DataFrame, vocabulary: lm.Vocabulary, embed: int, hidden: int, rounds: int, tokens_a_round: float, chunks: int, seed: int, id_col: str, text_col: str,
+    rows: DataFrame, answers: DataFrame, vocabulary: lm.Vocabulary, embed: int, hidden: int, rounds: int, part: float, chunks: int, seed: int, id_col: str, text_col: str,
 ) -> dict[str, np.ndarray]:
-    """Rounds of local passes, each over chunks and documents of its own, from the mean of the last round's weights."""
+    """Rounds of local passes, each over the part of chunks of its own and together over all chunks, from the mean of the last round's weights."""
     weights = lm.fresh(vocabulary, embed, hidden, seed)
     session = rows.sparkSession
     known = session.sparkContext.broadcast(vocabulary)
-    some = max(1, min(chunks, math.ceil(tokens_a_round / 250_000)))
-    part = min(1.0, tokens_a_round / max(1, vocabulary.total) * chunks / some)
     for number in range(rounds):
+        start = number * chunks // rounds
+        some = (number + 1) * chunks // rounds - start
+        if not some:
+            continue
         now = session.sparkContext.broadcast(weights)
 
         def local(table: pa.Table, told: pa.Table) -> pa.Table:
@@ -166,8 +167,8 @@ def _fit(
             mass = int(sizes.sum())
             return pa.table({PART: [table[PART][0].as_py()], "tokens": [mass], "weights": [(lm.flat(own) * mass).astype("<f4").tobytes()]}, shape)
 
-        sample = _drawn(rows, number, some, chunks, part, seed, id_col, text_col)
-        told = answers.filter(F.pmod(F.col(CHUNK) - F.lit(number * some), F.lit(chunks)) < some)
+        sample = _drawn(rows, number, some, chunks, part, seed, id_col, text_col, start)
+        told = answers.filter((F.col(CHUNK) >= start) & (F.col(CHUNK) < start + some))
         made = sample.groupBy(CHUNK).cogroup(told.groupBy(CHUNK)).applyInArrow(local, f"{PART} int, tokens long, weights binary")
         for sums in _summed(made, some).collect():  # one row at most
             weights = lm.shaped(np.frombuffer(sums["weights"], "<f4") / sums["tokens"], weights)
@@ -177,15 +178,15 @@ def _fit(
 
 def lm_scores(
     docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", top: int = 1024, embed: int = 12, hidden: int = 16,
-    train_tokens: int = 3_000_000, train_share: float = 0.05, rounds: int = 3, seed: int = 7, chunk_bytes: int = 4 << 20,
+    train_tokens: int = 0, train_share: float = 1.0, rounds: int = 3, seed: int = 7, chunk_bytes: int = 4 << 20,
 ) -> DataFrame:
     """docs with held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     held_out (a condition; none: nothing) marks documents that are scored but not learned from.
     base_score is the sum over tokens of log10((c + 0.1) / (N + 0.1 (V + 1))) with the token's
     count c, all counts N and distinct tokens V of the training documents; score is the network's
-    log10 probability of the text. Each of `rounds` rounds takes gradients on a `train_share` of the
-    training tokens, other documents each time, and on `train_tokens` at least. A null text is empty: its only token is the end. Input columns
+    log10 probability of the text. Gradients are taken on a `train_share` of the training tokens
+    (by default all) and on `train_tokens` at least, once each, in `rounds` rounds over disjoint documents. A null text is empty: its only token is the end. Input columns
     named like an output give way; repeated rows count and are scored each; ids are integers.
     """
     held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
@@ -196,7 +197,8 @@ def lm_scores(
     vocabulary = _vocabulary(answers, top)
     counts = answers.select(CHUNK, "bucket", "counts")
 
-    weights = _fit(rows, counts, vocabulary, embed, hidden, rounds, max(train_tokens, train_share * vocabulary.total), chunks, seed, id_col, text_col)
+    part = min(1.0, max(train_share, train_tokens / max(1, vocabulary.total)))
+    weights = _fit(rows, counts, vocabulary, embed, hidden, rounds, part, chunks, seed, id_col, text_col)
 
     base = math.log10(vocabulary.total + 0.1 * (vocabulary.distinct + 1))
     fields = [T.StructField(n, k) for n, k in (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))]

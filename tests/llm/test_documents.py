@@ -378,6 +378,20 @@ def test_lm_training_share_grows_and_rounds_differ(docs):
     assert score(train_share=1.0) > score(train_share=0.0)
 
 
+@pytest.mark.parametrize("chunk_bytes", [5_000, 20_000, 1 << 22])
+def test_lm_learns_from_every_training_document_once(docs, chunk_bytes, monkeypatch):
+    learned, summed = [], lm_scoring._summed
+
+    def seen(parts, n):
+        out = summed(parts, n)
+        learned.extend(r["tokens"] for r in out.collect())
+        return out
+
+    monkeypatch.setattr(lm_scoring, "_summed", seen)
+    got = lm_scoring.lm_scores(docs, language_id.fold("doc_id", 10) == 0, chunk_bytes=chunk_bytes).collect()
+    assert sum(learned) == got[0]["train_tokens"]
+
+
 def test_network_gradients_and_learning():
     from graphspan.llm import gated_lm as lm
 
