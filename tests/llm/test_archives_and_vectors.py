@@ -110,3 +110,14 @@ def test_cover_tree_levels_nest_and_cover():
     assert sorted(np.concatenate(tree.levels[-1][2])) == list(range(200))
     i, j = cover_tree.dual_links(tree, tree, 0.8)
     assert {(a, b) for a, b in zip(i.tolist(), j.tolist())} == {(a, b) for a, b in zip(*np.nonzero(x @ x.T >= 0.8))}
+
+
+def test_warc_of_one_gzip_member_a_record(spark, tmp_path):
+    import gzip
+
+    block = lambda i: b"payload %d" % i
+    told = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode().encode()
+    record = lambda i: b"WARC/1.1\r\nWARC-Type: resource\r\nX-Key: %d\r\nWARC-Payload-Digest: sha1:%s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, told(block(i)), len(block(i)), block(i))
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(record(i)) for i in range(5)))
+    got = archives.read_warc(spark, str(tmp_path)).collect()
+    assert sorted((r["key"], bytes(r["payload"])) for r in got) == [(i, block(i)) for i in range(5)]
