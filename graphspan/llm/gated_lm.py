@@ -29,21 +29,22 @@ class Vocabulary:
         order = np.argsort(hashes)
         self.hashes, self.place = hashes[order], np.arange(len(top))[order]
         self.top_counts = np.array([c for _, c in top], np.float64)
-        types, tokens = band_types.astype(np.float64), band_tokens.astype(np.float64)
+        self.bands = max(1, int(np.max(np.flatnonzero(band_types), initial=-1)) + 1)  # up to the last that has words
+        types, tokens = band_types[: self.bands].astype(np.float64), band_tokens[: self.bands].astype(np.float64)
         for c in self.top_counts:  # the bands are of the other words
             types[int(c).bit_length() - 1] -= 1
             tokens[int(c).bit_length() - 1] -= c
         self.band_mass = tokens + 0.1 * types
         self.band_tokens = np.maximum(tokens, 0)
-        self.n_classes = self.classes + BANDS + 1
-        self.inputs = self.classes * per_class + BANDS + 1
+        self.n_classes = self.classes + self.bands + 1
+        self.inputs = self.classes * per_class + self.bands + 1
 
     def find(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(input, class, log10 of the share within the class) of each token; 0 for frequent words."""
         at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
         frequent = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
         place = self.place[at] if len(self.hashes) else np.zeros(len(hashes), np.int64)
-        band = np.where(counts > 0, np.frexp(np.maximum(counts, 1).astype(np.float64))[1] - 1, BANDS)
+        band = np.where(counts > 0, np.frexp(np.maximum(counts, 1).astype(np.float64))[1] - 1, self.bands)
         share = np.where(counts > 0, (counts + 0.1) / np.maximum(np.append(self.band_mass, 1.0)[band], 1e-9), 1.0 / (self.distinct + 1))
         inputs = np.where(frequent, place, self.classes * self.per_class + band)
         group = np.where(frequent, place // self.per_class, self.classes + band)
@@ -80,26 +81,42 @@ def shaped(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    x = np.tanh(0.5 * x)
+    x += 1
+    x *= 0.5
+    return x
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _odds(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(h w + b) up to one factor, and its sums by row. No odds fall under e**-80 of the largest."""
+    x = h @ w
+    x += b
+    x -= x.max(initial=-np.inf)
+    np.maximum(x, -80, out=x)
+    np.exp(x, out=x)
+    return x, x @ np.ones(x.shape[1], x.dtype)
 
 
-def _by_class(group: np.ndarray, classes: int) -> list[tuple[int, np.ndarray]]:
-    order = np.argsort(group, kind="stable")
+def _by_class(group: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of classes below `classes`, class by class, and where each class begins."""
+    order = np.argsort(group.astype(np.uint16), kind="stable")
     cuts = np.searchsorted(group[order], np.arange(classes + 1))
-    return [(c, order[cuts[c] : cuts[c + 1]]) for c in range(classes) if cuts[c + 1] > cuts[c]]
+    return order[: cuts[-1]], cuts
 
 
 def _token_logs(w: dict[str, np.ndarray], h: np.ndarray, inputs: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Natural log-probability of each token's class and, for frequent words, of the word in it."""
     classes, per = w["bin"].shape
-    out = _log_softmax(h @ w["wc"] + w["bc"])[np.arange(len(h)), group].astype(np.float64)
-    for c, own in _by_class(group, classes):
-        out[own] += _log_softmax(h[own] @ w["win"][c] + w["bin"][c])[np.arange(len(own)), inputs[own] - c * per]
+    x, total = _odds(h, w["wc"], w["bc"])
+    odds = x[np.arange(len(h)), group] / total
+    order, cuts = _by_class(group, classes)
+    mine, slot, within = h[order], (inputs - group * per)[order], np.empty(len(order), odds.dtype)
+    for c, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        if a < b:
+            x, total = _odds(mine[a:b], w["win"][c], w["bin"][c])
+            within[a:b] = x[np.arange(b - a), slot[a:b]] / total
+    out = np.log(odds).astype(np.float64)
+    out[order] += np.log(within)
     return out
 
 
@@ -138,96 +155,114 @@ def score(w: dict[str, np.ndarray], inputs: np.ndarray, group: np.ndarray, first
 
 def train(
     w: dict[str, np.ndarray], vocabulary: Vocabulary, inputs: np.ndarray, group: np.ndarray, first: np.ndarray, seed: int,
-    window: int = 16, batch: int = 64, stretch: int = 512, rate: float = 0.01, unseen: np.ndarray | None = None,
+    window: int = 16, streams: int = 256, rate: float = 0.01, unseen: np.ndarray | None = None, mass: np.ndarray | None = None,
 ) -> dict[str, np.ndarray]:
     """One pass of truncated backpropagation over the documents, in seeded order, with Adam.
 
-    The state is carried through the windows of a stretch; a longer document is several stretches,
-    lest a batch wait for its longest. unseen marks tokens that stand for words not seen (half of
-    those that occur once): as targets they take that class.
+    The documents, one after the other, are cut into `streams` runs of equal length that advance
+    together, a window at a time. The state goes on from window to window and begins anew with each
+    document (and at the cuts, one a run). unseen marks tokens that stand for words not seen (half
+    of those that occur once): as targets they take that class. mass weighs tokens (of rows that
+    stand for several); by default each is one.
     """
     sizes = np.diff(first)
-    parts = -(-sizes // stretch)
-    inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    first = np.append(np.repeat(first[:-1], parts) + inner * stretch, first[-1])
-    w = {k: x.copy() for k, x in w.items()}
+    order = np.random.default_rng(seed).permutation(len(sizes))
+    begin = np.cumsum(sizes[order]) - sizes[order]
+    n = int(sizes.sum())
+    if not n:
+        return {k: x.copy() for k, x in w.items()}
     group = np.where(unseen, vocabulary.n_classes - 1, group) if unseen is not None else group
-    hidden, step = w["u"].shape[0], 0
-    moments = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in w.items()}
-    order = np.random.default_rng(seed).permutation(len(first) - 1)
-    order = order[np.argsort(np.diff(first)[order] // 64, kind="stable")]  # alike in length within a batch
-    batches = [order[i : i + batch] for i in range(0, len(order), batch)]
-    for b in np.random.default_rng(seed + 1).permutation(len(batches)):
-        docs = batches[b]
-        start, size = first[:-1][docs], np.diff(first)[docs]
-        h = np.zeros((len(docs), hidden), np.float32)
-        for lo in range(0, int(size.max()), window):
-            live = np.flatnonzero(size > lo)
-            span = min(window, int(size.max()) - lo)
-            grads, h = _window(w, inputs, group, start[live] + lo, size[live] - lo, span, h[live])
-            full = np.zeros((len(docs), hidden), np.float32)
-            full[live] = h
-            h = full
-            step += 1
-            norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-            scale = min(1.0, 5.0 / max(norm, 1e-6))
-            for k, g in grads.items():
-                m, v = moments[k]
-                g = g * scale
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                w[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-    return w
-
-
-def _window(w, inputs, group, start, size, span, h):
-    """Gradients of the mean loss of one window, and the state after it."""
-    hidden, classes, per, n = w["u"].shape[0], w["bin"].shape[0], w["bin"].shape[1], len(start)
-    table_x, u = w["wx"], w["u"]
-    kept = []
+    place = np.repeat(first[:-1][order] - begin, sizes[order]) + np.arange(n)
+    width = max(1, min(streams, n // (32 * window)))  # a small chunk has updates enough, too
+    steps = -(-n // width)
+    spare = width * steps - n
+    fresh = np.zeros(n + spare, bool)
+    fresh[begin[sizes[order] > 0]] = True
+    share = np.ones(n, np.float32) if mass is None else mass[place].astype(np.float32)
+    grid = lambda x: np.ascontiguousarray(np.concatenate((x, x[:1].repeat(spare))).reshape(width, steps).T)
+    token, target = grid(inputs[place].astype(np.int32)), grid(group[place].astype(np.int32))
+    keep = 1 - np.ascontiguousarray(fresh.reshape(width, steps).T).astype(np.float32)
+    share = np.ascontiguousarray(np.concatenate((share, np.zeros(spare, np.float32))).reshape(width, steps).T)
+    theta = flat(w).astype(np.float32)
+    own = _views(theta, w)
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    h = np.zeros((width, w["u"].shape[0]), np.float32)
+    for number, lo in enumerate(range(0, steps, window), 1):
+        part = slice(lo, lo + window)
+        grads, h = _window(own, token[part], target[part], keep[part], share[part], h)
+        g = flat(grads)
+        g *= min(1.0, 5.0 / max(float(np.sqrt(np.dot(g, g))), 1e-6))
+        m += 0.1 * (g - m)
+        v += 0.01 * (g * g - v)
+        theta -= (rate / (1 - 0.9**number)) * m / (np.sqrt(v / (1 - 0.99**number)) + 1e-6)
+    return shaped(theta, w)
+
+
+def _views(theta: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The named weights as views into one vector."""
+    out, at = {}, 0
+    for k in _NAMES:
+        out[k] = theta[at : at + like[k].size].reshape(like[k].shape)
+        at += like[k].size
+    return out
+
+
+def _window(w, token, target, keep, share, h):
+    """Gradients of one window's mean loss, and the state after it.
+
+    Arrays are (steps, streams): input and class of each token, 0 where a document begins (its
+    state is zero there), and how much the token counts. h is the state before the window.
+    """
+    span, n = token.shape
+    hidden, classes, per = w["u"].shape[0], w["bin"].shape[0], w["bin"].shape[1]
+    u, kind = w["u"], w["u"].dtype
+    gate = (w["emb"] @ w["wx"] + w["bx"])[token]
+    before, ahead, news = (np.empty((span, n, hidden), kind) for _ in range(3))
+    gates = np.empty((span, n, 2 * hidden), kind)
     for t in range(span):
-        on = (size > t)[:, None]
-        token = inputs[np.where(on[:, 0], start + t, start)]
-        x = w["emb"][token]
-        gate, back = x @ table_x + w["bx"], h @ u
-        zr = _sigmoid(gate[:, : 2 * hidden] + back[:, : 2 * hidden])
-        z, r = zr[:, :hidden], zr[:, hidden:]
-        new = np.tanh(gate[:, 2 * hidden :] + r * back[:, 2 * hidden :])
-        after = np.where(on, new + z * (h - new), h)
-        kept.append((on, token, x, h, back, z, r, new))
-        h = after
-    states = np.concatenate([k[3] for k in kept])
-    on = np.concatenate([k[0][:, 0] for k in kept])
-    at = np.flatnonzero(on)
-    place = (np.repeat(np.arange(span), n) + np.tile(start, span))[at]
-    own, target = states[at], group[place]
-    g = {k: np.zeros_like(x) for k, x in w.items()}
-    d = np.exp(_log_softmax(own @ w["wc"] + w["bc"]))
-    d[np.arange(len(at)), target] -= 1
-    d /= len(at)
-    g["wc"], g["bc"] = own.T @ d, d.sum(axis=0)
+        h = h * keep[t][:, None]
+        before[t] = h
+        back = h @ u
+        zr = _sigmoid(gate[t, :, : 2 * hidden] + back[:, : 2 * hidden])
+        new = np.tanh(gate[t, :, 2 * hidden :] + zr[:, hidden:] * back[:, 2 * hidden :])
+        gates[t], ahead[t], news[t] = zr, back[:, 2 * hidden :], new
+        h = new + zr[:, :hidden] * (h - new)
+    states, goal = before.reshape(-1, hidden), target.ravel()
+    weight = (share.ravel() / max(1e-6, float(share.sum()))).astype(kind)
+    d, total = _odds(states, w["wc"], w["bc"])
+    d *= (weight / total)[:, None]
+    d[np.arange(len(goal)), goal] -= weight
+    g = {"wc": states.T @ d, "bc": d.sum(axis=0), "win": np.zeros_like(w["win"]), "bin": np.zeros_like(w["bin"])}
     down = d @ w["wc"].T
-    for c, rows in _by_class(target, classes):
-        e = np.exp(_log_softmax(own[rows] @ w["win"][c] + w["bin"][c]))
-        e[np.arange(len(rows)), inputs[place[rows]] - c * per] -= 1
-        e /= len(at)
-        g["win"][c], g["bin"][c] = own[rows].T @ e, e.sum(axis=0)
-        down[rows] += e @ w["win"][c].T
-    out = np.zeros_like(states)
-    out[at] = down
-    out = out.reshape(span, n, hidden)
-    dh = np.zeros((n, hidden), np.float32)
+    word = token.ravel()
+    order, cuts = _by_class(goal, classes)
+    mine, heavy, slot = states[order], weight[order], (word - goal * per)[order]
+    back_down = np.empty((cuts[-1], hidden), kind)
+    for c, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        if a == b:
+            continue
+        e, total = _odds(mine[a:b], w["win"][c], w["bin"][c])
+        e *= (heavy[a:b] / total)[:, None]
+        e[np.arange(b - a), slot[a:b]] -= heavy[a:b]
+        np.matmul(mine[a:b].T, e, out=g["win"][c])
+        np.sum(e, axis=0, out=g["bin"][c])
+        np.matmul(e, w["win"][c].T, out=back_down[a:b])
+    down[order] += back_down
+    down = down.reshape(span, n, hidden)
+    into, within = np.empty((span, n, 3 * hidden), kind), np.empty((span, n, 3 * hidden), kind)
+    dh = np.zeros((n, hidden), kind)
     for t in range(span - 1, -1, -1):
-        live, token, x, before, back, z, r, new = kept[t]
-        through = np.where(live, dh, 0)
-        dnew = through * (1 - z) * (1 - new * new)
-        dz = through * (before - new) * z * (1 - z)
-        dr = dnew * back[:, 2 * hidden :] * r * (1 - r)
-        dgate = np.concatenate((dz, dr, dnew), axis=1)
-        dback = np.concatenate((dz, dr, dnew * r), axis=1)
-        g["wx"] += x.T @ dgate
-        g["bx"] += dgate.sum(axis=0)
-        g["u"] += before.T @ dback
-        np.add.at(g["emb"], token, dgate @ table_x.T)
-        dh = np.where(live, through * z, dh) + dback @ u.T + out[t]
-    return {k: x.astype(np.float32) for k, x in g.items()}, h
+        z, r, new = gates[t, :, :hidden], gates[t, :, hidden:], news[t]
+        dnew = dh * (1 - z) * (1 - new * new)
+        into[t, :, :hidden] = dh * (before[t] - new) * z * (1 - z)
+        into[t, :, hidden : 2 * hidden] = dnew * ahead[t] * r * (1 - r)
+        into[t, :, 2 * hidden :] = dnew
+        within[t, :, : 2 * hidden] = into[t, :, : 2 * hidden]
+        within[t, :, 2 * hidden :] = dnew * r
+        dh = (dh * z + within[t] @ u.T + down[t]) * keep[t][:, None]
+    order = np.argsort(word.astype(np.uint16), kind="stable")
+    at = np.flatnonzero(np.diff(word[order], prepend=-1))
+    sums = np.zeros((len(w["emb"]), 3 * hidden), kind)
+    sums[word[order[at]]] = np.add.reduceat(into.reshape(-1, 3 * hidden)[order], at, axis=0)
+    g |= {"emb": sums @ w["wx"].T, "wx": w["emb"].T @ sums, "bx": sums.sum(axis=0), "u": states.T @ within.reshape(-1, 3 * hidden)}
+    return g, h

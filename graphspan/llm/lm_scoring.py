@@ -5,7 +5,8 @@ their distinct word hashes per bucket, a bucket adds the counts up over all chun
 with the corpus count of its words. So no task holds the vocabulary, which grows with the corpus.
 The network's vocabulary, classes and biases come from the same counts. Its weights are trained by
 rounds of local passes over groups of documents whose weights are averaged. Each round has chunks of
-its own and together they have all, so that every training document is learned from once. Then every document is scored from its first token to its end token with the state carried on.
+its own and together they have all, so that every training document is learned from once. Then every
+document is scored from its first token to its end token with the state carried on.
 
 Words are told apart by 64-bit hashes.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from graphspan.llm import gated_lm as lm, textarrays as ta
-from graphspan.llm.chunks import CHUNK, dealt, emit, growth, in_order, with_fields
+from graphspan.llm.chunks import CHUNK, COPIES, dealt, emit, growth, in_order, restored, with_fields
 from graphspan.llm.language_id import fold
 from graphspan.session import materialise
 
@@ -43,8 +44,10 @@ class _Tokens:
         self.hash[body] = ta.word_hashes(data, starts, ends)
         held = table[HELD].combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
         self.held = held
+        self.copies = table[COPIES].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
         self.distinct, self.word = np.unique(self.hash, return_inverse=True)
-        self.learned = np.bincount(self.word[np.repeat(~held, np.diff(self.first))], minlength=len(self.distinct))
+        each = np.repeat(np.where(held, 0, self.copies), np.diff(self.first))
+        self.learned = np.bincount(self.word, each, len(self.distinct)).astype(np.int64)
 
     def cuts(self, buckets: int) -> list[tuple[int, int, int]]:
         """(bucket, from, to) of the distinct hashes, which are sorted and so are their buckets."""
@@ -61,7 +64,7 @@ def _offers(table: pa.Table, id_col: str, text_col: str, buckets: int) -> pa.Tab
             "bucket": pa.array([b for b, _, _ in cuts], pa.int32()),
             "chunk": pa.array([table[CHUNK][0].as_py()] * len(cuts), pa.int32()),
             "words": pa.array([ta.pack_rising(tokens.distinct[i:j]) for _, i, j in cuts], pa.binary()),
-            "counts": pa.array([tokens.learned[i:j].astype("<u4").tobytes() for _, i, j in cuts], pa.binary()),
+            "counts": pa.array([tokens.learned[i:j].astype("<i8").tobytes() for _, i, j in cuts], pa.binary()),
         }
     )
 
@@ -71,7 +74,7 @@ _ANSWER = f"{CHUNK} int, bucket int, counts binary, tokens long, types long, top
 
 def _totals(table: pa.Table, top: int) -> pa.Table:
     words = [ta.unpack_rising(x.as_py()) for x in table["words"]]
-    counts = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table["counts"]]).astype(np.int64)
+    counts = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in table["counts"]])
     distinct, at = np.unique(np.concatenate(words), return_inverse=True)
     total = np.bincount(at, counts, len(distinct)).astype(np.int64)
     known = total[total > 0]
@@ -112,13 +115,6 @@ def _counted(tokens: _Tokens, answers: pa.Table) -> np.ndarray:
     return np.concatenate([np.frombuffer(parts[b], "<i8") for b in sorted(parts)])[tokens.word]
 
 
-def _drawn(rows: DataFrame, number: int, some: int, chunks: int, part: float, seed: int, id_col: str, text_col: str, start: int | None = None) -> DataFrame:
-    """The `some` chunks of a round from `start` (by default next to those of the last), with the part of their documents drawn by hash."""
-    place = F.pmod(F.col(CHUNK) - F.lit(number * some if start is None else start), F.lit(chunks))
-    hit = F.pmod(F.xxhash64(F.lit(seed + number), id_col, text_col), F.lit(1 << 20)) < math.ceil(part * (1 << 20))
-    return rows.filter(place < some).select(CHUNK, place.cast("int").alias(PART), id_col, text_col, HELD, (hit & ~F.col(HELD)).alias("__gs_drawn"))
-
-
 def _summed(parts: DataFrame, n: int, fan_in: int = 64) -> DataFrame:
     """Sums of parts numbered below n, `fan_in` rows of weights a group at a time, until one group is left."""
     shape = pa.schema([(PART, pa.int32()), ("tokens", pa.int64()), ("weights", pa.binary())])
@@ -136,16 +132,15 @@ def _summed(parts: DataFrame, n: int, fan_in: int = 64) -> DataFrame:
 
 
 def _fit(
-    rows: DataFrame, answers: DataFrame, vocabulary: lm.Vocabulary, embed: int, hidden: int, rounds: int, part: float, chunks: int, seed: int, id_col: str, text_col: str,
+    rows: DataFrame, answers: DataFrame, vocabulary: lm.Vocabulary, embed: int, hidden: int, rounds: int, chunks: int, seed: int, id_col: str, text_col: str
 ) -> dict[str, np.ndarray]:
-    """Rounds of local passes, each over the part of chunks of its own and together over all chunks, from the mean of the last round's weights."""
+    """Rounds of local passes, each over chunks of its own and together over all, from the mean of the last round's weights."""
     weights = lm.fresh(vocabulary, embed, hidden, seed)
     session = rows.sparkSession
     known = session.sparkContext.broadcast(vocabulary)
     for number in range(rounds):
-        start = number * chunks // rounds
-        some = (number + 1) * chunks // rounds - start
-        if not some:
+        start, stop = number * chunks // rounds, (number + 1) * chunks // rounds
+        if start == stop:
             continue
         now = session.sparkContext.broadcast(weights)
 
@@ -153,24 +148,25 @@ def _fit(
             shape = pa.schema([(PART, pa.int32()), ("tokens", pa.int64()), ("weights", pa.binary())])
             if not len(table) or not len(told):
                 return shape.empty_table()
-            table = in_order(table, id_col, text_col)
-            tokens = _Tokens(table, text_col)
-            counts = _counted(tokens, told)
-            use = np.flatnonzero(table["__gs_drawn"].combine_chunks().to_numpy(zero_copy_only=False).astype(bool))
+            part = table[CHUNK][0].as_py() - start
+            tokens = _Tokens(in_order(table, id_col, text_col), text_col)
+            use = np.flatnonzero(~tokens.held)
             if not len(use):
                 return shape.empty_table()
+            counts = _counted(tokens, told)
             inputs, group, _ = known.value.find(tokens.hash, counts)
             unseen = (counts == 1) & (tokens.hash & np.uint64(1)).astype(bool)
             sizes = np.diff(tokens.first)[use]
             keep = np.repeat(tokens.first[:-1][use], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            own = lm.train(now.value, known.value, inputs[keep], group[keep], np.concatenate(([0], np.cumsum(sizes))), seed + number, unseen=unseen[keep])
-            mass = int(sizes.sum())
-            return pa.table({PART: [table[PART][0].as_py()], "tokens": [mass], "weights": [(lm.flat(own) * mass).astype("<f4").tobytes()]}, shape)
-
-        sample = _drawn(rows, number, some, chunks, part, seed, id_col, text_col, start)
-        told = answers.filter((F.col(CHUNK) >= start) & (F.col(CHUNK) < start + some))
-        made = sample.groupBy(CHUNK).cogroup(told.groupBy(CHUNK)).applyInArrow(local, f"{PART} int, tokens long, weights binary")
-        for sums in _summed(made, some).collect():  # one row at most
+            times = np.repeat(tokens.copies[use], sizes)
+            own = lm.train(now.value, known.value, inputs[keep], group[keep], np.concatenate(([0], np.cumsum(sizes))), seed + number, unseen=unseen[keep], mass=times)
+            mass = int(times.sum())
+            return pa.table({PART: pa.array([part], pa.int32()), "tokens": [mass], "weights": [(lm.flat(own).astype(np.float64) * mass).astype("<f4").tobytes()]}, shape)
+
+        within = (F.col(CHUNK) >= start) & (F.col(CHUNK) < stop)
+        sample = rows.filter(within).select(CHUNK, COPIES, id_col, text_col, HELD)
+        made = sample.groupBy(CHUNK).cogroup(answers.filter(within).groupBy(CHUNK)).applyInArrow(local, f"{PART} int, tokens long, weights binary")
+        for sums in _summed(made, stop - start).collect():  # one row at most
             weights = lm.shaped(np.frombuffer(sums["weights"], "<f4") / sums["tokens"], weights)
         now.unpersist()
     return weights
@@ -178,31 +174,35 @@ def _fit(
 
 def lm_scores(
     docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", top: int = 1024, embed: int = 12, hidden: int = 16,
-    train_tokens: int = 0, train_share: float = 1.0, rounds: int = 3, seed: int = 7, chunk_bytes: int = 4 << 20,
+    rounds: int = 3, seed: int = 7, chunk_bytes: int = 4 << 20,
 ) -> DataFrame:
     """docs with held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     held_out (a condition; none: nothing) marks documents that are scored but not learned from.
     base_score is the sum over tokens of log10((c + 0.1) / (N + 0.1 (V + 1))) with the token's
     count c, all counts N and distinct tokens V of the training documents; score is the network's
-    log10 probability of the text. Gradients are taken on a `train_share` of the training tokens
-    (by default all) and on `train_tokens` at least, once each, in `rounds` rounds over disjoint documents. A null text is empty: its only token is the end. Input columns
-    named like an output give way; repeated rows count and are scored each; ids are integers.
+    log10 probability of the text. Gradients are taken on every training document, once each, in
+    `rounds` rounds over disjoint documents.
+
+    A null text is empty: its only token is the end. Rows that are equal count each, are learned
+    from each (as one document that weighs as many) and are scored each; so is a row with a null id,
+    which no fold holds out. Among equally frequent words those of smaller hash are in the
+    vocabulary. Input columns named like an output give way, others pass through; ids are integers.
+    No documents give no rows.
     """
     held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     rows, chunks, size = dealt(docs.withColumn(HELD, held), id_col, text_col, chunk_bytes)
     buckets = max(1, -(-size // int((16 << 20) * min(4, growth(size)))))
-    offers = rows.select(CHUNK, id_col, text_col, HELD).groupBy(CHUNK).applyInArrow(lambda t: _offers(t, id_col, text_col, buckets), "bucket int, chunk int, words binary, counts binary")
+    offers = rows.select(CHUNK, COPIES, id_col, text_col, HELD).groupBy(CHUNK).applyInArrow(lambda t: _offers(t, id_col, text_col, buckets), "bucket int, chunk int, words binary, counts binary")
     answers = materialise(offers.groupBy("bucket").applyInArrow(lambda t: _totals(t, top), _ANSWER), "word-counts")
     vocabulary = _vocabulary(answers, top)
     counts = answers.select(CHUNK, "bucket", "counts")
 
-    part = min(1.0, max(train_share, train_tokens / max(1, vocabulary.total)))
-    weights = _fit(rows, counts, vocabulary, embed, hidden, rounds, part, chunks, seed, id_col, text_col)
+    weights = _fit(rows, counts, vocabulary, embed, hidden, rounds, chunks, seed, id_col, text_col)
 
     base = math.log10(vocabulary.total + 0.1 * (vocabulary.distinct + 1))
     fields = [T.StructField(n, k) for n, k in (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))]
-    schema = with_fields(docs.schema, fields)
+    schema = with_fields(docs.schema.add(COPIES, T.LongType()), fields)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weights))
 
     def scored(table: pa.Table, told: pa.Table) -> pa.Table:
@@ -223,7 +223,7 @@ def lm_scores(
         }
         return emit(table, schema, new)
 
-    return rows.groupBy(CHUNK).cogroup(counts.groupBy(CHUNK)).applyInArrow(scored, schema)
+    return restored(rows.groupBy(CHUNK).cogroup(counts.groupBy(CHUNK)).applyInArrow(scored, schema))
 
 
 def _kind(field: T.StructField) -> pa.DataType:

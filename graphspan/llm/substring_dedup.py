@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from graphspan.llm import textarrays as ta
-from graphspan.llm.chunks import CHUNK, dealt, emit, growth, in_order, with_fields
+from graphspan.llm.chunks import CHUNK, COPIES, dealt, emit, growth, in_order, restored, with_fields
 
 _MASK = np.uint64(0xFFFFFFFF)
 _SALT = 0x5851F42D4C957F2D
@@ -263,7 +263,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         T.StructField("spans", T.ArrayType(SPAN)),
         *([T.StructField("kept_text", T.StringType())] if with_text else []),
     ]
-    schema = with_fields(docs.withColumn(id_col, docs[id_col].cast("long")).schema, fields)
+    schema = with_fields(docs.withColumn(id_col, docs[id_col].cast("long")).schema.add(COPIES, T.LongType()), fields)
     bits = (
         rows.groupBy(CHUNK)
         .applyInArrow(lambda t: _residues(t, id_col, text_col, k, buckets), "bucket int, chunk int, residues binary, several binary")
@@ -277,7 +277,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .groupBy("bucket")
         .applyInArrow(_sources, f"{CHUNK} int, word binary, source binary, place binary")
     )
-    return rows.groupBy(CHUNK).cogroup(places.groupBy(CHUNK)).applyInArrow(lambda a, b: _cleaned(a, b, id_col, text_col, k, schema, with_text), schema)
+    return restored(rows.groupBy(CHUNK).cogroup(places.groupBy(CHUNK)).applyInArrow(lambda a, b: _cleaned(a, b, id_col, text_col, k, schema, with_text), schema))
 
 
 def repeated_paths(cleaned: DataFrame, id_col: str = "doc_id") -> DataFrame:

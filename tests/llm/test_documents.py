@@ -4,13 +4,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from fixtures import ALNUM, LOWER, SCHEMA, bytes_words, corpus
 from pyspark.sql import functions as F
 
 from graphspan.llm import decontaminate as decon, language_id, lm_scoring, packing, simhash, substring_dedup, textarrays, token_counts, training_order
-from graphspan.llm.chunks import ascii_lower
+from graphspan.llm.chunks import ascii_lower, dealt
 from graphspan.session import scratch
 
 
@@ -360,22 +361,85 @@ def test_lm_scores_base_and_training_help(docs):
         assert math.isfinite(r["score"]) and r["score"] < 0
 
 
-def test_lm_training_share_grows_and_rounds_differ(docs):
-    from graphspan.llm.chunks import CHUNK
-
-    held = language_id.fold("doc_id", 10) == 0
-    chunks, some = 8, 2
-    rows = docs.withColumns({lm_scoring.HELD: F.coalesce(held, F.lit(False)), CHUNK: F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")})
-    drawn = [lm_scoring._drawn(rows, r, some, chunks, 1.0, 7, "doc_id", "text") for r in range(4)]
-    seen = [{x[0] for x in d.select(CHUNK).distinct().collect()} for d in drawn]
-    assert not any(a & b for i, a in enumerate(seen) for b in seen[:i])
-    assert sum(d.count() for d in drawn) == docs.count()
-    assert not any(d.filter(f"__gs_drawn and {lm_scoring.HELD}").count() for d in drawn)
-    parts = docs.sparkSession.createDataFrame([(i, 2, np.full(5, i, "<f4").tobytes()) for i in range(150)], f"{lm_scoring.PART} int, tokens long, weights binary")
+def test_sums_of_weights(spark):
+    parts = spark.createDataFrame([(i, 2, np.full(5, i, "<f4").tobytes()) for i in range(150)], f"{lm_scoring.PART} int, tokens long, weights binary")
     (total,) = lm_scoring._summed(parts, 150, fan_in=4).collect()
     assert total["tokens"] == 300 and np.frombuffer(total["weights"], "<f4").tolist() == [sum(range(150))] * 5
-    score = lambda **how: sum(r["score"] for r in lm_scoring.lm_scores(docs, held, chunk_bytes=20_000, train_tokens=1, **how).filter("not held_out").collect())
-    assert score(train_share=1.0) > score(train_share=0.0)
+
+
+def test_lm_scores_follow_from_the_weights(spark, docs, monkeypatch):
+    """score is what a plain walk over words gives for the fitted weights, and it beats the base on documents held out."""
+    from graphspan.llm import gated_lm as lm
+
+    kept, fit = [], lm_scoring._fit
+    monkeypatch.setattr(lm_scoring, "_fit", lambda rows, answers, vocabulary, *rest: kept.append((vocabulary, fit(rows, answers, vocabulary, *rest))) or kept[0][1])
+    rng = np.random.default_rng(4)
+    words, rows = [f"w{i}" for i in range(60)], []
+    for i in range(1200):
+        own, at = [], int(rng.integers(60))
+        for _ in range(int(rng.integers(5, 120))):
+            own.append(words[at])
+            at = (at * 7 + int(rng.integers(3))) % 60
+        rows.append((i, " ".join(own)))
+    rows[3] = (3, None)
+    rows.append((5000, "odd words never met before"))
+    held = language_id.fold("doc_id", 10) == 0
+    got = lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), held, chunk_bytes=20_000).collect()
+    out = [r for r in got if r["held_out"]]
+    assert len(out) > 60 and sum(r["score"] for r in out) > sum(r["base_score"] for r in out) * 0.95
+    (vocabulary, w), counts = kept[0], Counter()
+    hashes = lambda t: [*(int(x) for x in _word_hashes(t)), int(lm_scoring.END)]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    for i, t in rows:
+        if not fold(i):
+            counts.update(hashes(t))
+    top = {int(h): int(p) for h, p in zip(vocabulary.hashes, vocabulary.place, strict=True)}
+    per, some = vocabulary.per_class, {0, 3, 10, 5000, *[i for i, _ in rows[:200] if fold(i)]}
+    of = {r["doc_id"]: r["score"] for r in got}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    w = {k: x.astype(np.float64) for k, x in w.items()}
+    for i, t in rows:
+        if i not in some:
+            continue
+        h, total, size = np.zeros(w["u"].shape[0]), 0.0, w["u"].shape[0]
+        for x in hashes(t):
+            place, c = top.get(x), counts[x]
+            band = c.bit_length() - 1 if c else vocabulary.bands
+            group = place // per if place is not None else vocabulary.classes + band
+            logits = h @ w["wc"] + w["bc"]
+            total += logits[group] - np.log(np.exp(logits).sum())
+            if place is not None:
+                inner = h @ w["win"][group] + w["bin"][group]
+                total += inner[place % per] - np.log(np.exp(inner).sum())
+            else:
+                total += math.log((c + 0.1) / vocabulary.band_mass[band] if c else 1 / (len(counts) + 1))
+            x_in = w["emb"][place if place is not None else vocabulary.classes * per + band] @ w["wx"] + w["bx"]
+            back = h @ w["u"]
+            z, r = sig(x_in[:size] + back[:size]), sig(x_in[size : 2 * size] + back[size : 2 * size])
+            new = np.tanh(x_in[2 * size :] + r * back[2 * size :])
+            h = new + z * (h - new)
+        assert abs(of[i] - total / math.log(10)) < 1e-3 * max(1, abs(of[i])), i
+
+
+def _word_hashes(text):
+    from graphspan.llm import textarrays as ta
+
+    data, bounds = ta.text_bytes(pa.array([text], pa.string()))
+    starts, ends, _ = ta.words(data, bounds)
+    return ta.word_hashes(data, starts, ends)
+
+
+@pytest.mark.parametrize("op", ["lm", "substring"])
+def test_equal_rows_are_dealt_as_one(spark, op):
+    rows = spark.range(20_000).selectExpr("cast(7 as bigint) as doc_id", "repeat('a b c d ', 8) as text").unionByName(spark.range(50).selectExpr("id + 100 as doc_id", "concat('x', id, ' y z') as text"))
+    dealt_rows, _, _ = dealt(rows, "doc_id", "text")
+    assert dealt_rows.count() == 51
+    if op == "lm":
+        got = lm_scoring.lm_scores(rows, rounds=1)
+        assert got.count() == 20_050 and got.first()["train_tokens"] == 20_000 * 33 + 50 * 4
+    else:
+        got = substring_dedup.substring_dedup(rows)
+        assert got.count() == 20_050 and got.filter("n_removed > 0").count() == 0
 
 
 @pytest.mark.parametrize("chunk_bytes", [5_000, 20_000, 1 << 22])
@@ -405,7 +469,8 @@ def test_network_gradients_and_learning():
     assert (share == 0).all()
     first = np.arange(0, 321, 40)
     w = lm.fresh(vocabulary, 6, 8, 1)
-    grads, _ = lm._window({k: x.astype(np.float64) for k, x in w.items()}, inputs, group, first[:-1], np.full(8, 40), 5, np.zeros((8, 8)))
+    grid = lambda x: np.stack([x[i : i + 5] for i in first[:-1]], axis=1)
+    grads, _ = lm._window({k: x.astype(np.float64) for k, x in w.items()}, grid(inputs), grid(group), np.ones((5, 8)), np.ones((5, 8)), np.zeros((8, 8)))
 
     def loss(weights):
         at = (first[:-1][:, None] + np.arange(5)).ravel()
