@@ -70,17 +70,81 @@ def with_killed(runs: DataFrame) -> DataFrame:
     return finished.unionByName(runs.filter(F.col("killed") & (F.col("algorithm") == "DeltaStepping")), allowMissingColumns=True)
 
 
-def main_data(runs: DataFrame, n_hosts: tuple[int, ...] | None = None) -> DataFrame:
+def _seconds(rows: DataFrame) -> DataFrame:
+    """Times in seconds instead of milliseconds, under the name without the unit."""
+    for name in ("total_time", "final_diameter_time"):
+        if f"{name}_ms" in rows.columns:
+            rows = rows.withColumn(name, F.col(f"{name}_ms") / 1000).drop(f"{name}_ms")
+    return rows
+
+
+def _hosts(rows: DataFrame, host_pattern: str | None) -> DataFrame:
+    return rows if host_pattern is None else rows.withColumn("n_hosts", F.regexp_count("hosts", F.lit(host_pattern)))
+
+
+def main_data(runs: DataFrame, n_hosts: tuple[int, ...] | None = None, host_pattern: str | None = None) -> DataFrame:
     """The runs compared: algorithms renamed, eccentricities doubled, times in seconds.
 
-    n_hosts keeps runs on that many hosts (names containing `eridano`), where runs have hosts.
+    n_hosts keeps runs on that many hosts, counted as matches of host_pattern in `hosts`.
     """
-    rows = with_killed(runs).withColumn("algorithm", renamed())
+    rows = _hosts(with_killed(runs).withColumn("algorithm", renamed()), host_pattern)
     if n_hosts is not None:
-        rows = rows.withColumn("n_hosts", F.regexp_count("hosts", F.lit("eridano"))).filter(F.col("n_hosts").isin(list(n_hosts)))
+        rows = rows.filter(F.col("n_hosts").isin(list(n_hosts)))
     rows = rows.filter(~F.col("dataset").isin(LEFT_OUT))
     rows = rows.withColumn("diameter", F.when(F.col("algorithm").isin(ONE_SIDED), 2 * F.col("diameter")).otherwise(F.col("diameter")))
-    return rows.withColumn("total_time", F.col("total_time_ms") / 1000).drop("total_time_ms", "hosts")
+    return _seconds(rows).drop("hosts")
+
+
+def scalability_data(runs: DataFrame, datasets: list[str], parameters: str, host_pattern: str) -> DataFrame:
+    """Finished runs of the clustering estimate on some data sets with fixed parameters, and their hosts."""
+    rows = runs.filter(~F.col("killed") & (F.col("algorithm") == "RandClusterGuess") & F.col("dataset").isin(datasets) & (F.col("parameters") == parameters))
+    return _seconds(_hosts(rows.withColumn("algorithm", renamed()), host_pattern)).drop("hosts")
+
+
+#: fixed values: radius of the chosen runs -> radius of the iteration it goes with
+RADIUS_OF = {295: 290, 2950: 2900, 29500: 29000, 295000: 290000, 2950000: 2900000}
+
+
+def diameter_insight_data(runs: DataFrame, shas: list[str]) -> DataFrame:
+    """(sha, iteration_radius, diameter, clustering_time) of chosen runs; the radius leads the parameters."""
+    rows = _seconds(runs.filter(F.col("sha").isin(shas)))
+    radius, _ = split_parameters(F.col("parameters"), 2)
+    of = F.lit(None).cast("long")
+    for a, b in RADIUS_OF.items():
+        of = F.when(radius == a, F.lit(b).cast("long")).otherwise(of)
+    return rows.select("sha", of.alias("iteration_radius"), "diameter", (F.col("total_time") - F.col("final_diameter_time")).alias("clustering_time"))
+
+
+def parameter_dependence(main: DataFrame, iterations: DataFrame, insight: DataFrame, key: str, dataset: str, parameters: str) -> DataFrame:
+    """The iterations of the runs of one data set and one setting, each with the diameter that the
+    chosen run of its radius found; durations in seconds."""
+    some = main.filter((F.col("dataset") == dataset) & (F.col("algorithm") == "ClusterDiameter") & (F.col("parameters") == parameters)).drop("diameter")
+    rows = some.join(iterations, key).withColumn("duration", F.col("duration_ms") / 1000).drop("duration_ms")
+    return rows.join(insight.select("iteration_radius", "diameter"), "iteration_radius")
+
+
+def static_diam_vs_time(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(graph_type, dataset, algorithm, parameters) with mean time in seconds and mean diameter; and
+    the bounds that the one-sided algorithms' means prove for each graph."""
+    by = ["graph_type", "dataset", "algorithm", "parameters"]
+    means = _seconds(runs).groupBy(*by).agg(F.avg("total_time").alias("total_time"), F.avg("diameter").alias("diameter"))
+    one_sided = means.filter(F.col("algorithm").isin(ONE_SIDED))
+    limits = one_sided.groupBy("graph_type", "dataset").agg(F.max(F.col("diameter") / 2).alias("diameter_lower"), F.min("diameter").alias("diameter_upper"))
+    return means, limits
+
+
+def counters_report(counters: DataFrame, main: DataFrame, names: list[str], last: int = 6) -> DataFrame:
+    """Of the `last` run ids in order: sha, parameters and the sum of each counter."""
+    sums = counters.groupBy("sha", "counter").agg(F.sum("count").alias("count"))
+    rows = sums.join(main.select("sha", "parameters"), "sha").groupBy("sha", "parameters").pivot("counter", names).agg(F.sum("count"))
+    return rows.orderBy(F.desc("sha"), F.desc("parameters")).limit(last)
+
+
+def center_progression(counters: DataFrame, main: DataFrame) -> DataFrame:
+    """The centres and uncovered nodes of the latest run, by its loops."""
+    latest = main.orderBy(F.desc("date"), F.desc("sha")).limit(1).select("sha", "parameters")
+    some = counters.join(F.broadcast(latest), "sha").groupBy("parameters", "outer_iter", "inner_iter")
+    return some.pivot("counter", ["Centers", "Uncovered"]).agg(F.sum("count"))
 
 
 def short_name(dataset: Column, keep_roads: bool = False) -> Column:
@@ -90,10 +154,14 @@ def short_name(dataset: Column, keep_roads: bool = False) -> Column:
 
 
 def bounds(main: DataFrame) -> DataFrame:
-    """(dataset, diameter_upper, diameter_lower, total_time): what the compared runs prove."""
-    upper = main.filter("algorithm = 'DeltaStepping'").groupBy("dataset").agg(F.min("diameter").alias("diameter_upper"))
+    """(dataset, diameter_upper, diameter_lower, total_time): what the compared runs prove.
+
+    A killed run proves nothing (its diameter is a mark), so it counts in the mean time alone.
+    """
+    done = main.filter(~F.col("killed"))
+    upper = done.filter("algorithm = 'DeltaStepping'").groupBy("dataset").agg(F.min("diameter").alias("diameter_upper"))
     half = F.when(F.col("algorithm") == "Sequential", F.col("diameter")).otherwise(F.floor(F.col("diameter") / 2)).cast("long")
-    lower = main.filter(F.col("algorithm").isin("DeltaStepping", "Sequential")).groupBy("dataset").agg(F.max(half).alias("diameter_lower")).dropna()
+    lower = done.filter(F.col("algorithm").isin("DeltaStepping", "Sequential")).groupBy("dataset").agg(F.max(half).alias("diameter_lower")).dropna()
     times = main.groupBy("dataset").agg(F.avg("total_time").alias("total_time"))
     return upper.join(lower, "dataset").join(times, "dataset").withColumn("dataset", short_name(F.col("dataset"))).dropna()
 

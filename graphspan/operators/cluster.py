@@ -1,6 +1,6 @@
 """Randomised clustering and the diameter estimate through the graph of clusters.
 
-A node is uncovered, covered or frozen. In round g every uncovered node becomes a centre with a
+A node is uncovered (it has no value), covered or frozen. In round g every uncovered node becomes a centre with a
 probability that grows with g; covered nodes then send their cluster along edges while their
 distance is within radius * (1 + g - generation), and what lies within it at the end freezes.
 Which node becomes a centre is a hash of seed, round and id, so a run can be repeated anywhere.
@@ -11,13 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graphspan.functions.bits import hash01
-from graphspan.operators.superstep import iterate, send, triplets
+from graphspan.operators.fixpoint import Best
+from graphspan.operators.superstep import triplets
 from graphspan.operators.transforms import adjacency, node_ids
 from graphspan.operators.traversal import double_sweep
-from graphspan.session import discard, materialise, materialise_with
-
-UNCOVERED, COVERED, FROZEN = 0, 1, 2
-
+from graphspan.session import bucketed, discard, materialise, materialise_with
 
 def sampled(seed: int, generation: int, probability: float) -> Column:
     """Whether a node becomes a centre in this round."""
@@ -25,20 +23,33 @@ def sampled(seed: int, generation: int, probability: float) -> Column:
 
 
 def within(radius: int, round_: int) -> Column:
-    return F.col("distance") <= F.lit(radius) * (1 + round_ - F.col("generation"))
+    """Whether a covered node's `value` lies in the round's reach."""
+    return F.col("value.distance") <= F.lit(radius) * (1 + round_ - F.col("value.generation"))
+
+
+def frozen(radius: int, round_: int, of: str = "value") -> Column:
+    """Whether a covered node was in reach at the end of an earlier round; it never changes again."""
+    generation = F.col(f"{of}.generation")
+    return (generation < round_) & (F.col(f"{of}.distance") <= F.lit(radius) * (round_ - generation))
 
 
 def message() -> Column:
     """What a covered node tells a neighbour; ordered so that the least one is the one to hear:
     newest generation, then shortest distance, then smallest root."""
-    return F.struct((-F.col("generation")).alias("older"), (F.col("distance") + F.col("w")).alias("distance"), F.col("root").alias("root"))
+    value = F.col("value")
+    return F.struct((-value["generation"]).alias("older"), (value["distance"] + F.col("w")).alias("distance"), value["root"].alias("root"))
+
+
+def accepts(radius: int, round_: int) -> Column:
+    """Whether a node takes the message it heard (the choice among messages came first): an
+    uncovered one does, a frozen one doesn't, another if it is nearer, and newer or of its own root."""
+    newer = (-F.col("msg.older") > F.col("known.generation")) | (F.col("msg.root") == F.col("known.root"))
+    return F.col("known").isNull() | (~frozen(radius, round_, "known") & (F.col("msg.distance") < F.col("known.distance")) & newer)
 
 
-def accepts() -> Column:
-    """Whether a node takes the message it heard; the choice among messages came first."""
-    newer = (-F.col("msg.older") > F.col("generation")) | (F.col("msg.root") == F.col("root"))
-    covered = (F.col("status") == COVERED) & (F.col("msg.distance") < F.col("distance")) & newer
-    return (F.col("status") == UNCOVERED) | F.coalesce(covered, F.lit(False))
+def _state(step: int, root: Column, distance: Column, generation: Column) -> Column:
+    """A covered node's value; the one of the latest step is the largest."""
+    return F.struct(F.lit(step).cast("long").alias("step"), root.alias("root"), distance.cast("long").alias("distance"), generation.cast("long").alias("generation"))
 
 
 def clusters(edges: DataFrame, radius: int, base: float = 2.0, seed: int = 1234, reactivate_fringe: bool = False) -> DataFrame:
@@ -50,68 +61,47 @@ def clusters(edges: DataFrame, radius: int, base: float = 2.0, seed: int = 1234,
     if radius < 1:
         raise ValueError("a radius under 1 need not end")
     adj = adjacency(edges)
-    none = F.lit(None).cast("long")
-    fresh = node_ids(edges).select("id", F.lit(UNCOVERED).alias("status"), none.alias("root"), none.alias("distance"), none.alias("generation"), F.lit(False).alias("updated"))
-    now, seen = materialise_with(fresh, "clusters", left=F.count("*"))
-    n, g = seen["left"], 0
-    while seen["left"]:
-        new = (F.col("status") == UNCOVERED) & sampled(seed, g, base**g / n)
-        begun = now.select(
-            "id",
-            F.when(new, COVERED).otherwise(_frozen(radius, g - 1)).alias("status"),
-            F.when(new, F.col("id")).otherwise(F.col("root")).alias("root"),
-            F.when(new, F.lit(0).cast("long")).otherwise(F.col("distance")).alias("distance"),
-            F.when(new, F.lit(g).cast("long")).otherwise(F.col("generation")).alias("generation"),
-            (new | F.col("updated") | _fringe(radius, g, reactivate_fringe)).alias("updated"),
-        )
-        can_send = (F.col("status") == COVERED) & F.col("updated") & within(radius, g)
-        take = accepts()
-        update = {
-            "status": F.when(take, COVERED).otherwise(F.col("status")),
-            "root": F.when(take, F.col("msg.root")).otherwise(F.col("root")),
-            "distance": F.when(take, F.col("msg.distance")).otherwise(F.col("distance")),
-            "generation": F.when(take, -F.col("msg.older")).otherwise(F.col("generation")),
-            "updated": take,
-        }
-
-        def grow(nodes: DataFrame, can_send=can_send, update=update) -> DataFrame:
-            return send(nodes, adj, should_send=can_send, message=message(), aggregate=F.min, update=update, update_no_msg={"updated": F.lit(False)})
-
-        measures = {"senders": F.count(F.when(can_send, 1)), "left": F.count(F.when(_frozen(radius, g) != FROZEN, 1))}
-        written, seen = materialise_with(begun, "clusters", **measures)
-        while seen["senders"]:
-            discard(now)
-            now = written
-            written, seen = materialise_with(grow(grow(now)), "clusters", **measures)
-        discard(now)
-        now, g = written, g + 1
-    return now.select("id", F.coalesce("root", "id").alias("root"), F.coalesce("distance", F.lit(0)).alias("distance"))
-
-
-def _frozen(radius: int, round_: int) -> Column:
-    """A node's status once the round's growth has ended."""
-    return F.when((F.col("status") == COVERED) & within(radius, round_), FROZEN).otherwise(F.col("status"))
-
-
-def _fringe(radius: int, g: int, on: bool) -> Column:
-    beyond = F.col("distance") >= F.lit(radius) * (g - F.col("generation"))
-    return F.coalesce((F.col("status") == COVERED) & beyond, F.lit(False)) if on else F.lit(False)
+    nodes, seen = bucketed(node_ids(edges), ["id"], "nodes", n=F.count("*"))
+    n, g, step = seen["n"], 0, 0
+    covered = Best(nodes.filter("false").withColumn("value", _state(0, F.col("id"), F.lit(0), F.lit(0))), ["id"], F.max, F.min)
+    last, sure = None, False  # what the last step changed, and so may send; whether all nodes are covered
+    while n:
+        centres, count = None, 0
+        if not sure:
+            free = covered.lookup(nodes.filter(sampled(seed, g, base**g / n))).filter("known is null")
+            centres, seen = materialise_with(free.select("id", _state(step, F.col("id"), F.lit(0), F.lit(g)).alias("value")), "centres", n=F.count("*"))
+            count, sure = seen["n"], base**g >= n
+        old = [last] if last is not None else []
+        if reactivate_fringe:
+            old.append(covered.known().filter(F.col("value.distance") >= F.lit(radius) * (g - F.col("value.generation"))))
+        senders = [x.filter(within(radius, g) & ~frozen(radius, g)) for x in old] + ([centres] if count else [])
+        active = bool(count) or any(not x.isEmpty() for x in senders)
+        if centres is not None:
+            covered.add(centres, count)
+        if not active and covered.known().filter(frozen(radius, g)).count() == n:
+            break
+        while active:
+            step += 1
+            rows = senders[0]
+            for x in senders[1:]:
+                rows = rows.union(x)
+            after = _state(step, F.col("msg.root"), F.col("msg.distance"), -F.col("msg.older"))
+            last, seen = covered.step(rows, adj, message(), accepts(radius, g), after, senders=F.count(F.when(within(radius, g), 1)))
+            senders, active = [last.filter(within(radius, g))], seen["senders"] > 0
+            last = last if seen["n"] else None
+        g += 1
+    discard(adj)
+    return covered.known().select("id", "value.root", "value.distance")
 
 
 def grow_once(edges: DataFrame, centres: DataFrame) -> DataFrame:
     """(id, root, distance): every reachable node with its nearest centre (id), the smallest of several."""
     adj = adjacency(edges)
-    start = centres.select("id", F.struct(F.lit(0).cast("long").alias("distance"), F.col("id").alias("root")).alias("best"), F.lit(True).alias("updated"))
-    better = F.col("best").isNull() | (F.col("msg") < F.col("best"))
-
-    def step(nodes: DataFrame, _: int) -> DataFrame:
-        mail = F.struct((F.col("best.distance") + F.col("w")).alias("distance"), F.col("best.root").alias("root"))
-        return send(
-            nodes, adj, should_send=F.col("updated"), message=mail, aggregate=F.min,
-            update={"best": F.when(better, F.col("msg")).otherwise(F.col("best")), "updated": better}, update_no_msg={"updated": F.lit(False)}, with_default=True,
-        )
-
-    return iterate(start, step, F.col("updated"), "wave", 3)[0].select("id", "best.root", "best.distance")
+    nearest = F.struct(F.lit(0).cast("long").alias("distance"), F.col("id").alias("root"))
+    best = Best(centres.select("id", nearest.alias("value")), ["id"])
+    best.spread(adj, F.struct((F.col("value.distance") + F.col("w")).alias("distance"), F.col("value.root").alias("root")))
+    discard(adj)
+    return best.known().select("id", "value.root", "value.distance")
 
 
 def quotient(edges: DataFrame, cluster: DataFrame) -> DataFrame:
@@ -125,27 +115,42 @@ def radii(cluster: DataFrame) -> DataFrame:
     return cluster.groupBy("root").agg(F.max("distance").alias("radius"))
 
 
-def estimate(edges: DataFrame, cluster: DataFrame) -> DataFrame:
+def estimate(edges: DataFrame, cluster: DataFrame, exact_quotient: bool = False) -> DataFrame:
     """(diameter, max_radius, n_clusters).
 
     One cluster: twice its radius. Else the largest, over components of the graph of clusters, of a
     double sweep and the radii at its two ends, and no less than the largest radius. A component of
-    one cluster counts with its radius alone.
+    one cluster counts with its radius alone. A double sweep is a lower bound on the diameter of the
+    graph of clusters; exact_quotient takes that diameter itself, from all its clusters at once
+    (for graphs of few clusters) and twice the largest radius, and is then no less than the true diameter.
     """
     spread = materialise(radii(cluster), "radii")
     whole = spread.agg(F.coalesce(F.max("radius"), F.lit(0)).alias("max_radius"), F.count("*").alias("n_clusters"))
     edges_between = materialise(quotient(edges, cluster), "quotient")
-    sweeps = double_sweep(edges_between)
+    sweeps = _all_pairs(edges_between) if exact_quotient else double_sweep(edges_between)
     a, b = spread.select(F.col("root").alias("start"), F.col("radius").alias("ra")), spread.select(F.col("root").alias("far"), F.col("radius").alias("rb"))
     longest = sweeps.join(a, "start").join(b, "far").agg(F.coalesce(F.max(F.col("sweep") + F.col("ra") + F.col("rb")), F.lit(0)).alias("through"))
     one = F.col("n_clusters") == 1
-    diameter = F.when(one, 2 * F.col("max_radius")).otherwise(F.greatest("max_radius", "through"))
+    least = 2 * F.col("max_radius") if exact_quotient else F.col("max_radius")
+    diameter = F.when(one, 2 * F.col("max_radius")).otherwise(F.greatest(least, "through"))
     return whole.join(F.broadcast(longest)).select(diameter.alias("diameter"), "max_radius", "n_clusters")  # one row each
 
 
-def rand_cluster(edges: DataFrame, radius: int, base: float = 2.0, seed: int = 1234, reactivate_fringe: bool = False) -> DataFrame:
+def _all_pairs(edges: DataFrame) -> DataFrame:
+    """(start, far, sweep) of every pair of connected nodes: the search starts from all at once."""
+    adj = adjacency(edges)
+    starts = node_ids(edges).select("id", F.col("id").alias("start"), F.lit(0).cast("long").alias("value"))
+    best = Best(starts, ["id", "start"])
+    best.spread(adj, F.col("value") + F.col("w"))
+    discard(adj)
+    return best.known().select("start", F.col("id").alias("far"), F.col("value").alias("sweep"))
+
+
+def rand_cluster(
+    edges: DataFrame, radius: int, base: float = 2.0, seed: int = 1234, reactivate_fringe: bool = False, exact_quotient: bool = False
+) -> DataFrame:
     """(diameter, max_radius, n_clusters) through clusters of the given radius."""
-    return estimate(edges, materialise(clusters(edges, radius, base, seed, reactivate_fringe), "cluster"))
+    return estimate(edges, materialise(clusters(edges, radius, base, seed, reactivate_fringe), "cluster"), exact_quotient)
 
 
 def rand_cluster_guess(edges: DataFrame, memory: int, init: int, step: int, seed: int = 1234) -> tuple[DataFrame, DataFrame]:

@@ -4,19 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from graphspan.operators.skew import split_hot
 from graphspan.session import discard, materialise_with
 
+_HUB = 1_000_000  # edges of one node that a task may well hold
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return _met(both.filter("v > u"), least, 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+
+
+def _met(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """rows joined with least on u; a hub's edges stay where they are, and its one answer goes to them."""
+    if total < _HUB:
+        return rows.join(least, "u")
+    hot, cold = split_hot(rows, least, "u", "n", total, _HUB)
+    return hot.union(cold)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = _met(down, least, total).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).filter("u <> v")
 
 
@@ -26,7 +37,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     Self loops, repeated edges and either direction are allowed; null ends are ignored.
     Each round rewires every edge to a smaller end (a few joins and partial aggregates), so the
     number of rounds grows with the logarithm of the graph, not with its diameter. The edges of a
-    round are written to the shared folder before the next one reads them.
+    round are written to the shared folder before the next one reads them. No hub's edges meet in
+    one task: 10,000 nodes at most, those with most edges, have their answer broadcast instead.
     """
     nodes = edges.select(F.col(u).alias("id")).union(edges.select(F.col(v).alias("id"))).filter("id is not null").distinct()
     start = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u <> v").distinct()
@@ -36,7 +48,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
         if not seen["n"]:
             break
         before = seen
-        nxt, seen = materialise_with(_small_star(_large_star(now).distinct()).distinct(), "cc", **mark)
+        nxt, seen = materialise_with(_small_star(_large_star(now, seen["n"]), seen["n"]).distinct(), "cc", **mark)
         discard(now)
         now = nxt
         if seen == before:

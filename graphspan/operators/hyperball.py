@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from graphspan.functions.bits import hash32, register_index, rho
+from graphspan.operators.fixpoint import Best
 from graphspan.operators.transforms import adjacency, node_ids
-from graphspan.session import discard, materialise
+from graphspan.session import discard
 
 
 def registers(edges: DataFrame, p: int) -> DataFrame:
@@ -29,16 +30,7 @@ def hyperball(edges: DataFrame, p: int) -> DataFrame:
     Only registers that changed are sent on: a neighbour has heard the others before.
     """
     adj = adjacency(edges)
-    now = materialise(registers(edges, p), "registers")
-    fresh, rounds = now, 0
-    while True:
-        heard = fresh.join(adj, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id"), "reg").agg(F.max("rho").alias("new"))
-        merged = now.join(heard, ["id", "reg"], "full_outer").select("id", "reg", F.greatest("rho", "new").alias("rho"), (F.col("new") > F.coalesce("rho", F.lit(0))).alias("up"))
-        written = materialise(merged, "registers")
-        changed = written.filter("up").select("id", "reg", "rho")
-        if not changed.limit(1).count():
-            break
-        discard(now)
-        now, fresh, rounds = written.select("id", "reg", "rho"), changed, rounds + 1
-        now._graphspan_path = written._graphspan_path
+    best = Best(registers(edges, p).withColumnRenamed("rho", "value"), ["id", "reg"], F.max)
+    rounds = best.spread(adj, F.col("value"))
+    discard(adj)
     return edges.sparkSession.createDataFrame([(rounds,)], "iterations long")

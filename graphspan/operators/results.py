@@ -71,6 +71,14 @@ def run_id_column(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary"), 256), 1, 6)
 
 
+COUNTERS = "sha string, counter string, outer_iter int, inner_iter int, count long"
+
+
+def read_csv(spark: SparkSession, path: str, schema: str = MAIN) -> DataFrame:
+    """Runs or counters (schema COUNTERS) kept as CSV with a header line."""
+    return spark.read.csv(path, schema=schema, header=True, enforceSchema=False)
+
+
 def append_run(spark: SparkSession, path: str, rows: list[tuple]) -> None:
     """Add runs (in the order of MAIN) to the store; a killed run has diameter -1."""
     spark.createDataFrame(rows, MAIN).write.mode("append").parquet(path)

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from graphspan.session import discard, materialise_with
+from graphspan.session import bucketed, discard
 
 
 def send(
@@ -54,20 +54,27 @@ def branch_all(rows: DataFrame, condition: Column, threshold: int = 0) -> tuple[
     return (nothing, rows, matches) if matches > threshold else (rows, nothing, matches)
 
 
-def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], active: Column, name: str, unroll: int = 1, max_steps: int = 1_000_000) -> tuple[DataFrame, int]:
-    """Apply step until no row is active; the state is written once every `unroll` steps.
+def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], active: Column, name: str, max_steps: int = 1_000_000, log: list[dict] | None = None) -> tuple[DataFrame, int]:
+    """Apply step until no row is active; the state is written after each, in buckets of its ids.
 
-    Returns the last state and the number of steps. Steps past the fixpoint must change nothing.
+    Returns the last state and the number of steps. RuntimeError if rows are still active after
+    max_steps. log is given a row for each step: step, active (rows that go on) and rows.
     """
-    left = F.count(F.when(active, 1))
-    now, seen = materialise_with(state, name, active=left)
+    measures = {"active": F.count(F.when(active, 1)), "rows": F.count("*")}
+    now, seen = bucketed(state, ["id"], name, **measures)
     steps = 0
-    while seen["active"] and steps < max_steps:
-        new = now
-        for _ in range(unroll):
-            new = step(new, steps)
-            steps += 1
-        written, seen = materialise_with(new, name, active=left)
+    while seen["active"]:
+        if steps >= max_steps:
+            raise RuntimeError(f"{seen['active']} rows are active after {steps} steps")
+        new, seen = bucketed(step(now, steps), ["id"], name, **measures)
+        steps += 1
+        if log is not None:
+            log.append({"step": steps, **seen})
         discard(now)
-        now = written
+        now = new
     return now, steps
+
+
+def log_table(spark: SparkSession, log: list[dict]) -> DataFrame:
+    """(step, active, rows) of iterate()'s log: how each superstep left the state."""
+    return spark.createDataFrame([(x["step"], x["active"], x["rows"]) for x in log], "step long, active long, rows long")

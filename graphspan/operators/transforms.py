@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from graphspan.functions.bits import block_of, hash32, morton_encode
 from graphspan.operators.components import connected_components
-from graphspan.session import materialise
+from graphspan.session import bucketed, discard, materialise
 
 
 def canonical(edges: DataFrame, keep_loops: bool = False) -> DataFrame:
@@ -22,8 +22,8 @@ def symmetric(edges: DataFrame) -> DataFrame:
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """The symmetric edges, written once for all supersteps and laid out by source."""
-    return materialise(symmetric(edges).repartition("src").sortWithinPartitions("src"), "adjacency")
+    """The symmetric edges, written once for all supersteps in buckets of their source."""
+    return bucketed(symmetric(edges), ["src"], "adjacency")[0]
 
 
 def node_ids(edges: DataFrame) -> DataFrame:

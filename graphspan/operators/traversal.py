@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graphspan.operators.components import connected_components
-from graphspan.operators.superstep import iterate, send
-from graphspan.operators.transforms import adjacency
-from graphspan.session import discard, materialise
-
-_UNROLL = 3
+from graphspan.operators.fixpoint import Best
+from graphspan.operators.transforms import adjacency, symmetric
+from graphspan.session import bucketed, discard, materialise
 
 
 def default_root(edges: DataFrame) -> int | None:
@@ -17,19 +15,11 @@ def default_root(edges: DataFrame) -> int | None:
     return edges.agg(F.min(F.least("u", "v"))).first()[0]
 
 
-def _relaxed(roots: DataFrame, adj: DataFrame, cost: Column, unroll: int = _UNROLL) -> DataFrame:
+def _relaxed(roots: DataFrame, adj: DataFrame, cost: Column) -> DataFrame:
     """(id, distance) of everything reachable from roots (id, distance), each by its shortest path."""
-    start = roots.select("id", "distance", F.lit(True).alias("updated"))
-    better = F.col("distance").isNull() | (F.col("msg") < F.col("distance"))
-
-    def step(nodes: DataFrame, _: int) -> DataFrame:
-        return send(
-            nodes, adj, should_send=F.col("updated"), message=F.col("distance") + cost, aggregate=F.min,
-            update={"distance": F.when(better, F.col("msg")).otherwise(F.col("distance")), "updated": better},
-            update_no_msg={"updated": F.lit(False)}, with_default=True,
-        )
-
-    return iterate(start, step, F.col("updated"), "distances", unroll)[0].select("id", "distance")
+    best = Best(roots.select("id", F.col("distance").alias("value")), ["id"])
+    best.spread(adj, F.col("value") + cost)
+    return best.known().withColumnRenamed("value", "distance")
 
 
 def _from_root(edges: DataFrame, root: int | None) -> DataFrame:
@@ -38,14 +28,21 @@ def _from_root(edges: DataFrame, root: int | None) -> DataFrame:
     return nodes.select(F.col("id").cast("long"), F.lit(0).cast("long").alias("distance"))
 
 
+def _distances(edges: DataFrame, root: int | None, cost: Column) -> DataFrame:
+    adj = adjacency(edges)
+    found = _relaxed(_from_root(edges, root), adj, cost)
+    discard(adj)
+    return found
+
+
 def bfs(edges: DataFrame, root: int | None = None) -> DataFrame:
     """(id, distance) in hops; weights are ignored. Unreached nodes are not in the result."""
-    return _relaxed(_from_root(edges, root), adjacency(edges), F.lit(1).cast("long"))
+    return _distances(edges, root, F.lit(1).cast("long"))
 
 
 def sssp(edges: DataFrame, root: int | None = None) -> DataFrame:
     """(id, distance) by weight, weights being non-negative."""
-    return _relaxed(_from_root(edges, root), adjacency(edges), F.col("w"))
+    return _distances(edges, root, F.col("w"))
 
 
 def delta_stepping(edges: DataFrame, delta: int, root: int | None = None) -> DataFrame:
@@ -55,34 +52,23 @@ def delta_stepping(edges: DataFrame, delta: int, root: int | None = None) -> Dat
     from the nodes it settled. The next bucket is the one of the nearest node left, so that empty
     buckets cost nothing. Distances are those of sssp() for every delta >= 1.
     """
-    adj = adjacency(edges)
+    adj, seen = bucketed(symmetric(edges), ["src"], "adjacency", heavy=F.count(F.when(F.col("w") > delta, 1)))
     light, heavy = adj.filter(F.col("w") <= delta), adj.filter(F.col("w") > delta)
-    now = materialise(_from_root(edges, root).select("id", "distance", F.lit(True).alias("updated"), F.lit(False).alias("settled")), "buckets")
-    better = F.col("distance").isNull() | (F.col("msg") < F.col("distance"))
-    update = {"distance": F.when(better, F.col("msg")).otherwise(F.col("distance")), "settled": F.col("settled") & ~better}
-    update["settled"] = F.coalesce(update["settled"], F.lit(False))
-    while (nearest := now.filter(~F.col("settled")).agg(F.min("distance")).first()[0]) is not None:
-        upto = delta * (nearest // delta + 1)
-        inside = F.col("distance") < upto
-        within = now.withColumn("updated", inside & ~F.col("settled"))
-
-        def relax(nodes: DataFrame, _: int) -> DataFrame:
-            return send(
-                nodes, light, should_send=F.col("updated") & inside, message=F.col("distance") + F.col("w"), aggregate=F.min,
-                update=update | {"updated": better}, update_no_msg={"updated": F.lit(False)}, with_default=True,
-            )
-
-        still, _ = iterate(within, relax, F.col("updated") & inside, "buckets", _UNROLL)
-        done = still.withColumn("updated", inside & ~F.col("settled")).withColumn("settled", inside)
-        sent = send(
-            done, heavy, should_send=F.col("updated"), message=F.col("distance") + F.col("w"), aggregate=F.min,
-            update=update | {"updated": F.lit(False)}, update_no_msg={"updated": F.lit(False)}, with_default=True,
-        )
-        written = materialise(sent, "buckets")
-        discard(now)
-        discard(still)
-        now = written
-    return now.select("id", "distance")
+    best = Best(_from_root(edges, root).select("id", F.col("distance").alias("value")), ["id"])
+    upto, further = 0, F.col("value") + F.col("w")
+    while (nearest := best.known().filter(F.col("value") >= upto).agg(F.min("value")).first()[0]) is not None:
+        low, upto = delta * (nearest // delta), delta * (nearest // delta + 1)
+        inside = F.col("value") < upto
+        frontier = best.known().filter(inside & (F.col("value") >= low))
+        while True:
+            fresh, now = best.step(frontier, light, further, inside=F.count(F.when(inside, 1)))
+            if not now["inside"]:
+                break
+            frontier = fresh.filter(inside)
+        if seen["heavy"]:
+            best.step(best.known().filter(inside & (F.col("value") >= low)), heavy, further)
+    discard(adj)
+    return best.known().withColumnRenamed("value", "distance")
 
 
 def eccentricity(distances: DataFrame) -> DataFrame:
@@ -107,7 +93,9 @@ def double_sweep(edges: DataFrame) -> DataFrame:
         return reached.groupBy("component").agg(best.alias("x")).select("component", (-F.col("x.minus")).alias("id"), F.col("x.distance").alias("distance"))
 
     first = materialise(farthest(parts.filter("id = component").select("id", F.lit(0).cast("long").alias("distance"))), "sweep")
-    second = farthest(first.select("id", F.lit(0).cast("long").alias("distance")))
+    second = materialise(farthest(first.select("id", F.lit(0).cast("long").alias("distance"))), "sweep")
+    discard(adj)
+    discard(parts)
     return second.select("component", F.col("id").alias("far"), F.col("distance").alias("sweep")).join(
         first.select("component", F.col("id").alias("start")), "component"
     ).select("component", "start", "far", "sweep")

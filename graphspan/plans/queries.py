@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from graphspan.functions import bits
 from graphspan.operators import analysis, cluster, hyperball, results, superstep, transforms, traversal
 from graphspan.operators.components import connected_components
-from graphspan.session import materialise
-from graphspan.sources import graphs
+from graphspan.session import materialise, scratch
+from graphspan.sources import catalog, graphs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SIDE = 10  # of the mesh queries
+DELTA = 10  # light edges are no heavier
+RADIUS = 5  # of the clusters
+MEMORY, FIRST, GROWTH = 20, 1, 4  # of the guesses
 CENTRES = 16  # a node is a fixed centre if its hash is divisible by this
 
 
@@ -136,7 +139,8 @@ def block_assign(spark, sf_dir):
 @query
 def node_blocks(spark, sf_dir):
     ids = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("id"))
-    return ids.filter("id < 4 * 4096").select("id", F.explode(bits.node_blocks(F.col("id"), 4096, 4)).alias("block"))
+    per = ids.agg(F.max("id")).first()[0] // 4 + 1
+    return ids.select("id", F.explode(bits.node_blocks(F.col("id"), per, 4)).alias("block"))
 
 
 @query
@@ -290,12 +294,12 @@ def sssp(spark, sf_dir):
 
 @query
 def delta_stepping(spark, sf_dir):
-    return traversal.delta_stepping(graphs.part_supplier(spark, sf_dir), 100)
+    return traversal.delta_stepping(graphs.part_supplier(spark, sf_dir), DELTA)
 
 
 @query
 def delta_stepping_ecc(spark, sf_dir):
-    return traversal.eccentricity(traversal.delta_stepping(graphs.part_supplier(spark, sf_dir), 150))
+    return traversal.eccentricity(traversal.delta_stepping(graphs.part_supplier(spark, sf_dir), 5))
 
 
 @query
@@ -306,7 +310,7 @@ def ecc_bounds(spark, sf_dir):
 @query
 def light_heavy_split(spark, sf_dir):
     edges = graphs.part_supplier(spark, sf_dir)
-    return edges.groupBy((F.col("w") <= 49).alias("light")).agg(F.count("*").alias("n_edges"), F.min("w").alias("least"), F.max("w").alias("largest"))
+    return edges.groupBy((F.col("w") <= DELTA).alias("light")).agg(F.count("*").alias("n_edges"), F.min("w").alias("least"), F.max("w").alias("largest"))
 
 
 @query
@@ -382,7 +386,7 @@ def quotient_edges(spark, sf_dir):
 def cluster_invariants(spark, sf_dir):
     """What must hold of any clustering, counted: nodes, repeats, roots without a node, roots elsewhere, distances under the true ones."""
     edges = graphs.part_supplier(spark, sf_dir)
-    found = materialise(cluster.clusters(edges, 49), "cluster")
+    found = materialise(cluster.clusters(edges, RADIUS), "cluster")
     nodes = transforms.node_ids(edges)
     roots = found.select(F.col("root").alias("id")).distinct()
     true = cluster.grow_once(edges, roots).select("id", F.col("distance").alias("nearest"))
@@ -395,33 +399,103 @@ def cluster_invariants(spark, sf_dir):
 
 
 @query
-def cluster_diameter_bounds(spark, sf_dir):
-    """Whether the estimate lies between the largest radius and four times what it must reach."""
-    edges = graphs.part_supplier(spark, sf_dir)
-    lower = traversal.single_pass(edges).first()["diameter"]
-    found = cluster.rand_cluster(edges, 49)
-    return found.select((F.col("max_radius") <= F.col("diameter")).alias("radius_holds"), (F.lit(lower) <= 4 * F.col("diameter")).alias("diameter_holds"))
+def cluster_assignment(spark, sf_dir):
+    return cluster.clusters(graphs.part_supplier(spark, sf_dir), RADIUS)
 
 
 @query
-def guess_centres_le_memory(spark, sf_dir):
-    """Whether the last guess fits, and only the last."""
-    _, tried = cluster.rand_cluster_guess(graphs.part_supplier(spark, sf_dir), 100, 49, 10)
-    last = tried.agg(F.max("iteration")).first()[0]
-    return tried.agg(
-        F.max(F.when(F.col("iteration") == last, F.col("num_centers") <= 100)).alias("last_fits"),
-        F.coalesce(F.max(F.when(F.col("iteration") < last, F.col("num_centers") <= 100)), F.lit(False)).alias("earlier_fits"),
-    )
+def cluster_messages(spark, sf_dir):
+    """Which of the messages to a node is heard: newest generation, then distance, then root."""
+    mail = F.struct((-(F.col("l_linenumber") % 3).cast("long")).alias("older"), F.col("l_quantity").cast("long").alias("distance"), F.col("l_suppkey").cast("long").alias("root"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").cast("long").alias("id"), mail.alias("msg"))
+    return lines.groupBy("id").agg(F.min("msg").alias("msg")).select("id", (-F.col("msg.older")).alias("generation"), "msg.distance", "msg.root")
+
+
+@query
+def guess_tried(spark, sf_dir):
+    """The radii tried until the clusters' centres fit, and how many there were."""
+    return cluster.rand_cluster_guess(graphs.part_supplier(spark, sf_dir), MEMORY, FIRST, GROWTH)[1]
 
 
 @query
 def rand_cluster(spark, sf_dir):
-    return cluster.rand_cluster(graphs.part_supplier(spark, sf_dir), 98)
+    return cluster.rand_cluster(graphs.part_supplier(spark, sf_dir), RADIUS)
+
+
+@query
+def rand_cluster_exact(spark, sf_dir):
+    """The estimate through the exact diameter of the graph of clusters."""
+    return cluster.rand_cluster(graphs.part_supplier(spark, sf_dir), RADIUS, exact_quotient=True)
 
 
 @query
 def rand_cluster_guess(spark, sf_dir):
-    return cluster.rand_cluster_guess(graphs.part_supplier(spark, sf_dir), 100, 49, 10)[0]
+    return cluster.rand_cluster_guess(graphs.part_supplier(spark, sf_dir), MEMORY, FIRST, GROWTH)[0]
+
+
+# ---- files
+
+
+def _written(spark, sf_dir, line):
+    """The line items as lines of text, read as a file of the graph would be."""
+    path = scratch(spark, "edge-text")
+    _raw(spark, sf_dir).select(F.format_string(line, "u", F.col("v") + 1_000_000, "w").alias("value")).write.text(path)
+    return path
+
+
+@query
+def read_edge_list(spark, sf_dir):
+    return graphs.read_edge_list(spark, _written(spark, sf_dir, "%d\t%d"))
+
+
+@query
+def read_weighted_list(spark, sf_dir):
+    return graphs.read_edge_list(spark, _written(spark, sf_dir, "%d %d %d"), weighted=True)
+
+
+@query
+def read_road_network(spark, sf_dir):
+    return graphs.read_road_network(spark, _written(spark, sf_dir, "a %d %d %d"))
+
+
+@query
+def edge_table(spark, sf_dir):
+    """The part-supplier graph from a blocked edge table."""
+    path = scratch(spark, "edge-table")
+    transforms.write_edge_table(transforms.remap(graphs.part_supplier(spark, sf_dir)), path, 4)
+    return spark.read.parquet(path).select("u", "v", "w", F.col("block").cast("long").alias("block"))
+
+
+@query
+def catalog_names(spark, sf_dir):
+    """How many catalog names there are of each kind."""
+    rows = spark.createDataFrame([(x,) for x in catalog.names()], "name string")
+    kind = F.when(F.col("name").endswith("-lcc"), "component").when(F.col("name").endswith("-rweight"), "weights").when(F.col("name").rlike("-x[0-9]+$"), "layers").otherwise("base")
+    return rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query
+def catalog_mesh(spark, sf_dir):
+    """A name that stands for a component of random weights: the mesh is connected, ids stay."""
+    return catalog.resolve(spark, "mesh-rw-10-lcc")
+
+
+@query
+def superstep_log(spark, sf_dir):
+    """How many nodes each superstep of a hop search woke, and how many it had reached."""
+    edges = graphs.part_supplier(spark, sf_dir)
+    adj, log = transforms.adjacency(edges), []
+    root = edges.agg(F.min(F.least("u", "v"))).first()[0]
+    start = spark.createDataFrame([(root, 0, True)], "id long, distance long, active boolean")
+
+    def step(nodes, _):
+        return superstep.send(
+            nodes, adj, should_send=F.col("active"), message=F.col("distance") + 1, aggregate=F.min,
+            update={"distance": F.coalesce("distance", "msg"), "active": F.col("distance").isNull()}, update_no_msg={"active": F.lit(False)}, with_default=True,
+        )
+
+    superstep.iterate(start, step, F.col("active"), "hops", log=log)
+    return superstep.log_table(spark, log)
 
 
 # ---- run records
@@ -478,7 +552,7 @@ def bounds(spark, sf_dir):
 @query
 def best_per_group(spark, sf_dir):
     best = analysis.best_per_group(analysis.main_data(_runs(spark, sf_dir)), "run_id")
-    return best.select("dataset", "algorithm", "run_id", "diameter", "total_time", "killed")
+    return best.select("dataset", "algorithm", "run_id", "diameter", "total_time", "killed", "label")
 
 
 @query
@@ -517,11 +591,94 @@ def center_fraction(spark, sf_dir):
     return analysis.center_fraction(rows, nodes).withColumn("fraction", F.round("fraction", 9))
 
 
+def _timed(spark, sf_dir):
+    """Run records with ids, hosts and the time of the last phase; the clustering runs' radius varies."""
+    rows = _runs(spark, sf_dir)
+    radius = F.element_at(F.array(*[F.lit(str(x)) for x in analysis.RADIUS_OF]), (F.col("run_id") % 5 + 1).cast("int"))
+    clustered = F.col("algorithm") == "RandClusterGuess"
+    return rows.withColumns(
+        {
+            "sha": results.run_id_column(F.col("run_id")), "hosts": F.concat_ws(",", F.array_repeat(F.lit("node:1"), (F.col("run_id") % 3).cast("int"))),
+            "final_diameter_time_ms": F.floor(F.col("total_time_ms") / 4), "parameters": F.when(clustered, F.concat(radius, F.lit(":29,10"))).otherwise(F.col("parameters")),
+        }
+    )
+
+
+@query
+def scalability_data(spark, sf_dir):
+    rows = analysis.scalability_data(_timed(spark, sf_dir), ["USA", "USA-x10"], "2950:29,10", "node")
+    return rows.select("run_id", "dataset", "algorithm", "n_hosts", F.round("total_time", 4).alias("total_time"), F.round("final_diameter_time", 4).alias("final_diameter_time"))
+
+
+CHOSEN = [2, 5, 8, 11, 14, 17, 20, 23, 26, 29]  # run ids of the insight table
+
+
+@query
+def diameter_insight(spark, sf_dir):
+    rows = analysis.diameter_insight_data(_timed(spark, sf_dir), [results.run_id(x) for x in CHOSEN])
+    return rows.withColumn("clustering_time", F.round("clustering_time", 4))
+
+
+def _dependence(spark, sf_dir):
+    timed = _timed(spark, sf_dir)
+    insight = analysis.diameter_insight_data(timed, [results.run_id(x) for x in CHOSEN])
+    return analysis.parameter_dependence(analysis.main_data(timed), _iterations(spark, sf_dir), insight, "run_id", "USA", "29500:29,10")
+
+
 @query
 def parameter_dependence(spark, sf_dir):
-    main = analysis.main_data(_runs(spark, sf_dir)).filter("dataset = 'USA' and algorithm = 'ClusterDiameter' and parameters = '100000:29,10'")
-    rows = main.join(_iterations(spark, sf_dir), "run_id")
-    return rows.groupBy("iteration_radius").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("duration_ms"), F.max("num_centers").alias("num_centers"))
+    """Iterations, their durations and the diameters of the runs chosen for their radius."""
+    return _dependence(spark, sf_dir).select("run_id", "iteration", "iteration_radius", F.round("duration", 4).alias("duration"), "num_centers", "diameter")
+
+
+@query
+def parameter_dependence_frame(spark, sf_dir):
+    """Duration and diameter over the radius as a multiple of the average weight."""
+    rows = _dependence(spark, sf_dir).filter("iteration_radius >= 290").withColumn("iteration_radius_multiple", F.col("iteration_radius") / 2900)
+    return rows.groupBy("iteration_radius_multiple").agg(F.count("*").alias("n"), F.round(F.sum("duration"), 4).alias("duration"), F.max("diameter").alias("diameter"))
+
+
+def _static(spark, sf_dir):
+    rows = analysis.with_killed(_runs(spark, sf_dir)).withColumn("graph_type", analysis.graph_type(F.col("dataset")))
+    return analysis.static_diam_vs_time(rows)
+
+
+@query
+def static_diam_vs_time(spark, sf_dir):
+    return _static(spark, sf_dir)[0].withColumns({"total_time": F.round("total_time", 4), "diameter": F.round("diameter", 4)})
+
+
+@query
+def static_bounds(spark, sf_dir):
+    return _static(spark, sf_dir)[1].withColumns({x: F.round(x, 4) for x in ("diameter_lower", "diameter_upper")})
+
+
+def _counters(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return lines.select(
+        results.run_id_column(F.col("l_orderkey")).alias("sha"), F.when(F.col("l_linenumber") % 2 == 0, "Centers").otherwise("Uncovered").alias("counter"),
+        F.ceil(F.col("l_linenumber") / 2).cast("int").alias("outer_iter"), F.lit(0).alias("inner_iter"), F.col("l_quantity").cast("long").alias("count"),
+    )
+
+
+@query
+def counters_report(spark, sf_dir):
+    main = _timed(spark, sf_dir).withColumnRenamed("run_date", "date")
+    return analysis.counters_report(_counters(spark, sf_dir), main, ["Centers", "Uncovered"])
+
+
+@query
+def center_progression(spark, sf_dir):
+    return analysis.center_progression(_counters(spark, sf_dir), _timed(spark, sf_dir).withColumnRenamed("run_date", "date"))
+
+
+@query
+def runs_from_csv(spark, sf_dir):
+    """Run records written as CSV and read again."""
+    path = scratch(spark, "runs-csv")
+    _runs(spark, sf_dir).write.csv(path, header=True)
+    kinds = "run_id long, seed long, dataset string, algorithm string, parameters string, diameter long, total_time_ms long, run_date string, killed boolean"
+    return results.read_csv(spark, path, kinds).select("run_id", "algorithm", "diameter", "killed")
 
 
 @query

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
@@ -58,12 +59,36 @@ def materialise_with(df: DataFrame, name: str, **measures: Column) -> tuple[Data
     """materialise(), and aggregates of the rows that ride on the write instead of a job of their own."""
     seen = Observation()
     out = materialise(df.observe(seen, *[m.alias(k) for k, m in measures.items()]), name)
-    return out, seen.get
+    return out, _told(seen, out, measures)
+
+
+def _told(seen: Observation, out: DataFrame, measures: dict[str, Column]) -> dict:
+    try:
+        return seen.get
+    except Py4JJavaError:  # a plan found empty while it ran is replaced whole, and with it what observes it
+        return out.agg(*[m.alias(k) for k, m in measures.items()]).first().asDict()
+
+
+def bucketed(df: DataFrame, keys: list[str], name: str = "table", **measures: Column) -> tuple[DataFrame, dict]:
+    """materialise_with(), laid out by a hash of keys in as many buckets as a shuffle has partitions.
+
+    A join or a grouping by these keys then reads the table where it lies: only the other side moves.
+    """
+    spark = df.sparkSession
+    path, table, buckets = scratch(spark, name), f"graphspan_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    seen = Observation() if measures else None
+    rows = df.observe(seen, *[m.alias(k) for k, m in measures.items()]) if measures else df
+    rows.repartition(buckets, *keys).write.format("parquet").option("path", path).bucketBy(buckets, *keys).saveAsTable(table)
+    out = spark.table(table)
+    out._graphspan_path, out._graphspan_table = path, table
+    return out, _told(seen, out, measures) if measures else {}
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files behind a materialised table that nothing reads any more."""
-    path = getattr(df, "_graphspan_path", None)
+    path, table = getattr(df, "_graphspan_path", None), getattr(df, "_graphspan_table", None)
+    if table:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
     if path:
         spark = df.sparkSession
         target = spark._jvm.org.apache.hadoop.fs.Path(path)

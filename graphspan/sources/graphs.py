@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from graphspan.functions.bits import hash01, hash32
 from graphspan.operators.transforms import canonical
+from graphspan.session import materialise
 
 
 def _columns(lines: DataFrame, names: tuple[str, ...], first: int) -> DataFrame:
@@ -55,15 +56,25 @@ def mesh_random_weights(spark: SparkSession, side: int, low: int, high: int, see
 
 
 def part_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts and suppliers of large line items; the weight is the least quantity."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_quantity >= 49")
-    return lines.groupBy(F.col("l_partkey").alias("u"), (F.col("l_suppkey") + 1_000_000).alias("v")).agg(F.min("l_quantity").cast("long").alias("w"))
+    """Parts and suppliers of all line items; the weight is the least quantity."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return lines.groupBy(F.col("l_partkey").cast("long").alias("u"), (F.col("l_suppkey") + 1_000_000).cast("long").alias("v")).agg(F.min("l_quantity").cast("long").alias("w"))
 
 
 def event_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users of consecutive events; the weight counts how often. One order over all events."""
-    before = F.lag("user_id").over(Window.partitionBy(F.lit(0)).orderBy("ts", "event_id"))
-    pairs = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("a"), before.alias("b")).filter("a <> b")
+    """Users of consecutive events, in one order over all events; the weight counts how often.
+
+    The events are dealt by ranges of that order; each range looks back within itself, and its first
+    event to the last one of the range before it, of which there are as many as ranges.
+    """
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_id", "user_id")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialise(events.repartitionByRange(parts, "ts", "event_id").withColumn("part", F.spark_partition_id()), "events")
+    own = Window.partitionBy("part").orderBy("ts", "event_id")
+    last = rows.groupBy("part").agg(F.max(F.struct("ts", "event_id", "user_id")).alias("last")).select("part", F.col("last.user_id").alias("last"))
+    last = last.select("part", F.lag("last").over(Window.partitionBy(F.lit(0)).orderBy("part")).alias("earlier"))
+    seen = rows.select("part", F.col("user_id").alias("a"), F.lag("user_id").over(own).alias("b"), F.row_number().over(own).alias("i"))
+    pairs = seen.join(F.broadcast(last), "part").select("a", F.when(F.col("i") == 1, F.col("earlier")).otherwise(F.col("b")).alias("b")).filter("a <> b")
     return pairs.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.count("*").alias("w"))
 
 
