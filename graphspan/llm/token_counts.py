@@ -12,29 +12,36 @@ import base64
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from graphspan.session import materialise
 
 BLOCK = 512
-RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: the setting that names the queries' vocabulary file, and its folder and name if it is unset
+SETTING, FOLDER, NAME = "spark.graphspan.vocabulary", "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 #: fixed value: how the vocabulary above splits text before byte pairs are merged
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _encoders: dict[int, object] = {}
 
 
-def encoded_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str = RANKS) -> DataFrame:
+def vocabulary(spark: SparkSession) -> str:
+    """The vocabulary file of the queries."""
+    return spark.conf.get(SETTING, None) or f"{FOLDER}/{NAME}"
+
+
+def encoded_lengths(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, length): tokens of the whole text in a byte-level BPE vocabulary, special tokens as text.
 
-    The driver reads the vocabulary (a few MB at most) and broadcasts it. A null text has no tokens.
+    The driver reads the vocabulary (a few MB at most) and broadcasts it. A null or empty text has no
+    tokens. Repeated rows and null ids are rows like others; other columns are not read.
     """
     with open(ranks_path, "rb") as f:
         raw = f.read()
     shared = docs.sparkSession.sparkContext.broadcast(raw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(shared.value).encode_ordinary
+        encode = encoder(shared.value).encode_ordinary
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
@@ -44,7 +51,8 @@ def encoded_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, length long")
 
 
-def _encoder(raw: bytes):
+def encoder(raw: bytes):
+    """The vocabulary's encoder, made once a worker."""
     import tiktoken
 
     if hash(raw) not in _encoders:
@@ -63,7 +71,7 @@ def limit_table(histogram: DataFrame) -> DataFrame:
 
     context_limit, n_docs (of this length), n_upto, n_longer, tokens_total, tokens_kept (every
     document cut to the limit), tokens_cut, quantile (share of documents of at most this length).
-    Any other limit is answered by at_limit(). Nothing for an empty histogram.
+    Documents of equal length are one row. Any other limit is answered by at_limit(). Nothing for an empty histogram.
     """
     cells = materialise(histogram.withColumn("block", F.floor(F.col("length") / BLOCK)).withColumn("tokens", F.col("length") * F.col("n_docs")), "lengths")
     blocks = cells.groupBy("block").agg(F.sum("n_docs").alias("bn"), F.sum("tokens").alias("bt"))
@@ -99,4 +107,4 @@ def at_limit(histogram: DataFrame, limits: list[int]) -> DataFrame:
 
 def op8(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return limit_table(length_histogram(encoded_lengths(docs)))
+    return limit_table(length_histogram(encoded_lengths(docs, vocabulary(spark))))

@@ -1,18 +1,20 @@
 """Token sequences in training order, as shards of fixed stride.
 
-Documents are tokenised to bytes (ids 0-247 as UTF-8 uses them), each followed by the end id 255;
-the documents of a partition form a stream that is cut into sequences of equal length, the last
-filled with the pad id 254. Sequences are numbered 0..N-1 and a keyed Feistel network, walking its
-cycles until a number falls below N, permutes the numbers into slots: the training order, known for
-any sequence without a shuffle table and invertible. Slots are dealt by range to shards, in order,
-each sequence a record of fixed size, so that reading on from slot s is one seek.
-
-A record is the sequence's ids and one closing newline byte, which the writer puts there.
+Documents are encoded with a byte-level BPE vocabulary (or as UTF-8 bytes), each followed by an end
+id; the documents of a partition form a stream that is cut into sequences of equal length, the last
+filled with a pad id. Sequences are numbered 0..N-1 and a keyed Feistel network, walking its cycles
+until a number falls below N, permutes the numbers into slots: the training order, known for any
+sequence without a shuffle table and invertible. Slots are dealt by range to shards, in order, each
+sequence a record of fixed size, so that the place of a slot is a file and an offset.
+
+A record is the sequence's ids (little-endian, 1, 2 or 4 bytes each) and one closing newline byte,
+which the writer puts there.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,12 +23,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphspan.llm import textarrays as ta
-from graphspan.session import scratch
+from graphspan.llm.token_counts import encoder, vocabulary
+from graphspan.session import discard, materialise, scratch
 
-END, PAD = 255, 254
 _ROUNDS = 6
 
 
+class Ids:
+    """What documents are encoded to: ids of a vocabulary file, or bytes (ids 0-247 as UTF-8 uses them)."""
+
+    def __init__(self, ranks_path: str | None = None):
+        self.raw, n = None, 254
+        if ranks_path:
+            with open(ranks_path, "rb") as f:
+                self.raw = f.read()
+            n = 1 + max(int(x.split()[1]) for x in self.raw.splitlines() if x.strip())
+        self.pad, self.end = n, n + 1
+        self.kind = np.dtype("<u1" if n < 1 << 8 else "<u2" if n < (1 << 16) - 1 else "<u4")
+
+    def encode(self, texts: pa.Array) -> np.ndarray:
+        """The ids of all texts, one after the other, with the end id after each."""
+        if self.raw is None:
+            data, bounds = ta.text_bytes(texts)
+            own = np.full(len(data) + len(texts), self.end, self.kind)
+            body = np.ones(len(own), bool)
+            body[bounds[1:] + np.arange(len(texts))] = False
+            own[body] = data
+            return own
+        encode, out = encoder(self.raw).encode_ordinary, []
+        for text in texts.to_pylist():
+            out.extend(encode(text or ""))
+            out.append(self.end)
+        return np.array(out, self.kind)
+
+
 def _halves(n: int) -> int:
     return max(1, math.ceil(max(1, (n - 1).bit_length()) / 2))
 
@@ -63,88 +93,87 @@ def numbers(at: np.ndarray, n: int, key: int) -> np.ndarray:
     return _walk(at, n, key, range(_ROUNDS - 1, -1, -1))
 
 
-def _counted(rows: DataFrame, text_col: str, length: int) -> tuple[dict[int, tuple[int, int]], int]:
-    """For each partition its first sequence number and its tokens; and the number of sequences."""
-    tokens = F.coalesce(F.octet_length(text_col), F.lit(0)) + 1
-    got = rows.select(F.spark_partition_id().alias("part"), tokens.alias("t")).groupBy("part").agg(F.sum("t").alias("t")).collect()
-    bases, n = {}, 0
-    for row in sorted(got):
-        bases[row["part"]] = (n, row["t"])
-        n += -(-row["t"] // length)
-    return bases, n
-
-
 def write_training_order(
-    docs: DataFrame, path: str, text_col: str = "text", length: int = 2048, key: int = 20240229, shard_rows: int = 16_384
+    docs: DataFrame, path: str, text_col: str = "text", ranks_path: str | None = None, length: int = 2048, key: int = 20240229, shard_rows: int = 16_384
 ) -> dict[str, int]:
-    """Write shards under path; returns what a reader needs: n, length, stride, shard_rows, key.
+    """Write shards under path; returns what a reader needs: n, length, width, pad, stride, shard_rows, key.
 
-    docs is read twice, to count and to cut, and must have the same rows in the same partitions both
-    times, as a scan of files has; a partition that differs stops the write. A count for each
-    partition passes the driver, which schedules them anyway. Null texts are empty documents (an
-    end id only). Repeated rows are documents like others. No shards for no documents.
+    Texts are encoded once, with the vocabulary of ranks_path (none: as bytes), and their sequences
+    written with the number of the partition and their place in it; how many each partition has
+    passes the driver, which schedules them anyway. Null texts are empty documents (an end id only).
+    Repeated rows are documents like others; other columns are not read. No shards for no documents.
     """
-    spark = docs.sparkSession
-    rows = docs.select(text_col)
-    pinned = "spark.sql.files.minPartitionNum"  # else splits follow the executors that happen to be there
-    before = spark.conf.get(pinned, None)
-    spark.conf.set(pinned, before or str(max(1, spark.sparkContext.defaultParallelism)))
-    try:
-        bases, n = _counted(rows, text_col, length)
-        told = {"n": n, "length": length, "stride": length + 1, "shard_rows": shard_rows, "key": key}
-        if n:
-            shared = spark.sparkContext.broadcast(bases)
-            made = rows.mapInArrow(lambda batches: _cut(batches, shared.value, n, length, key), "slot long, tokens binary")
-            shards = -(-n // shard_rows)
-            made = made.repartitionById(shards, F.floor(F.col("slot") / shard_rows).cast("int")).sortWithinPartitions("slot")
-            made.select(F.col("tokens").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
-    finally:
-        spark.conf.set(pinned, before) if before else spark.conf.unset(pinned)
+    spark, ids = docs.sparkSession, Ids(ranks_path)
+    shared = spark.sparkContext.broadcast(ids)
+    cut = materialise(docs.select(text_col).mapInArrow(lambda batches: _cut(batches, shared.value, length), "part int, place long, tokens binary"), "sequences")
+    bases, n = {}, 0
+    for part, some in sorted(map(tuple, cut.groupBy("part").agg(F.max("place") + 1).collect())):
+        bases[part] = n
+        n += some
+    told = {"n": n, "length": length, "width": ids.kind.itemsize, "pad": ids.pad, "stride": length * ids.kind.itemsize + 1, "shard_rows": shard_rows, "key": key}
+    if n:
+        starts = spark.sparkContext.broadcast(bases)
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                part, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                kinds, where = np.unique(part, return_inverse=True)
+                base = np.array([starts.value[x] for x in kinds.tolist()], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(slots(base[where] + place, n, key)), batch.column(2)], names=["slot", "tokens"])
+
+        made = cut.mapInArrow(placed, "slot long, tokens binary")
+        made = made.repartitionById(-(-n // shard_rows), F.floor(F.col("slot") / shard_rows).cast("int")).sortWithinPartitions("slot")
+        made.select(F.col("tokens").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    discard(cut)
     return told
 
 
-def _cut(batches: Iterator[pa.RecordBatch], bases: dict[int, tuple[int, int]], n: int, length: int, key: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], ids: Ids, length: int) -> Iterator[pa.RecordBatch]:
     """The sequences of one partition's stream of documents."""
     from pyspark import TaskContext
 
-    part = TaskContext.get().partitionId()
-    number, want = bases.get(part, (0, 0))
-    rest, seen = np.zeros(0, np.uint8), 0
+    part, number, rest = TaskContext.get().partitionId(), 0, np.zeros(0, ids.kind)
 
-    def sequences(stream: np.ndarray, first: int) -> pa.RecordBatch:
+    def sequences(stream: np.ndarray) -> pa.RecordBatch:
+        nonlocal number
         count = len(stream) // length
-        tokens = pa.Array.from_buffers(pa.binary(length), count, [None, pa.py_buffer(np.ascontiguousarray(stream))])
-        at = slots(first + np.arange(count), n, key)
-        return pa.RecordBatch.from_arrays([pa.array(at), tokens.cast(pa.binary())], names=["slot", "tokens"])
+        tokens = pa.Array.from_buffers(pa.binary(length * ids.kind.itemsize), count, [None, pa.py_buffer(np.ascontiguousarray(stream))])
+        at = number + np.arange(count)
+        number += count
+        return pa.RecordBatch.from_arrays([pa.array(np.full(count, part, np.int32)), pa.array(at), tokens.cast(pa.binary())], names=["part", "place", "tokens"])
 
     for batch in batches:
         for lo in range(0, len(batch), 500):
-            data, bounds = ta.text_bytes(batch.column(0).slice(lo, 500))
-            own = np.full(len(data) + len(bounds) - 1, END, np.uint8)
-            body = np.ones(len(own), bool)
-            body[bounds[1:] + np.arange(len(bounds) - 1)] = False
-            own[body] = data
-            seen += len(own)
-            stream = np.concatenate((rest, own))
+            stream = np.concatenate((rest, ids.encode(batch.column(0).slice(lo, 500))))
             whole = len(stream) // length * length
             if whole:
-                yield sequences(stream[:whole], number)
-                number += whole // length
+                yield sequences(stream[:whole])
             rest = stream[whole:]
     if len(rest):
-        yield sequences(np.concatenate((rest, np.full(length - len(rest), PAD, np.uint8))), number)
-    if seen != want:
-        raise ValueError(f"partition {part} had {want} tokens when counted and {seen} when cut")
+        yield sequences(np.concatenate((rest, np.full(length - len(rest), ids.pad, ids.kind))))
+
+
+def shard_files(spark: SparkSession, path: str, first_shard: int = 0) -> list[str]:
+    """The files of shards from first_shard on, in order: a shard is the number in its file's name."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = [str(x.getPath().toString()) for x in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    named = {int(m[1]): x for x in listed if (m := re.match(r"part-(\d+)", x.rpartition("/")[2]))}
+    return [named[k] for k in sorted(named) if k >= first_shard]
 
 
 def read_training_order(spark: SparkSession, path: str, told: dict[str, int], first_slot: int = 0) -> DataFrame:
     """(slot, shard, byte_offset, tokens) from first_slot on, shard by shard as written.
 
-    A shard's file is named by its number; whole shards before first_slot are not opened.
+    Files are listed first and shards before first_slot's are not opened; its own is read from its
+    byte offset on. tokens has told["width"] bytes an id.
     """
     stride, per = told["stride"], told["shard_rows"]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    files = files.withColumn("shard", F.regexp_extract("path", r"part-(\d+)", 1).cast("int")).filter(F.col("shard") >= first_slot // per)
+    shape = "slot long, shard int, byte_offset long, tokens binary"
+    wanted = shard_files(spark, path, first_slot // per) if told["n"] > first_slot else []
+    if not wanted:
+        return spark.createDataFrame([], shape)
+    files = spark.read.format("binaryFile").load(wanted)
+    files = files.withColumn("shard", F.regexp_extract("path", r"/part-(\d+)[^/]*$", 1).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,24 +186,28 @@ def read_training_order(spark: SparkSession, path: str, told: dict[str, int], fi
                     tokens = pa.Array.from_buffers(pa.binary(stride - 1), len(part), [None, pa.py_buffer(part)]).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(shard * per + at), pa.array(np.full(len(part), shard, np.int32)), pa.array(at * stride), tokens], names=["slot", "shard", "byte_offset", "tokens"])
 
-    return files.select("shard", "content").mapInArrow(run, "slot long, shard int, byte_offset long, tokens binary")
+    return files.select("shard", "content").mapInArrow(run, shape)
 
 
-def op5(spark, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "training-order")
-    told = write_training_order(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
-    key, n = told["key"], told["n"]
-    if not n:
-        return spark.createDataFrame([], "slot long, shard int, byte_offset long, sequence long, n_tokens int, crc32 long")
+def checked_order(spark: SparkSession, path: str, told: dict[str, int], first_slot: int = 0) -> DataFrame:
+    """(slot, shard, byte_offset, sequence, n_tokens, crc32) as read back: the sequence in each slot,
+    its ids without padding, and a checksum of its bytes."""
+    shape = "slot long, shard int, byte_offset long, sequence long, n_tokens int, crc32 long"
+    n, key, pad, kind = told["n"], told["key"], told["pad"], np.dtype(f"<u{told['width']}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = batch.column(0).to_numpy()
             tokens = [x.as_py() for x in batch.column(3)]
+            filled = [int((np.frombuffer(t, kind) != pad).sum()) for t in tokens]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(numbers(slot, n, key)), pa.array([len(t) - t.count(PAD) for t in tokens], pa.int32()), pa.array([zlib.crc32(t) for t in tokens], pa.int64())],
+                [*batch.columns[:3], pa.array(numbers(batch.column(0).to_numpy(), n, key)), pa.array(filled, pa.int32()), pa.array([zlib.crc32(t) for t in tokens], pa.int64())],
                 names=["slot", "shard", "byte_offset", "sequence", "n_tokens", "crc32"],
             )
 
-    shape = "slot long, shard int, byte_offset long, sequence long, n_tokens int, crc32 long"
-    return read_training_order(spark, path, told).mapInArrow(run, shape)
+    return read_training_order(spark, path, told, first_slot).mapInArrow(run, shape)
+
+
+def op5(spark, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "training-order")
+    told = write_training_order(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, ranks_path=vocabulary(spark))
+    return checked_order(spark, path, told)

@@ -304,19 +304,55 @@ def test_unusable_lengths_give_no_row(spark):
     assert sorted((r["id"] or -1, r["piece"], r["start"], r["length"]) for r in packing.pack(rows, (64,)).collect()) == [(-1, 0, 0, 4), (4, 0, 0, 64), (4, 1, 64, 64), (4, 2, 128, 2)]
 
 
-def test_training_order_round_trip_and_resume(spark, docs):
-    path = scratch(spark, "order")
-    told = training_order.write_training_order(docs, path, length=64, shard_rows=16)
-    out = training_order.read_training_order(spark, path, told).collect()
-    assert sorted(r["slot"] for r in out) == list(range(told["n"]))
-    assert all(r["shard"] == r["slot"] // 16 and r["byte_offset"] == r["slot"] % 16 * told["stride"] for r in out)
-    seq = training_order.numbers(np.array([r["slot"] for r in out]), told["n"], told["key"])
-    stream = b"".join(bytes(r["tokens"]) for _, r in sorted(zip(seq.tolist(), out), key=lambda x: x[0]))
-    texts = stream.replace(bytes([training_order.PAD]), b"").split(bytes([training_order.END]))[:-1]
-    assert sorted(texts) == sorted((t or "").encode() for _, t, *_ in corpus())
-    late = training_order.read_training_order(spark, path, told, first_slot=told["n"] // 2).collect()
-    assert sorted(r["slot"] for r in late) == list(range(told["n"] // 2, told["n"]))
-    assert training_order.write_training_order(docs.filter("false"), scratch(spark, "none"))["n"] == 0
+VOCABULARY = f"{token_counts.FOLDER}/{token_counts.NAME}"
+
+
+@pytest.mark.parametrize("ranks", [None, VOCABULARY])
+def test_training_order_matches_brute_force(spark, docs, ranks):
+    """The query's columns, and a resume, under a path that itself looks like a shard's name."""
+    path = scratch(spark, "order") + "/part-7/order"
+    told = training_order.write_training_order(docs.coalesce(1), path, ranks_path=ranks, length=32, shard_rows=16)
+    ids, stream = training_order.Ids(ranks), []
+    for r in docs.coalesce(1).collect():
+        own = list((r["text"] or "").encode()) if ranks is None else list(_bpe(r["text"] or ""))
+        stream += [*own, ids.end]
+    n = -(-len(stream) // 32)
+    rows = np.array(stream + [ids.pad] * (32 * n - len(stream)), ids.kind).reshape(n, 32)
+    slot = training_order.slots(np.arange(n), n, told["key"])
+    want = {int(s): (int(s) // 16, int(s) % 16 * told["stride"], i, int((rows[i] != ids.pad).sum()), zlib.crc32(rows[i].tobytes())) for i, s in enumerate(slot)}
+    got = training_order.checked_order(spark, path, told).collect()
+    assert told["n"] == n and {r["slot"]: tuple(r)[1:] for r in got} == want and len(got) == n
+    at = 40
+    rest = training_order.read_training_order(spark, path, told, at)
+    assert {r["slot"] for r in rest.collect()} == set(range(at, n))
+    assert len(training_order.shard_files(spark, path, at // 16)) == -(-n // 16) - at // 16
+    assert len(rest.inputFiles()) == -(-n // 16) - at // 16
+    assert training_order.read_training_order(spark, path, told, n).count() == 0
+
+
+def test_training_order_of_nothing(spark, nothing):
+    assert training_order.write_training_order(nothing, scratch(spark, "order"))["n"] == 0
+
+
+def _bpe(text):
+    """Byte pairs merged one by one, lowest rank first."""
+    import base64
+
+    import regex
+
+    if not _ranks:
+        _ranks.update((base64.b64decode(a), int(b)) for a, b in (x.split() for x in open(VOCABULARY, "rb").read().splitlines()))
+    for piece in regex.findall(token_counts.PATTERN, text):
+        parts = [bytes([x]) for x in piece.encode()]
+        while len(parts) > 1:
+            best = min(range(len(parts) - 1), key=lambda i: _ranks.get(parts[i] + parts[i + 1], 1 << 60))
+            if parts[best] + parts[best + 1] not in _ranks:
+                break
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        yield from (_ranks[x] for x in parts)
+
+
+_ranks: dict[bytes, int] = {}
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 100, 257, 1000])
@@ -329,8 +365,9 @@ def test_slots_are_a_keyed_bijection(n):
 
 
 def test_token_counts_for_every_limit(docs):
-    lengths = token_counts.encoded_lengths(docs)
+    lengths = token_counts.encoded_lengths(docs, VOCABULARY)
     own = np.array([r["length"] for r in lengths.collect()])
+    assert sorted(own.tolist()) == sorted(len(list(_bpe(r["text"] or ""))) for r in docs.collect())
     out = token_counts.limit_table(token_counts.length_histogram(lengths)).collect()
     assert sorted(r["context_limit"] for r in out) == sorted(set(own.tolist()))
     for r in out:
