@@ -14,6 +14,8 @@ from graphspan.llm import decontaminate as decon, language_id, lm_scoring, packi
 from graphspan.llm.chunks import ascii_lower, dealt
 from graphspan.session import scratch
 
+VOCABULARY = f"{token_counts.FOLDER}/{token_counts.NAME}"
+
 
 def test_words_and_hashes_follow_bytes():
     import pyarrow as pa
@@ -77,8 +79,8 @@ def test_clashing_and_extra_columns_and_empty_tables(spark, docs, nothing):
     assert marked.schema["items"].dataType.simpleString() == "array<string>" and "score" in marked.columns
     for empty in (
         substring_dedup.substring_dedup(nothing), simhash.simhash_groups(nothing), simhash.near_duplicates(nothing), decon.decontaminate(nothing, bench),
-        language_id.identify(nothing, language_id.train(nothing)), packing.pack(packing.word_lengths(nothing)), lm_scoring.lm_scores(nothing),
-        token_counts.limit_table(token_counts.length_histogram(token_counts.encoded_lengths(nothing))),
+        language_id.identify(nothing, language_id.train(nothing)), packing.pack(packing.lengths_of(packing.encoded(nothing, None), None)), lm_scoring.lm_scores(nothing),
+        token_counts.limit_table(token_counts.length_histogram(token_counts.encoded_lengths(nothing, VOCABULARY))),
     ):
         assert empty.count() == 0
 
@@ -264,23 +266,62 @@ def test_language_id_without_letters(docs):
         assert letters is False or r["lang_pred"] in {"en", "fr", "de"}
 
 
-def test_packing_keeps_every_token(docs):
-    lengths = packing.word_lengths(docs)
-    out = packing.pack(lengths, (16, 32, 64), shard_pieces=10).collect()
-    want = Counter()
-    for i, t, *_ in corpus():
-        want[i] += len(bytes_words(t)) + 1
-    got, bins = Counter(), {}
+@pytest.mark.parametrize("ranks", [None, "vocabulary"])
+def test_packing_assembles_every_token(docs, ranks):
+    ranks = ranks and VOCABULARY
+    texts = packing.encoded(docs, ranks)
+    lengths = packing.lengths_of(texts, ranks)
+    pieces = packing.pack(lengths, (16, 32, 64), key_col="row", shard_pieces=10)
+    out = pieces.collect()
+    ids = training_order.Ids(ranks)
+    want = sorted([*((r["text"] or "").encode() if ranks is None else _bpe(r["text"] or "")), ids.end] for r in docs.collect())
+    sequences = {r["bin_id"]: r for r in packing.assembled(pieces, texts, ranks).collect()}
+    bins, whole = {}, {}
     for r in out:
-        got[r["id"]] += r["length"]
         bins.setdefault(r["bin_id"], []).append(r)
-    assert got == want
-    for rows in bins.values():
+    assert set(bins) == set(sequences)
+    for b, rows in bins.items():
         used, at = sum(r["length"] for r in rows), 0
-        for r in sorted(rows, key=lambda r: r["bin_offset"]):
+        tokens = np.frombuffer(sequences[b]["tokens"], ids.kind)
+        rows = sorted(rows, key=lambda r: r["bin_offset"])
+        assert sequences[b]["ids"] == [r["id"] for r in rows] and len(tokens) == rows[0]["capacity"] and (tokens[used:] == ids.pad).all()
+        for r in rows:
             assert r["bin_offset"] == at and r["used"] == used
+            whole.setdefault(r["key"], {})[r["piece"]] = tokens[at : at + r["length"]].tolist()
             at += r["length"]
         assert rows[0]["capacity"] == min(c for c in (16, 32, 64) if c >= used)
+    assert sorted(sum((x[i] for i in sorted(x)), []) for x in whole.values()) == want
+
+
+def test_packing_follows_its_rule():
+    """Against the rule told plainly: longest piece opens, every size is filled best fit, the cheapest token wins."""
+    rng = np.random.default_rng(8)
+    sizes, costs = [16, 32, 64], [10.0, 17.0, 40.0]
+    for n in (1, 7, 60, 200):
+        lengths = [int(x) for x in rng.integers(1, 65, n)]
+        left, bins = sorted(lengths, reverse=True), []
+        while left:
+            tries = []
+            for size in (x for x in sizes if x >= left[0]):
+                rest, fill = list(left), []
+                while fits := [x for x in rest if x <= size - sum(fill)]:
+                    fill.append(fits[0])
+                    rest.remove(fits[0])
+                small = next(x for x in sizes if x >= sum(fill))
+                tries.append((costs[sizes.index(small)] / sum(fill), small, fill))
+            _, small, fill = min(tries, key=lambda x: x[0])
+            bins.append((small, sorted(fill)))
+            for x in fill:
+                left.remove(x)
+        got = packing.plan(lengths, sizes, costs)
+        assert sorted((c, sorted(lengths[i] for i in own)) for c, _, own in got) == sorted(bins)
+        assert sorted(i for *_, own in got for i in own) == list(range(n))
+
+
+def test_equal_lengths_of_one_id_spread_over_shards(spark):
+    rows = spark.range(30_000).selectExpr("cast(3 as bigint) as id", "cast(9 as bigint) as length")
+    out = packing.pack(rows, (16, 32), shard_pieces=1000).selectExpr("bin_id >> 32 as shard")
+    assert out.count() == 30_000 and out.distinct().count() > 20
 
 
 def test_packing_costs_no_more_than_one_size_first_fit():
@@ -304,9 +345,6 @@ def test_unusable_lengths_give_no_row(spark):
     assert sorted((r["id"] or -1, r["piece"], r["start"], r["length"]) for r in packing.pack(rows, (64,)).collect()) == [(-1, 0, 0, 4), (4, 0, 0, 64), (4, 1, 64, 64), (4, 2, 128, 2)]
 
 
-VOCABULARY = f"{token_counts.FOLDER}/{token_counts.NAME}"
-
-
 @pytest.mark.parametrize("ranks", [None, VOCABULARY])
 def test_training_order_matches_brute_force(spark, docs, ranks):
     """The query's columns, and a resume, under a path that itself looks like a shard's name."""
