@@ -94,7 +94,7 @@ def numbers(at: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def write_training_order(
-    docs: DataFrame, path: str, text_col: str = "text", ranks_path: str | None = None, length: int = 2048, key: int = 20240229, shard_rows: int = 16_384
+    docs: DataFrame, path: str, text_col: str = "text", ranks_path: str | None = None, length: int = 2048, key: int = 20240229, shard_rows: int = 4096
 ) -> dict[str, int]:
     """Write shards under path; returns what a reader needs: n, length, width, pad, stride, shard_rows, key.
 
@@ -102,6 +102,7 @@ def write_training_order(
     written with the number of the partition and their place in it; how many each partition has
     passes the driver, which schedules them anyway. Null texts are empty documents (an end id only).
     Repeated rows are documents like others; other columns are not read. No shards for no documents.
+    A reader holds a shard whole (17 MB by default), so shard_rows bounds its memory.
     """
     spark, ids = docs.sparkSession, Ids(ranks_path)
     shared = spark.sparkContext.broadcast(ids)
