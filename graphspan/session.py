@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -42,6 +44,36 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/graphspan-{name}-{uuid.uuid4().hex}"
 
 
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def clearing() -> Iterator[list[DataFrame]]:
+    """Tables that are materialised inside are deleted at the end, but for those that kept() names."""
+    _open.append([])
+    try:
+        yield _open[-1]
+    finally:
+        for df in _open.pop():
+            discard(df)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, which outlives the clearing() it was made in (and falls to the one around it)."""
+    for depth, tables in enumerate(_open):
+        if any(x is df for x in tables):
+            tables[:] = [x for x in tables if x is not df]
+            if depth:
+                _open[depth - 1].append(df)
+    return df
+
+
+def _noted(df: DataFrame) -> DataFrame:
+    if _open:
+        _open[-1].append(df)
+    return df
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df once as Parquet in the shared folder and read it again.
 
@@ -52,7 +84,7 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._graphspan_path = path
-    return out
+    return _noted(out)
 
 
 def materialise_with(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
@@ -81,6 +113,7 @@ def bucketed(df: DataFrame, keys: list[str], name: str = "table", **measures: Co
     rows.repartition(buckets, *keys).write.format("parquet").option("path", path).bucketBy(buckets, *keys).saveAsTable(table)
     out = spark.table(table)
     out._graphspan_path, out._graphspan_table = path, table
+    _noted(out)
     return out, _told(seen, out, measures) if measures else {}
 
 

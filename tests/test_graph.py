@@ -130,10 +130,97 @@ def test_newest_message_wins_the_merge_and_may_then_be_rejected(spark):
     """A newer but longer message hides an older, shorter one of the node's own cluster."""
     mail = spark.createDataFrame([(-2, 9, 5), (-1, 1, 7)], "older long, distance long, root long")
     best = mail.agg(F.min(F.struct("older", "distance", "root")).alias("msg"))
-    node = best.select("msg", F.lit(1).alias("status"), F.lit(3).alias("distance"), F.lit(1).alias("generation"), F.lit(7).alias("root"))
-    assert node.select(cluster.accepts()).first()[0] is False
-    shorter = node.withColumn("distance", F.lit(10))
-    assert shorter.select(cluster.accepts()).first()[0] is True
+    known = lambda d: F.struct(F.lit(7).alias("root"), F.lit(d).alias("distance"), F.lit(1).alias("generation"))
+    taken = lambda d: best.withColumn("known", known(d)).select(cluster.accepts(1, 2)).first()[0]
+    assert taken(4) is False and taken(10) is True
+    assert best.withColumn("known", F.lit(None).cast("struct<root:int,distance:int,generation:int>")).select(cluster.accepts(1, 2)).first()[0] is True
+
+
+def test_steps_leave_the_edges_where_they_lie(spark):
+    """Without broadcasts, a step moves messages; neither the edges nor the states are shuffled."""
+    from graphspan.operators.fixpoint import Best
+
+    adj = transforms.adjacency(graphs.mesh(spark, 8))
+    best = Best(spark.createDataFrame([(0, 0)], "id long, value long"), ["id"])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        mail = best.base.join(adj, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("value") + F.col("w")).alias("msg")).groupBy("id").agg(F.min("msg").alias("msg"))
+        plan = best.lookup(mail)._jdf.queryExecution().executedPlan().toString()
+        sent = superstep.send(
+            best.base, adj, should_send=F.col("value") >= 0, message=F.col("value") + F.col("w"), aggregate=F.min, update={"value": F.col("msg")}
+        )._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("Exchange hashpartitioning") == 1 and sent.count("Exchange hashpartitioning") == 1
+    assert best.spread(adj, F.col("value") + F.col("w")) == 14
+    assert best.known().agg(F.max("value")).first()[0] == 14
+
+
+def test_loops_that_do_not_end_say_so(spark):
+    state = spark.createDataFrame([(0, True)], "id long, on boolean")
+    with pytest.raises(RuntimeError):
+        superstep.iterate(state, lambda rows, _: rows, F.col("on"), "endless", max_steps=2)
+
+
+def _clusters(edges, radius, seed):
+    """The clustering told plainly, superstep by superstep."""
+    import hashlib
+
+    draw = lambda *x: int(hashlib.md5(":".join(map(str, x)).encode()).hexdigest()[:8], 16) / 2**32
+    adj = {}
+    for u, v, w in edges:
+        adj.setdefault(u, []).append((v, w))
+        adj.setdefault(v, []).append((u, w))
+    state, still, awake, g = {}, set(), set(), 0
+    while len(still) < len(adj):
+        for x in adj:
+            if x not in state and (2.0**g >= len(adj) or draw(seed, g, x) < 2.0**g / len(adj)):
+                state[x] = (x, 0, g)
+                awake.add(x)
+        can = lambda x: x in awake and x not in still and state[x][1] <= radius * (1 + g - state[x][2])
+        while any(can(x) for x in awake):
+            mail = {}
+            for x in filter(can, awake):
+                for y, w in adj[x]:
+                    m = (-state[x][2], state[x][1] + w, state[x][0])
+                    mail[y] = min(m, mail.get(y, m))
+            took = set()
+            for y, (older, d, root) in mail.items():
+                if y not in state or (y not in still and d < state[y][1] and (-older > state[y][2] or root == state[y][0])):
+                    state[y] = (root, d, -older)
+                    took.add(y)
+            awake = took
+        still |= {x for x, s in state.items() if s[1] <= radius * (1 + g - s[2])}
+        g += 1
+    return sorted((x, s[0], s[1]) for x, s in state.items())
+
+
+@pytest.mark.parametrize("radius", [1, 3, 20])
+def test_clusters_match_brute_force_and_bound_the_diameter(spark, radius):
+    import random
+
+    rng = random.Random(radius)
+    edges = sorted({(min(a, b), max(a, b)) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(70)) if a != b} | {(i, i + 1) for i in range(39)})
+    edges = [(u, v, rng.randint(0, 9)) for u, v in edges]
+    g = frame(spark, edges)
+    found = cluster.materialise(cluster.clusters(g, radius, seed=9))
+    assert rows(found) == _clusters(edges, radius, 9)
+    far = {}
+    for u in range(40):
+        d, todo = {u: 0}, [u]
+        while todo:
+            x = todo.pop(0)
+            for a, b, w in edges:
+                for p, q in ((a, b), (b, a)):
+                    if p == x and d[x] + w < d.get(q, 10**9):
+                        d[q] = d[x] + w
+                        todo.append(q)
+        far[u] = max(d.values())
+    exact = cluster.estimate(g, found, exact_quotient=True).first()
+    assert exact["diameter"] >= max(far.values()) and exact["diameter"] >= cluster.estimate(g, found).first()["diameter"]
 
 
 @pytest.mark.parametrize("fringe", [False, True])

@@ -43,10 +43,10 @@ def test_store_and_lookup(spark, tmp_path):
 
 def test_host_filter_counts_names(spark):
     runs = spark.createDataFrame(
-        [("USA", "Sequential", 4, 1000, False, ""), ("USA", "DeltaStepping", 4, 2000, False, "eridano1__eridano2"), ("USA-E", "Sequential", 4, 1, False, "")],
+        [("USA", "Sequential", 4, 1000, False, ""), ("USA", "DeltaStepping", 4, 2000, False, "node1__node2"), ("USA-E", "Sequential", 4, 1, False, "")],
         "dataset string, algorithm string, diameter long, total_time_ms long, killed boolean, hosts string",
     )
-    got = {(r["algorithm"], r["diameter"], r["total_time"]) for r in analysis.main_data(runs, (0, 2)).collect()}
+    got = {(r["algorithm"], r["diameter"], r["total_time"]) for r in analysis.main_data(runs, (0, 2), "node").collect()}
     assert got == {("Sequential", 4, 1.0), ("DeltaStepping", 8, 2.0)}
 
 
