@@ -81,19 +81,6 @@ def emit(table: pa.Table, schema: T.StructType, new: dict[str, pa.Array]) -> pa.
     return pa.table({f.name: new[f.name] if f.name in new else table[f.name] for f in schema.fields})
 
 
-def split_hot(left: DataFrame, stats: DataFrame, key: str, count: str, total: int, floor: int = 64) -> tuple[DataFrame, DataFrame]:
-    """left joined with stats on key: (rows of hot keys, the rest), to be united by the caller.
-
-    stats has one row per key with its count among `total` rows. Keys with at least
-    max(floor, total / 10,000) rows are hot; so they are 10,000 at most, are broadcast, and their
-    rows stay where they are. Other keys are joined by a shuffle in which no key is large.
-    """
-    at = max(floor, math.ceil(total / 10_000))
-    hot = stats.filter(F.col(count) >= at)
-    cold = stats.filter(F.col(count) < at)
-    return left.join(F.broadcast(hot), key), left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
-
-
 def ascii_lower(text: str | Column) -> Column:
     """A-Z to a-z, every other character as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

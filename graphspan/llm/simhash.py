@@ -12,7 +12,8 @@ Only distinct fingerprints take part, so a group of exact copies is one row, and
 spanning forest of the links it finds, never all pairs. Components then form over these edges.
 
 near_duplicates() links texts by the similarity of their shingle sets itself. No covering of a
-fingerprint's bits is selective at similarity 0.8, so bands of MinHashes propose its pairs.
+fingerprint's bits is selective at similarity 0.8 (a bit differs with probability 0.15, so that a
+block of 31 is within one bit in 4 % of such pairs), so shingle_join proposes its pairs, and all.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from graphspan.llm import textarrays as ta
-from graphspan.llm.chunks import split_hot
+from graphspan.llm import shingle_join as sj
 from graphspan.operators.components import connected_components
-from graphspan.session import materialise
+from graphspan.operators.skew import split_hot
+from graphspan.session import clearing, kept, materialise
 
 _PLACES = np.arange(1, 32, dtype=np.uint64)
 _PARITY = [np.uint64(sum(1 << (p - 1) for p in range(1, 32) if p >> b & 1)) for b in range(5)]
@@ -36,8 +37,6 @@ _PARITY = [np.uint64(sum(1 << (p - 1) for p in range(1, 32) if p >> b & 1)) for
 _PAIRS = {s: np.array([1 << (i - 1) | 1 << ((i ^ s) - 1) for i in range(1, 32) if i < i ^ s], np.uint64) for s in range(1, 32)}
 _LANES = np.uint64(0x0101010101010101)
 _SMALL = 64
-#: bands of MinHashes that propose pairs of texts, and MinHashes a band
-_BANDS, _ROWS = 24, 4
 
 
 def vote(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -88,135 +87,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, f0 long")
 
 
-def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct 64-bit hashes of each text's width-word shingles, rising, and where each text's begin.
-
-    Words are lower-cased in A-Z; fewer words than width are one shingle; a text without words has none.
-    """
-    data, bounds = ta.text_bytes(column)
-    data = data + 32 * ((data >= 65) & (data <= 90)).astype(np.uint8)
-    starts, ends, first = ta.words(data, bounds)
-    counts = np.diff(first)
-    hashes = ta.word_hashes(data, starts, ends)
-    windows = np.minimum(counts, np.maximum(1, counts - width + 1))
-    begin = np.cumsum(windows) - windows
-    at = np.repeat(first[:-1] - begin, windows) + np.arange(windows.sum())
-    own = ta.window_hashes(np.concatenate((hashes, np.zeros(width, np.uint64))), width)[at]
-    for d in np.flatnonzero((counts > 0) & (counts < width)).tolist():
-        own[begin[d]] = ta.window_hashes(hashes[first[d] : first[d + 1]], int(counts[d]))[0]
-    doc = np.repeat(np.arange(len(counts)), windows)
-    order = np.lexsort((own, doc))
-    own, doc = own[order], doc[order]
-    once = np.flatnonzero((np.diff(own, prepend=np.uint64(0)) != 0) | (np.diff(doc, prepend=-1) != 0))
-    return own[once], np.searchsorted(doc[once], np.arange(len(counts) + 1))
-
-
-def _set_words(own: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Two 64-bit words for each set of hashes; zero for an empty one."""
-    filled = np.flatnonzero(np.diff(first))
-    out = np.zeros((2, len(first) - 1), np.uint64)
-    for i in range(2 if len(filled) else 0):
-        out[i, filled] = ta.mix(np.add.reduceat(ta.mix(own + np.uint64(i + 1)), first[filled]))
-    return out
-
-
-def set_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """(id, f0, f1, bands): 128 bits that stand for a text's set of shingles, and a key per band of MinHashes.
-
-    A MinHash of two sets is equal with the probability of their Jaccard similarity s, wherever in
-    the text they differ; a band holds if its `_ROWS` are, so that two sets share one of the `_BANDS`
-    keys with probability 1 - (1 - s**_ROWS)**_BANDS. A set without shingles has no bands. The two
-    lowest bits of a key are its band's, so that a few orders of a group's members serve all bands.
-    """
-    odd = np.random.default_rng(97).integers(0, 1 << 63, _BANDS * _ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, len(batch), 500):
-                part = batch.slice(lo, 500)
-                own, first = shingle_sets(part.column(1), width)
-                filled = np.flatnonzero(np.diff(first))
-                at, prints = first[filled], _set_words(own, first)
-                keys = np.zeros((len(filled), _BANDS), np.uint64)
-                if len(filled):
-                    for i in range(_BANDS):
-                        for j in range(i * _ROWS, (i + 1) * _ROWS):
-                            keys[:, i] = ta.mix(keys[:, i] + np.uint64(i) + np.minimum.reduceat(own * odd[j], at))
-                        keys[:, i] = keys[:, i] & ~np.uint64(3) | np.uint64(i & 3)
-                offsets = np.zeros(len(part) + 1, np.int32)
-                offsets[1:] = np.cumsum(np.where(np.diff(first) > 0, _BANDS, 0))
-                bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x.view(np.int64)) for x in prints), bands], names=["id", "f0", "f1", "bands"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, f0 long, f1 long, bands array<long>")
-
-
-def _sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(node, own): the shingle sets, as arrays, of nodes (node, f0, f1), which are ids of documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, len(batch), 500):
-                part = batch.slice(lo, 500)
-                own, first = shingle_sets(part.column(1), width)
-                sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(own.view(np.int64)))
-                prints = [pa.array(x.view(np.int64)) for x in _set_words(own, first)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *prints, sets], names=["node", "f0", "f1", "own"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), text_col).join(nodes.select("node").distinct(), "node", "left_semi")
-    made = texts.mapInArrow(run, "node long, f0 long, f1 long, own array<long>").distinct()
-    return made.join(nodes, ["node", "f0", "f1"], "left_semi").select("node", "own")
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, counts: DataFrame, similarity: float, total: int) -> DataFrame:
-    """The pairs (u, v) whose sets' Jaccard similarity is at least `similarity`, counted from the sets themselves.
-
-    u may be in many pairs (counts: u, n) and is then broadcast with its set; v is in few.
-    """
-    theirs = pairs.join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
-    known = sets.select(F.col("node").alias("u"), F.col("own").alias("a")).join(counts, "u")
-    hot, cold = split_hot(theirs, known, "u", "n", total, 1000)
-    both = F.size(F.array_intersect("a", "b"))
-    some = F.least(F.size("a"), F.size("b")) >= F.floor(similarity * F.greatest(F.size("a"), F.size("b")))
-    met = hot.select("u", "v", "a", "b").union(cold.select("u", "v", "a", "b")).filter(some)
-    return met.filter(both / (F.size("a") + F.size("b") - both) >= similarity).select("u", "v").distinct()
-
-
-def alike(stats: DataFrame, docs: DataFrame, similarity: float, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(u, v) links that span all pairs of nodes that share a band and are alike.
-
-    First every member of a key's group is compared with the group's pivot (of least hash); then
-    what no link has joined yet is compared with all of its groups. So a large group of copies costs
-    comparisons in proportion to its size, and no pair is left out: pairs that are not compared
-    are connected already.
-    """
-    rows = materialise(stats.filter("node is not null").select("node", F.explode("bands").alias("key")).distinct(), "bands")
-    rank = F.struct(F.xxhash64("node", F.col("key").bitwiseAND(F.lit(3))).alias("h"), F.col("node").alias("p"))
-    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(rank).getField("p").alias("pivot")).filter("n > 1")
-    hot, cold = split_hot(rows, materialise(groups, "groups"), "key", "n", rows.count())
-    members = materialise(hot.select("key", "node", "pivot").union(cold.select("key", "node", "pivot")), "members")
-    nodes = stats.filter(F.size("bands") > 0).join(members.select("node").distinct(), "node", "left_semi").select("node", "f0", "f1")
-    sets = materialise(_sets_of(docs, nodes, id_col, text_col, width), "sets")
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs.filter("u <> v").distinct(), "pairs")
-        counts = pairs.groupBy("u").agg(F.count("*").alias("n"))
-        return materialise(_alike(pairs, sets, counts, similarity, pairs.count()), "links")
-
-    links = compared(members.select(F.col("pivot").alias("u"), F.col("node").alias("v")))
-    parts = materialise(connected_components(links), "parts").withColumnRenamed("id", "node")
-    placed = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
-    split = sizes.groupBy("key").agg(F.count("*").alias("k"), F.max_by("component", F.struct("m", "component")).alias("main"), F.sum("m").alias("n"))
-    split = materialise(split.filter("k > 1 and n > 2").select("key", "main", "n"), "split")
-    hot, cold = split_hot(placed, split, "key", "n", rows.count())
-    open_rows = materialise(hot.select("key", "node", "pivot", "component", "main").union(cold.select("key", "node", "pivot", "component", "main")), "open")
-    strays = open_rows.filter("component <> main and node <> pivot").select("key", F.col("node").alias("u"), F.col("component").alias("own"))
-    rest = open_rows.filter("node <> pivot").select("key", F.col("node").alias("v"), "component").join(strays, "key").filter("component <> own")
-    more = compared(rest.select("u", "v"))
-    return links.union(more)
-
-
 def _anchored(blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, anchor key, home) of every anchor that a block's word is dealt to."""
     rows, keys, homes = [], [], []
@@ -324,18 +194,19 @@ def _grouped(prints: DataFrame, same: list[str], links: Callable[[DataFrame], Da
 
     links gives (u, v) edges between nodes, of a table of node, fingerprints and n.
     """
-    prints = materialise(prints, "prints")
-    other = [F.first(x).alias(x) for x in prints.columns if x not in ("id", *same)]
-    stats = materialise(prints.groupBy(*same).agg(F.min("id").alias("node"), F.count("*").alias("n"), *other), "distinct")
-    edges = materialise(links(stats), "links")
-    parts = connected_components(edges)
-    known = stats.join(parts.withColumnRenamed("id", "node"), "node", "left").select(
-        F.struct(*same).alias("__print"), F.coalesce("component", "node").alias("component_id"), "n"
-    )
-    rows = prints.select("id", *same).withColumn("__print", F.struct(*same))
-    hot, cold = split_hot(rows, materialise(known, "classes"), "__print", "n", prints.count())
-    keep = ["id", *same, "component_id"]
-    return hot.select(*keep).union(cold.select(*keep))
+    with clearing():
+        prints = kept(materialise(prints.select("id", *same), "prints"))
+        stats = materialise(prints.groupBy(*same).agg(F.min("id").alias("node"), F.count("*").alias("n")), "distinct")
+        edges = materialise(links(stats), "links")
+        parts = connected_components(edges)
+        known = stats.join(parts.withColumnRenamed("id", "node"), "node", "left").select(
+            F.struct(*same).alias("__print"), F.coalesce("component", "node").alias("component_id"), "n"
+        )
+        known = kept(materialise(known, "classes"))
+    rows = prints.withColumn("__print", F.struct(*same))
+    hot, cold = split_hot(rows, known, "__print", "n", prints.count())
+    columns = ["id", *same, "component_id"]
+    return hot.select(*columns).union(cold.select(*columns))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = 3, seed: int = 42) -> DataFrame:
@@ -355,12 +226,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, component_id) per document: groups of texts whose width-word shingles are alike.
 
     Two texts link if the Jaccard similarity of their sets of shingles, told apart by 64 bits, is
-    at least `similarity`; it is counted, never estimated. Pairs are candidates if they share one of
-    24 bands of four MinHashes: 0.999997 of those at 0.8 and more of those above. The links found
-    then span all candidates that are alike.
+    at least `similarity`; every such pair is found (see shingle_join) and none other. Texts without
+    words have equal sets and are one group; so are repeated rows. A null id is no node: its row has
+    the component of its set, null if no other row has that set.
     """
-    prints = set_prints(docs, id_col, text_col, width)
-    return _grouped(prints, ["f0", "f1"], lambda stats: alike(stats, docs, similarity, id_col, text_col, width)).select("id", "component_id")
+    with clearing():
+        bits = sj.table_bits(docs, text_col)
+        prints = kept(materialise(sj.set_prints(docs, bits, id_col, text_col, width), "set-prints"))
+        levels = sj.rarity(prints, bits)
+    nodes = lambda stats: stats.filter("node is not null").select("node", "f0", "f1")
+    found = _grouped(prints.filter("slots is null"), ["f0", "f1"], lambda stats: sj.jaccard_links(docs, nodes(stats), levels, bits, similarity, id_col, text_col, width))
+    return found.select("id", "component_id")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
