@@ -74,14 +74,14 @@ def _noted(df: DataFrame) -> DataFrame:
     return df
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+def materialise(df: DataFrame, name: str = "table", compression: str = "snappy") -> DataFrame:
     """Write df once as Parquet in the shared folder and read it again.
 
     Cuts the lineage: a lost executor costs a read of the file, not the work before it.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._graphspan_path = path
     return _noted(out)
