@@ -46,7 +46,7 @@ def encoded(docs: DataFrame, ranks_path: str | None, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(part))), part.column(0), tokens], names=["row", "id", "tokens"])
                 row += len(part)
 
-    return materialise(docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "row long, id long, tokens binary"), "encoded")
+    return materialise(docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "row long, id long, tokens binary"), "encoded", "zstd")
 
 
 def lengths_of(texts: DataFrame, ranks_path: str | None) -> DataFrame:
