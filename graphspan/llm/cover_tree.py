@@ -21,7 +21,7 @@ from graphspan.operators.components import connected_components
 from graphspan.operators.skew import split_hot
 from graphspan.session import materialise
 
-_SLACK = 1e-9
+_SLACK = 1e-7  # the rounding of sqrt(2 - 2 x.y) near zero is 2e-8
 
 
 class CoverTree:

@@ -36,22 +36,35 @@ def _letters() -> np.ndarray:
     return _cache["letters"]
 
 
-def _grams(text: str, bits: int, orders: tuple[int, ...]) -> Iterator[np.ndarray]:
-    """Buckets of the n-grams of a text's letters, a run of others counting as one gap; in blocks."""
+def _runs(text: str) -> Iterator[np.ndarray]:
+    """A text's lower-cased letters, a run of others as one gap (0), with a gap at either end; in blocks."""
+    before = 0
     for lo in range(0, len(text), _STEP):
-        points = np.frombuffer(text[lo : lo + _STEP + max(orders)].encode("utf-32-le", "surrogatepass"), np.uint32)
-        low = _letters()[points]
-        keep = np.ones(len(low), bool)
-        keep[1:] = (low[1:] > 0) | (low[:-1] > 0)
-        low = np.concatenate(([0], low[keep], [0])).astype(np.uint64)
+        low = _letters()[np.frombuffer(text[lo : lo + _STEP].encode("utf-32-le", "surrogatepass"), np.uint32)]
+        keep = low > 0
+        keep[1:] |= low[:-1] > 0
+        keep[0] |= before > 0
+        before = int(low[-1])
+        yield np.concatenate((low[:0] if lo else np.zeros(1, low.dtype), low[keep]))
+    if before:
+        yield np.zeros(1, np.uint32)
+
+
+def _grams(text: str, bits: int, orders: tuple[int, ...]) -> Iterator[np.ndarray]:
+    """Buckets of the n-grams of _runs(), each once however long the text is."""
+    rest = np.zeros(0, np.uint64)
+    for block in _runs(text):
+        low = np.concatenate((rest, block.astype(np.uint64)))
         for n in orders:
-            if len(low) < n:
+            own = low[max(0, len(rest) - n + 1) :]  # those that end in this block
+            if len(own) < n:
                 continue
-            h = low[: len(low) - n + 1].copy()
+            h = own[: len(own) - n + 1].copy()
             for i in range(1, n):
-                h = h * np.uint64(0x9E3779B97F4A7C15) + low[i : len(low) - n + 1 + i]
+                h = h * np.uint64(0x9E3779B97F4A7C15) + own[i : len(own) - n + 1 + i]
             h = (h + np.uint64(n)) * np.uint64(0xD6E8FEB86659FD93)
             yield (h >> np.uint64(64 - bits)).astype(np.int64)
+        rest = low[max(0, len(low) - max(orders) + 1) :]
 
 
 def has_letters(text: str | None) -> bool:
@@ -81,8 +94,9 @@ def train(
 ) -> LanguageModel:
     """Fit on every document with a language and a text.
 
-    The driver receives one count for each language and bucket that occur: max_langs * 2**bits
-    numbers at most, whatever the corpus. More labels than max_langs is an error.
+    The driver receives one vector of 2**bits counts for each language, max_langs at most, whatever
+    the corpus. More labels than max_langs is an error. Languages of equal probability: the first in
+    order of name is predicted.
     """
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
@@ -113,18 +127,22 @@ def train(
                 [pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(own[at], docs_of[lang]))], names=["lang", "bucket", "n"]
             )
 
+    def dense(rows: pa.Table) -> pa.Table:
+        bucket, n = rows["bucket"].to_numpy(), rows["n"].to_numpy()
+        own = np.zeros((1 << bits) + 1, np.int64)
+        own[bucket] = n  # -1, the number of documents, is last
+        return pa.table({"lang": rows["lang"].slice(0, 1), "counts": pa.array([own.tobytes()], pa.binary())})
+
     counts = labelled.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = counts.toArrow()
-    names, langs = got["lang"].to_pylist(), sorted(set(got["lang"].to_pylist()))
-    if len(langs) > max_langs:
+    vectors = counts.groupBy("lang").applyInArrow(dense, "lang string, counts binary").limit(max_langs + 1).collect()
+    if len(vectors) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
-    where = {x: i for i, x in enumerate(langs)}
-    row, bucket, n = np.array([where[x] for x in names], np.int64), got["bucket"].to_numpy(), got["n"].to_numpy()
-    table = np.full((1 << bits, len(langs)), smoothing)
-    grams = bucket >= 0
-    table[bucket[grams], row[grams]] += n[grams]
-    prior = np.zeros(len(langs))
-    prior[row[~grams]] = n[~grams]
+    told = {lang: np.frombuffer(x, np.int64) for lang, x in sorted(map(tuple, vectors))}
+    langs = list(told)
+    if not langs:
+        return LanguageModel([], np.zeros(0), np.zeros((1 << bits, 0), np.float32), bits, orders)
+    table = np.stack([x[:-1] for x in told.values()], axis=1) + smoothing
+    prior = np.array([x[-1] for x in told.values()], np.float64)
     return LanguageModel(langs, np.log(prior / max(1, prior.sum())), np.log(table / table.sum(axis=0)).astype(np.float32), bits, orders)
 
 

@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from graphspan.llm import shingle_join as sj
@@ -145,31 +145,29 @@ def _forest(key: np.ndarray, home: np.ndarray, node: np.ndarray, prints: np.ndar
     return np.concatenate([x for x, _ in found] or [node[:0]]), np.concatenate([x for _, x in found] or [node[:0]])
 
 
-def linked(prints: DataFrame, link_cols: list[str], anchor_cols: list[str], most: int) -> DataFrame:
-    """(u, v) edges that span all links, at most `most` differing bits in link_cols, between nodes.
+def linked(prints: DataFrame, most: int, crowd: int = 20_000) -> DataFrame:
+    """(u, v) edges that span all links, at most `most` <= 3 differing bits, between nodes.
 
-    prints has one row per distinct fingerprint: node, link_cols, anchor_cols (longs). Pairs are
-    candidates if some block of the anchor columns differs in at most one bit; with the same
-    columns for both and most < twice the blocks, that is every link.
+    prints has one row per distinct fingerprint: node, f0. Of 64 bits two blocks of 31 are covered;
+    of three differing bits at most one is in one of them, so every linked pair meets at an anchor.
+
+    An anchor of more than `crowd` rows is split: its fingerprints go to most + 1 parts by as many
+    runs of their bits, of which two linked ones have one in common.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 2000):
-                part = batch.slice(lo, 2000)
-                cols = [part.column(i).to_numpy(zero_copy_only=False) for i in range(part.num_columns)]
-                words = np.stack([x.view(np.uint64) for x in cols[1 + len(link_cols) :]], axis=1)
-                row, key, home = _anchored(_blocks(words))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(home), *(pa.array(x[row]) for x in cols[: 1 + len(link_cols)])],
-                    names=["key", "home", "node", *link_cols],
-                )
+                node, f0 = (x.to_numpy(zero_copy_only=False) for x in batch.slice(lo, 2000).columns)
+                row, key, home = _anchored(_blocks(f0.view(np.uint64)[:, None]))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(home), pa.array(node[row]), pa.array(f0[row])], names=["key", "home", "node", "f0"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
-        def links(cols: list[np.ndarray]) -> pa.RecordBatch:
-            pairs = _forest(cols[0], cols[1], cols[2], np.stack([x.view(np.uint64) for x in cols[3:]], axis=1), most)
+        def links(key, part, home, node, f0) -> pa.RecordBatch:
+            run = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+            pairs = _forest(run, home, node, f0.view(np.uint64)[:, None], most)
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], names=["u", "v"])
 
         for batch in batches:
@@ -177,16 +175,28 @@ def linked(prints: DataFrame, link_cols: list[str], anchor_cols: list[str], most
             held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
             if not len(held[0]):
                 continue
-            whole = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on
+            other = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
+            whole = int(other[-1]) + 1 if len(other) else 0  # the last run may go on
             if whole:
-                yield links([x[:whole] for x in held])
+                yield links(*(x[:whole] for x in held))
                 held = [x[whole:] for x in held]
         if held is not None and len(held[0]):
-            yield links(held)
+            yield links(*held)
+
+    dealt = prints.select("node", "f0").mapInArrow(deal, "key long, home boolean, node long, f0 long")
+    at = max(crowd, -(-32 * prints.count() // 10_000))
+    crowded = F.broadcast(dealt.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > at).select("key"))  # 10,000 at most
+    rest = dealt.join(crowded, "key", "left_anti").withColumn("part", F.lit(-1).cast("long"))
+    parts = F.array(*[_segment(F.col("f0"), i, most + 1) for i in range(most + 1)])
+    split = dealt.join(crowded, "key", "left_semi").withColumn("part", F.explode(parts))
+    rows = rest.unionByName(split).select("key", "part", "home", "node", "f0")
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(meet, "u long, v long").filter("u <> v").distinct()
+
 
-    shape = "key long, home boolean, node long, " + ", ".join(f"{x} long" for x in link_cols)
-    dealt = prints.select("node", *[F.col(x) for x in link_cols], *[F.col(x).alias(f"__{x}") for x in anchor_cols]).mapInArrow(deal, shape)
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "u long, v long").filter("u <> v").distinct()
+def _segment(print_: Column, i: int, n: int) -> Column:
+    """The i-th of n runs of bits, with its number."""
+    low, high = 64 * i // n, 64 * (i + 1) // n
+    return F.shiftrightunsigned(print_, low).bitwiseAND(F.lit((1 << (high - low)) - 1)) + F.lit(i << 32)
 
 
 def _grouped(prints: DataFrame, same: list[str], links: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -219,7 +229,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if most > 3:
         raise ValueError("two blocks of a 64-bit fingerprint cover three differing bits")
     prints = fingerprints(docs, id_col, text_col, width, seed)
-    return _grouped(prints, ["f0"], lambda stats: linked(stats.filter("node is not null"), ["f0"], ["f0"], most))
+    return _grouped(prints, ["f0"], lambda stats: linked(stats.filter("node is not null"), most))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -146,7 +146,25 @@ def test_anchors_miss_no_link(seed):
 
     every = [(a, b) for a in range(len(prints)) for b in range(a) if (int(prints[a]) ^ int(prints[b])).bit_count() <= 3]
     assert groups(zip(u.tolist(), v.tolist())) == groups(every)
-    assert all((int(prints[a]) ^ int(prints[b])).bit_count() <= 3 for a, b in zip(u.tolist(), v.tolist())) or len(crowd) > 64
+    assert all((int(prints[a]) ^ int(prints[b])).bit_count() <= 3 for a, b in zip(u.tolist(), v.tolist())) 
+
+
+def test_crowded_anchors_are_split_without_loss(spark):
+    rng = np.random.default_rng(2)
+    half = np.array([sum(1 << int(b) for b in rng.choice(31, 2, replace=False)) for _ in range(1500)], np.uint64)
+    prints = np.unique(half | rng.integers(0, 1 << 12, 1500, dtype=np.uint64) << np.uint64(40))
+    links = [(a, b) for b in range(len(prints)) for a in np.flatnonzero(np.bitwise_count(prints[:b] ^ prints[b]) <= 3).tolist()]
+    table = spark.createDataFrame([(i, int(x)) for i, x in enumerate(prints)], "node long, f0 long")
+    for crowd in (50, 20_000):
+        got = [tuple(r) for r in simhash.linked(table, 3, crowd).collect()]
+        assert set(map(tuple, map(sorted, got))) <= set(links)
+        assert label_of(len(prints), got) == label_of(len(prints), links)
+
+
+def test_query_tells_fingerprints_in_hex(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc_id"], r["fingerprint"]) for r in simhash.op2(spark, str(tmp_path)).collect()}
+    assert got == {(i, f"{_print(t):016x}") for i, t, *_ in corpus()}
 
 
 def test_near_duplicates_join_copies_and_near_copies_only(docs):
@@ -258,6 +276,54 @@ def test_language_id_on_held_out_documents(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.95 and all(0 <= r["score"] <= 1 for r in got)
 
 
+def _plain_letters(text):
+    low, gap = [0], False
+    for c in text:
+        x = (c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else None
+        if x is None and gap:
+            continue
+        gap = x is None
+        low.append(ord(x) if x else 0)
+    return [*low, 0]
+
+
+@pytest.mark.parametrize("step", [1 << 19, 7])
+def test_language_id_matches_brute_force(spark, docs, step, monkeypatch):
+    """Naive Bayes told plainly; also where a text spans many blocks of letters."""
+    monkeypatch.setattr(language_id, "_STEP", step)
+    word = (1 << 64) - 1
+
+    def grams(text):
+        low = _plain_letters(text) if text else []
+        for n in (1, 2, 3):
+            for i in range(len(low) - n + 1):
+                h = 0
+                for x in low[i : i + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + x) & word
+                yield (((h + n) * 0xD6E8FEB86659FD93) & word) >> 48
+
+    texts = [(t, lang) for _, t, lang, *_ in corpus() if t is not None]
+    for t, _ in texts:
+        assert Counter(np.concatenate(list(language_id._grams(t, 16, (1, 2, 3))) or [np.zeros(0)]).astype(int).tolist()) == Counter(grams(t))
+    if step == 7:
+        return
+    counts, prior = {}, Counter()
+    for t, lang in texts:
+        if lang:
+            counts.setdefault(lang, Counter()).update(grams(t))
+            prior[lang] += 1
+    model = language_id.train(docs)
+    got = language_id.identify(docs, model).collect()
+    total = {k: sum(c.values()) + 0.5 * 65536 for k, c in counts.items()}
+    for r in got:
+        if not language_id.has_letters(r["text"]):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        logs = {k: math.log(prior[k] / sum(prior.values())) + sum(math.log((c[g] + 0.5) / total[k]) for g in grams(r["text"])) for k, c in counts.items()}
+        best = max(sorted(logs), key=logs.get)
+        assert r["lang_pred"] == best and abs(r["score"] - 1 / sum(math.exp(x - logs[best]) for x in logs.values())) < 1e-3
+
+
 def test_language_id_without_letters(docs):
     model = language_id.train(docs)
     for r in language_id.identify(docs.withColumn("score", F.lit("x")), model).collect():
