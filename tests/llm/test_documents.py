@@ -277,14 +277,14 @@ def test_language_id_on_held_out_documents(spark):
 
 
 def _plain_letters(text):
-    low, gap = [0], False
+    low, gap = [0], True
     for c in text:
         x = (c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else None
         if x is None and gap:
             continue
         gap = x is None
         low.append(ord(x) if x else 0)
-    return [*low, 0]
+    return low if gap else [*low, 0]
 
 
 @pytest.mark.parametrize("step", [1 << 19, 7])
