@@ -101,7 +101,7 @@ def _told(seen: Observation, out: DataFrame, measures: dict[str, Column]) -> dic
         return out.agg(*[m.alias(k) for k, m in measures.items()]).first().asDict()
 
 
-def bucketed(df: DataFrame, keys: list[str], name: str = "table", **measures: Column) -> tuple[DataFrame, dict]:
+def bucketed(df: DataFrame, keys: list[str], name: str = "table", compression: str = "snappy", **measures: Column) -> tuple[DataFrame, dict]:
     """materialise_with(), laid out by a hash of keys in as many buckets as a shuffle has partitions.
 
     A join or a grouping by these keys then reads the table where it lies: only the other side moves.
@@ -110,7 +110,7 @@ def bucketed(df: DataFrame, keys: list[str], name: str = "table", **measures: Co
     path, table, buckets = scratch(spark, name), f"graphspan_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     seen = Observation() if measures else None
     rows = df.observe(seen, *[m.alias(k) for k, m in measures.items()]) if measures else df
-    rows.repartition(buckets, *keys).write.format("parquet").option("path", path).bucketBy(buckets, *keys).saveAsTable(table)
+    rows.repartition(buckets, *keys).write.format("parquet").option("path", path).option("compression", compression).bucketBy(buckets, *keys).saveAsTable(table)
     out = spark.table(table)
     out._graphspan_path, out._graphspan_table = path, table
     _noted(out)
