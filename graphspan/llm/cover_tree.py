@@ -1,10 +1,13 @@
 """Exact cosine links between vectors by dual traversal of cover trees.
 
-On unit vectors, cosine >= c is chord distance <= sqrt(2 - 2c). The vectors of a label are dealt
-into cells of bounded size; every pair of cells is one group of work. In it each cell becomes a
-cover tree: nested levels of centres whose radii halve, every node with the largest distance from
-its centre to a vector below it. Pairs of nodes descend together, and a pair is dropped as soon as
-the distance of its centres exceeds both radii plus the threshold; what remains is compared.
+On unit vectors, cosine >= c is chord distance <= sqrt(2 - 2c). The top of a label's cover tree is
+shared: large labels have centres, far from each other, out of a small sample of theirs; every
+vector goes to its nearest centre, and a pair of centres is dropped if it is further apart than both
+covering radii plus the threshold. What a centre covers is dealt into cells of bounded size, and
+every pair of cells of a pair that is left is one group of work. In it each cell becomes a cover
+tree: nested levels of centres whose radii halve, every node with the largest distance from its
+centre to a vector below it. Pairs of nodes descend together, and a pair is dropped as soon as the
+distance of its centres exceeds both radii plus the threshold; what remains is compared.
 
 Equal vectors are one row with a count, so a vector that a third of all rows share costs one.
 """
@@ -123,15 +126,66 @@ def _work(table: pa.Table, cosine: float, finest: float) -> pa.Table:
     return pa.table({"node": node[some], "links": links[some].astype(np.int64), "to": node[label[some]]})
 
 
+def _centres(units: DataFrame, sizes: DataFrame, cell: int, centres: int) -> DataFrame:
+    """(group, centre, unit): of each group one vector a cell, `centres` at most, each the furthest
+    from those before it, out of a sample by hash of about four times as many."""
+    share = F.lit(4.0 * centres) / F.col("rows") * (1 << 40)
+    some = units.join(F.broadcast(sizes), "group").filter(F.pmod(F.xxhash64("node", F.lit(11)), F.lit(1 << 40)) < share)
+
+    def spread(table: pa.Table) -> pa.Table:
+        x = np.array(table.sort_by("node")["unit"].to_pylist())
+        chosen, near = [0], np.full(len(x), np.inf)
+        while len(chosen) < min(centres, len(x), -(-table["rows"][0].as_py() // cell)):
+            near = np.minimum(near, 2 - 2 * (x @ x[chosen[-1]]))
+            chosen.append(int(np.argmax(near)))
+        chosen = sorted(set(chosen))
+        return pa.table({"group": table["group"].take(pa.array([0] * len(chosen))), "centre": np.arange(len(chosen)), "unit": pa.array(x[chosen].tolist(), pa.list_(pa.float64()))})
+
+    kind = units.schema["group"].dataType.simpleString()
+    return some.select("group", "rows", "node", "unit").groupBy("group").applyInArrow(spread, f"group {kind}, centre long, unit array<double>")
+
+
+def _pairs(units: DataFrame, total: int, reach: float, cell: int, centres: int) -> DataFrame:
+    """Every vector once for each pair of cells it is compared in: group, i, j, mine, both, node, n, unit."""
+    sizes = units.groupBy("group").agg(F.count("*").alias("rows"))
+    large = sizes.filter(F.col("rows") >= max(4 * cell, -(-total // 100)))
+    top = materialise(_centres(units, materialise(large, "labels"), cell, centres), "centres")
+    known = F.broadcast(top.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("centre", "unit"))), lambda c: c["unit"]).alias("centres")))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    chord = lambda a, b: F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot(a, b)))
+    near = F.array_min(F.transform("centres", lambda c, i: F.struct(chord(F.col("unit"), c).alias("far"), i.cast("long").alias("centre"))))
+    placed = units.join(known, "group", "left").withColumn("near", F.coalesce(near, F.struct(F.lit(0.0).alias("far"), F.lit(-1).cast("long").alias("centre"))))
+    placed = materialise(placed.select("group", "node", "n", "unit", F.struct("group", "near.centre").alias("ball"), F.col("near.far").alias("far")), "placed")
+    balls = materialise(placed.groupBy("ball").agg(F.count("*").alias("rows"), F.max("far").alias("radius")), "balls")
+    balls = balls.select("ball", "ball.group", "ball.centre", "radius", "rows", F.ceil(F.col("rows") / cell).cast("int").alias("cells"))
+    balls = balls.join(top.withColumnRenamed("unit", "at"), ["group", "centre"], "left")
+    other = balls.select("group", *[F.col(x).alias(f"o_{x}") for x in ("centre", "radius", "cells", "at")])
+    close = F.col("at").isNull() | (chord(F.col("at"), F.col("o_at")) <= F.col("radius") + F.col("o_radius") + reach)
+    met = balls.join(other, "group").filter(close).groupBy("ball", "rows", "cells").agg(F.collect_list(F.struct(F.col("o_centre").alias("centre"), F.col("o_cells").alias("cells"))).alias("met"))
+    hot, cold = split_hot(placed, materialise(met, "meetings"), "ball", "rows", total)
+    cols = ["group", "ball", "node", "n", "unit", "cells", "met"]
+    rows = hot.select(*cols).union(cold.select(*cols))
+    number = lambda centre, part: F.shiftleft(centre + 1, 40) + part
+    rows = rows.withColumn("own", number(F.col("ball.centre"), F.pmod(F.xxhash64("node", "unit"), F.col("cells"))))
+    rows = rows.withColumn("them", F.explode("met")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("them.cells") - 1).cast("long"))))
+    rows = rows.withColumn("other", number(F.col("them.centre"), F.col("part")))
+    return rows.select(
+        "group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("mine"),
+        (F.col("own") == F.col("other")).alias("both"), "node", "n", "unit",
+    )
+
+
 def cosine_links(
-    vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding", cell: int = 2000
+    vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding", cell: int = 2000,
+    centres: int = 64,
 ) -> DataFrame:
     """(id, n_links, component_id, kept): exact links of vectors with equal labels and cosine >= `cosine`.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and those with a null
     label, link with nothing; so do vectors of unequal length. Ids are integers; repeated ids are
     rows of their own that link like any others. A null id is kept without links. Other columns
-    are not returned.
+    are not returned. cell bounds the vectors of a cell, centres those at the top of a large label
+    (one of at least 4 cells and a hundredth of all rows, so that there are a hundred at most).
     """
     value = F.col("v")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -146,18 +200,9 @@ def cosine_links(
     scaled = rows.filter("ok").withColumn("p", peak).withColumn("v", F.transform(value, lambda x: x / F.col("p"))).drop("p")
     distinct = materialise(scaled.groupBy("label", "v").agg(F.min("id").alias("node"), F.count("*").alias("n")), "distinct-vectors")
     units = distinct.withColumn("norm", norm).select("label", F.size("v").alias("dim"), "node", "n", F.transform(value, lambda x: x / F.col("norm")).alias("unit"))
-    sizes = materialise(units.groupBy("label", "dim").agg(F.count("*").alias("rows")), "labels")
     units = units.withColumn("group", F.struct("label", "dim")).drop("label", "dim")
-    sizes = sizes.select(F.struct("label", "dim").alias("group"), "rows")
     total = distinct.count()
-    parts = split_hot(units, sizes, "group", "rows", total)
-    cols = ["group", "node", "n", "unit", F.ceil(F.col("rows") / cell).cast("int").alias("cells")]
-    celled = parts[0].select(*cols).union(parts[1].select(*cols))
-    celled = celled.withColumn("own", F.pmod(F.xxhash64("node", "unit"), F.col("cells")).cast("int"))
-    pairs = celled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select(
-        "group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("mine"),
-        (F.col("own") == F.col("other")).alias("both"), "node", "n", "unit",
-    )
+    pairs = _pairs(units, total, math.sqrt(2 - 2 * cosine) + _SLACK, cell, centres)
     finest = math.sqrt(2 - 2 * cosine) / 2
     found = materialise(
         pairs.groupBy("group", "i", "j").applyInArrow(lambda t: _work(t, cosine, finest), "node long, links long, to long"), "vector-links"

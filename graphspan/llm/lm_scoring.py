@@ -202,7 +202,7 @@ def lm_scores(
 
     base = math.log10(vocabulary.total + 0.1 * (vocabulary.distinct + 1))
     fields = [T.StructField(n, k) for n, k in (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))]
-    schema = with_fields(docs.schema.add(COPIES, T.LongType()), fields)
+    schema = with_fields(rows.drop(HELD).schema, fields)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weights))
 
     def scored(table: pa.Table, told: pa.Table) -> pa.Table:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from graphspan.llm import textarrays as ta
-from graphspan.llm.chunks import CHUNK, COPIES, dealt, emit, growth, in_order, restored, with_fields
+from graphspan.llm.chunks import CHUNK, dealt, emit, growth, in_order, restored, with_fields
 from graphspan.operators.skew import split_hot
 from graphspan.session import bucketed, materialise
 
@@ -305,7 +305,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         T.StructField("spans", T.ArrayType(SPAN)),
         *([T.StructField("kept_text", T.StringType())] if with_text else []),
     ]
-    schema = with_fields(docs.withColumn(id_col, docs[id_col].cast("long")).schema.add(COPIES, T.LongType()), fields)
+    schema = with_fields(rows.schema, fields)
     bits = (
         rows.groupBy(CHUNK)
         .applyInArrow(lambda t: _residues(t, id_col, text_col, k, buckets), "bucket int, chunk int, residues binary, several binary")

@@ -68,7 +68,7 @@ def _vectors(seed=3):
     return rows
 
 
-@pytest.mark.parametrize("cell", [2000, 40])
+@pytest.mark.parametrize("cell", [2000, 40, 12])
 def test_cosine_links_match_brute_force(spark, cell):
     rows = _vectors()
     ok = [v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) and label is not None for _, v, label in rows]
@@ -121,3 +121,15 @@ def test_warc_of_one_gzip_member_a_record(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(record(i)) for i in range(5)))
     got = archives.read_warc(spark, str(tmp_path)).collect()
     assert sorted((r["key"], bytes(r["payload"])) for r in got) == [(i, block(i)) for i in range(5)]
+
+
+def test_balls_far_apart_do_not_meet(spark):
+    rng = np.random.default_rng(5)
+    centre = np.eye(16)[rng.integers(0, 16, 3000)]
+    x = centre + rng.normal(scale=0.02, size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [(i, 1, v.tolist(), 0) for i, v in enumerate(x)]
+    units = spark.createDataFrame(rows, "node long, n long, unit array<double>, label int").withColumn("group", F.struct("label", F.size("unit").alias("dim"))).drop("label")
+    pairs = cover_tree._pairs(units, 3000, 0.3742, 100, 64)
+    assert pairs.select("node").distinct().count() == 3000
+    assert pairs.count() < 3000 * 30 / 4  # of 30 cells

@@ -1,7 +1,10 @@
 import inspect
+import os
 
-from fixtures import ALNUM, LOWER, bytes_words, corpus
-from test_documents import BENCH
+import pytest
+from fixtures import ALNUM, LOWER, SCHEMA, bytes_words, corpus
+from pyspark.sql import functions as F
+from test_documents import BENCH, brute_links, label_of
 
 import __spark_entry__ as driver
 import corpus_pipeline as pipeline
@@ -19,7 +22,11 @@ def test_stages_in_order(spark, docs, tmp_path):
     known, apart, cut, clean = seen
     lettered = {i for i, t, *_ in corpus() if t is not None and any(map(str.isalpha, t))}
     assert set(known) <= lettered and {i for i in lettered if i is not None and i < 60} <= set(known)
-    assert {i for i, *_ in corpus() if i is not None and 60 <= i < 72 and i % 2 == 0}.isdisjoint(apart)
+    named = sorted((i, t) for i, t in known.items() if i is not None)
+    leads = {i for i, (at, _) in enumerate(named) if label_of(len(named), brute_links(named))[i] == i}
+    assert {i for i in apart if i is not None} == {named[i][0] for i in leads}
+    languages = {r["doc_id"]: r["lang"] for r in pipeline.identify_language(spark, docs, str(tmp_path)).collect()}
+    assert None not in languages.values() and any(lang is None and i in languages for i, _, lang, *_ in corpus())
     windows = {}
     for i, t in cut.items():
         for j in range(len(w := bytes_words(t)) - 12):
@@ -40,3 +47,41 @@ def test_queries_are_registered():
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES}
     assert set(queries.QUERIES) | {"pipeline"} <= names
     assert all(len(inspect.signature(f).parameters) == 3 for _, f in pipeline.STAGES)
+
+
+CLASHES = {"score": 42.0, "lang_pred": "mine", "n_words": -1, "n_removed": -2, "spans": "s", "kept_text": "k", "n_hit": -3, "items": "i", "contaminated": "c", "clean_text": "t", "id": 9, "component_id": 8, "bucket": 7}
+
+
+@pytest.mark.parametrize("name, stage", pipeline.STAGES[:-1])
+def test_columns_of_users_pass_unchanged(spark, docs, tmp_path, name, stage):
+    spark.createDataFrame(BENCH[1:2], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    more = docs.withColumns({k: F.lit(v) for k, v in CLASHES.items()})
+    out = stage(spark, more, str(tmp_path)).collect()
+    assert out and all(r[k] == v for r in out for k, v in CLASHES.items())
+    assert sorted(map(repr, ((r["doc_id"], r["text"], r["lang"], r["n_chars"]) for r in out))) == sorted(
+        map(repr, ((r["doc_id"], r["text"], r["lang"], r["n_chars"]) for r in stage(spark, docs, str(tmp_path)).collect()))
+    )
+
+
+@pytest.mark.parametrize("name, stage", pipeline.STAGES)
+def test_stages_take_empty_tables(spark, nothing, tmp_path, name, stage):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = stage(spark, nothing, str(tmp_path))
+    assert out.count() == 0 and (name == "packing" or out.columns == nothing.columns)
+
+
+def test_rows_of_one_id_are_one_document(spark, tmp_path):
+    rows = [(1, "a b c d e f g", "en", "s", 1), (1, "other words in here", "en", "s", 1), (1, "a b c d e f g", "en", "s", 1), (2, "a b c d e f g", "en", "s", 1), (None, "x", "en", "s", 1), (None, "x", "en", "s", 1)]
+    out = pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()
+    assert sorted(str(r["doc_id"]) for r in out) == ["1", "None", "None"]
+
+
+def test_a_run_leaves_only_its_last_tables(spark, docs, tmp_path):
+    from graphspan.session import shared_dir
+
+    spark.createDataFrame(BENCH[1:2], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert pipeline.run(spark, str(tmp_path)).count()
+    assert len([x for x in set(os.listdir(folder)) - before if x.startswith("graphspan-")]) <= 2
