@@ -6,12 +6,9 @@ import __spark_entry__ as driver
 from graphspan.plans import oracles, queries
 
 DATA = Path("/root/testdata/sf0.001")
-SLOW = {"cluster_invariants", "cluster_diameter_bounds", "guess_centres_le_memory", "double_sweep", "sequential", "delta_stepping_ecc", "component_sizes"}
 
-
-def test_every_query_but_the_random_ones_has_an_oracle():
-    assert set(queries.QUERIES) - set(oracles.ORACLES) == {"rand_cluster", "rand_cluster_guess"}
-    assert set(oracles.ORACLES) <= set(queries.QUERIES)
+def test_every_query_has_an_oracle():
+    assert set(queries.QUERIES) == set(oracles.ORACLES)
 
 
 def test_entry_runs(spark):
@@ -25,7 +22,7 @@ def _sorted(columns, rows):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no tables")
-@pytest.mark.parametrize("name", sorted(set(oracles.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for path in DATA.glob("*.parquet"):
