@@ -144,7 +144,9 @@ def with_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     Of equal payloads of at least min_bytes the record with the smallest key stays a response and
     the others become revisits of it. Only keys and digests are grouped; a digest that very many
     records share is looked up in a small broadcast table. The repeats are written before they meet
-    the payloads, so that their size is known: few are broadcast and no payload moves.
+    the payloads, so that their size is known: few are broadcast and no payload moves. Keys should be
+    unique: of rows that share the smallest key of a payload each is a response, and a repeat refers
+    to that key. A null payload is an empty one.
     """
     return _marked(records, _digests(records), min_bytes)
 
