@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from graphspan.llm import (
     archives,
     cover_tree,
+    cross_polytope,
     decontaminate,
     language_id,
     lm_scoring,
     packing,
+    periodic_runs,
     simhash,
     substring_dedup,
     token_counts,
     training_order,
+    whitening,
 )
 from graphspan.llm.oracles import ORACLES  # noqa: F401
 
@@ -31,4 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": token_counts.op8,
     "op9_cover_tree": cover_tree.op9,
     "op10_lm_scoring": lm_scoring.op10,
+    "op11_whitening": whitening.op11,
+    "op12_periodic_runs": periodic_runs.op12,
+    "op13_cross_polytope": cross_polytope.op13,
 }
