@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from graphspan.operators.components import connected_components
 from graphspan.operators.skew import split_hot
-from graphspan.session import materialise
+from graphspan.session import materialise, materialise_with
 
 _SLACK = 1e-7  # the rounding of sqrt(2 - 2 x.y) near zero is 2e-8
 
@@ -130,7 +130,7 @@ def _centres(units: DataFrame, sizes: DataFrame, cell: int, centres: int) -> Dat
     """(group, centre, unit): of each group one vector a cell, `centres` at most, each the furthest
     from those before it, out of a sample by hash of about four times as many."""
     share = F.lit(4.0 * centres) / F.col("rows") * (1 << 40)
-    some = units.join(F.broadcast(sizes), "group").filter(F.pmod(F.xxhash64("node", F.lit(11)), F.lit(1 << 40)) < share)
+    some = units.join(sizes, "group").filter(F.pmod(F.xxhash64("node", F.lit(11)), F.lit(1 << 40)) < share)
 
     def spread(table: pa.Table) -> pa.Table:
         x = np.array(table.sort_by("node")["unit"].to_pylist())
@@ -147,14 +147,18 @@ def _centres(units: DataFrame, sizes: DataFrame, cell: int, centres: int) -> Dat
 
 def _pairs(units: DataFrame, total: int, reach: float, cell: int, centres: int) -> DataFrame:
     """Every vector once for each pair of cells it is compared in: group, i, j, mine, both, node, n, unit."""
-    sizes = units.groupBy("group").agg(F.count("*").alias("rows"))
-    large = sizes.filter(F.col("rows") >= max(4 * cell, -(-total // 100)))
-    top = materialise(_centres(units, materialise(large, "labels"), cell, centres), "centres")
-    known = F.broadcast(top.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("centre", "unit"))), lambda c: c["unit"]).alias("centres")))
+    large = materialise(units.groupBy("group").agg(F.count("*").alias("rows")).filter(F.col("rows") >= 4 * cell), "labels")
+    top = materialise(_centres(units, large, cell, centres), "centres")
+    known = top.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("centre", "unit"))), lambda c: c["unit"]).alias("centres"))
+    known, seen = materialise_with(known.join(large, "group"), "known", n=F.count("*"), hot=F.count(F.when(F.col("rows") >= total / 100, 1)))
+    hot = F.broadcast(known.filter(F.col("rows") >= total / 100).select("group", "centres"))  # a hundred labels at most
+    rest = units.join(F.broadcast(hot.select("group")), "group", "left_anti")
+    rest = rest.join(known.filter(F.col("rows") < total / 100).select("group", "centres"), "group", "left") if seen["n"] > seen["hot"] else rest.withColumn("centres", F.lit(None).cast("array<array<double>>"))
+    labelled = units.join(hot, "group").unionByName(rest)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
     chord = lambda a, b: F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot(a, b)))
     near = F.array_min(F.transform("centres", lambda c, i: F.struct(chord(F.col("unit"), c).alias("far"), i.cast("long").alias("centre"))))
-    placed = units.join(known, "group", "left").withColumn("near", F.coalesce(near, F.struct(F.lit(0.0).alias("far"), F.lit(-1).cast("long").alias("centre"))))
+    placed = labelled.withColumn("near", F.coalesce(near, F.struct(F.lit(0.0).alias("far"), F.lit(-1).cast("long").alias("centre"))))
     placed = materialise(placed.select("group", "node", "n", "unit", F.struct("group", "near.centre").alias("ball"), F.col("near.far").alias("far")), "placed")
     balls = materialise(placed.groupBy("ball").agg(F.count("*").alias("rows"), F.max("far").alias("radius")), "balls")
     balls = balls.select("ball", "ball.group", "ball.centre", "radius", "rows", F.ceil(F.col("rows") / cell).cast("int").alias("cells"))
@@ -184,8 +188,10 @@ def cosine_links(
     Vectors that are null, empty, zero or hold null or non-finite components, and those with a null
     label, link with nothing; so do vectors of unequal length. Ids are integers; repeated ids are
     rows of their own that link like any others. A null id is kept without links. Other columns
-    are not returned. cell bounds the vectors of a cell, centres those at the top of a large label
-    (one of at least 4 cells and a hundredth of all rows, so that there are a hundred at most).
+    are not returned. cell bounds the vectors of a cell, centres those at the top of a large label,
+    one of at least 4 cells; those of a hundredth of all rows or more, a hundred at most, have their
+    centres broadcast, the others are joined with theirs. What links are vectors: an id on unlike
+    vectors has the links and the component of each in its rows.
     """
     value = F.col("v")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -198,7 +204,8 @@ def cosine_links(
     rows = rows.withColumn("ok", sound)
     peak = F.array_max(F.transform(value, F.abs))  # scaled first, lest squares run over or under
     scaled = rows.filter("ok").withColumn("p", peak).withColumn("v", F.transform(value, lambda x: x / F.col("p"))).drop("p")
-    distinct = materialise(scaled.groupBy("label", "v").agg(F.min("id").alias("node"), F.count("*").alias("n")), "distinct-vectors")
+    distinct = scaled.groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id())
+    distinct = materialise(distinct, "distinct-vectors")  # written, so that numbers stay
     units = distinct.withColumn("norm", norm).select("label", F.size("v").alias("dim"), "node", "n", F.transform(value, lambda x: x / F.col("norm")).alias("unit"))
     units = units.withColumn("group", F.struct("label", "dim")).drop("label", "dim")
     total = distinct.count()
@@ -207,10 +214,11 @@ def cosine_links(
     found = materialise(
         pairs.groupBy("group", "i", "j").applyInArrow(lambda t: _work(t, cosine, finest), "node long, links long, to long"), "vector-links"
     )
-    parts = connected_components(found.filter("node <> to"), "node", "to")
+    parts = materialise(connected_components(found.filter("node <> to"), "node", "to"), "parts").withColumnRenamed("id", "node")
+    smallest = parts.join(distinct.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("smallest"))
     degree = found.groupBy("node").agg(F.sum("links").alias("links"))
-    known = distinct.join(degree, "node", "left").join(parts.withColumnRenamed("id", "node"), "node", "left").select(
-        F.struct("label", "v").alias("same"), "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component_id")
+    known = distinct.join(degree, "node", "left").join(parts.join(smallest, "component"), "node", "left").select(
+        F.struct("label", "v").alias("same"), "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("smallest", "least").alias("component_id")
     )
     hot, cold = split_hot(scaled.withColumn("same", F.struct("label", "v")), materialise(known, "vector-classes"), "same", "n", rows.count())
     shape = ["id", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id"]

@@ -94,6 +94,13 @@ def test_cosine_links_match_brute_force(spark, cell):
     assert max(w[1] for w in want) >= 40
 
 
+def test_one_id_on_unlike_vectors_and_labels(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a, 0), (1, b, 0), (2, [1.0, 0.1, 0.0], 0), (3, [0.1, 1.0, 0.0], 0), (1, a, 7), (4, a, 7), (0, [0.1, 1.0, 0.01], 0)]
+    got = sorted(tuple(r) for r in cover_tree.cosine_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == sorted([(1, 1, 1, True), (1, 2, 0, False), (2, 1, 1, False), (3, 2, 0, False), (1, 1, 1, True), (4, 1, 1, False), (0, 2, 0, True)])
+
+
 def test_no_vectors(spark):
     assert cover_tree.cosine_links(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
@@ -133,3 +140,18 @@ def test_balls_far_apart_do_not_meet(spark):
     pairs = cover_tree._pairs(units, 3000, 0.3742, 100, 64)
     assert pairs.select("node").distinct().count() == 3000
     assert pairs.count() < 3000 * 30 / 4  # of 30 cells
+
+
+def test_small_labels_have_centres_too(spark):
+    """A label of half a percent of the rows drops the balls that are far apart."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for label, n in ((0, 19_000), (1, 100)):
+        x = (np.eye(16)[rng.integers(0, 16, n)] + rng.normal(scale=0.02, size=(n, 16))) if label else np.eye(16)[:1].repeat(n, 0) + rng.normal(scale=0.02, size=(n, 16))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        rows += [(len(rows) + i, 1, v.tolist(), label) for i, v in enumerate(x)]
+    units = spark.createDataFrame(rows, "node long, n long, unit array<double>, label int").withColumn("group", F.struct("label", F.size("unit").alias("dim"))).drop("label")
+    few = units.filter("group.label = 1")
+    pairs = cover_tree._pairs(few.unionByName(units.filter("group.label = 0 and node % 19 = 0")), 19_100, 0.3742, 5, 64).filter("group.label = 1")
+    assert pairs.select("node").distinct().count() == 100
+    assert pairs.count() < 100 * 20 / 4  # of 20 cells
