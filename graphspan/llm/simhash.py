@@ -152,7 +152,8 @@ def linked(prints: DataFrame, most: int, crowd: int = 20_000) -> DataFrame:
     of three differing bits at most one is in one of them, so every linked pair meets at an anchor.
 
     An anchor of more than `crowd` rows is split: its fingerprints go to most + 1 parts by as many
-    runs of their bits, of which two linked ones have one in common.
+    runs of the 33 bits that the anchor's block leaves free, of which two linked ones have one in
+    common; a part that is still larger, once more by runs of the other free bits.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,34 +184,70 @@ def linked(prints: DataFrame, most: int, crowd: int = 20_000) -> DataFrame:
         if held is not None and len(held[0]):
             yield links(*held)
 
-    dealt = prints.select("node", "f0").mapInArrow(deal, "key long, home boolean, node long, f0 long")
+    dealt = materialise(prints.select("node", "f0").mapInArrow(deal, "key long, home boolean, node long, f0 long"), "anchors")
     at = max(crowd, -(-32 * prints.count() // 10_000))
-    crowded = F.broadcast(dealt.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > at).select("key"))  # 10,000 at most
-    rest = dealt.join(crowded, "key", "left_anti").withColumn("part", F.lit(-1).cast("long"))
-    parts = F.array(*[_segment(F.col("f0"), i, most + 1) for i in range(most + 1)])
-    split = dealt.join(crowded, "key", "left_semi").withColumn("part", F.explode(parts))
-    rows = rest.unionByName(split).select("key", "part", "home", "node", "f0")
+    rows = _parts(dealt, at, most)
     return rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(meet, "u long, v long").filter("u <> v").distinct()
 
 
-def _segment(print_: Column, i: int, n: int) -> Column:
-    """The i-th of n runs of bits, with its number."""
-    low, high = 64 * i // n, 64 * (i + 1) // n
-    return F.shiftrightunsigned(print_, low).bitwiseAND(F.lit((1 << (high - low)) - 1)) + F.lit(i << 32)
+_FREE, _LEVELS = 33, 2
 
 
-def _grouped(prints: DataFrame, same: list[str], links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _parts(dealt: DataFrame, at: int, most: int) -> DataFrame:
+    """(key, part, home, node, f0): the rows of each anchor, in parts where they are more than `at`."""
+    free = F.when(F.shiftright("key", 32) == 0, F.shiftrightunsigned("f0", 31)).otherwise(F.col("f0").bitwiseAND(F.lit((1 << 32) - 1)).bitwiseOR(F.shiftleft(F.shiftrightunsigned("f0", 63), 32)))
+    rows, done = dealt.withColumns({"free": free, "part": F.lit(0).cast("long"), "left": F.lit(_FREE)}), []
+    for _ in range(_LEVELS):
+        crowded = F.broadcast(materialise(rows.groupBy("key", "part").agg(F.count("*").alias("m")).filter(F.col("m") > at).select("key", "part"), "crowded"))  # 40,000 at most
+        done.append(rows.join(crowded, ["key", "part"], "left_anti"))
+        rows = rows.join(crowded, ["key", "part"], "left_semi").withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(most)))).select(
+            "key", "home", "node", "f0", *_split("free", "left", F.col("run"), most + 1), F.xxhash64("part", "run", _run("free", "left", F.col("run"), most + 1)).alias("part")
+        )
+    for more in done:
+        rows = rows.unionByName(more)
+    return rows.select("key", "part", "home", "node", "f0")
+
+
+def _edges(left: str, run: Column, n: int) -> tuple[Column, Column]:
+    """Where the run-th of n runs of the `left` lowest bits begins and ends."""
+    return F.floor(F.col(left) * run / n), F.floor(F.col(left) * (run + 1) / n)
+
+
+def _shift(name: str, x: Column | str, by: Column) -> Column:
+    return F.call_function(name, F.col(x) if isinstance(x, str) else x, by.cast("int"))
+
+
+def _ones(n: Column) -> Column:
+    return _shift("shiftleft", F.lit(1).cast("long"), n) - 1
+
+
+def _run(bits: str, left: str, run: Column, n: int) -> Column:
+    low, high = _edges(left, run, n)
+    return _shift("shiftrightunsigned", bits, low).bitwiseAND(_ones(high - low))
+
+
+def _split(bits: str, left: str, run: Column, n: int) -> list[Column]:
+    """The bits without the run, and how many they are."""
+    low, high = _edges(left, run, n)
+    rest = F.col(bits).bitwiseAND(_ones(low)).bitwiseOR(_shift("shiftleft", _shift("shiftrightunsigned", bits, high), low))
+    return [rest.alias(bits), (F.col(left) - (high - low)).cast("int").alias(left)]
+
+
+def _grouped(prints: DataFrame, same: list[str], links: Callable[[DataFrame], DataFrame], node: str = "least") -> DataFrame:
     """prints (id and fingerprints per document) with component_id, the smallest id reachable.
 
-    links gives (u, v) edges between nodes, of a table of node, fingerprints and n.
+    links gives (u, v) edges between nodes, of a table of node, fingerprints and n. A node is the
+    smallest id of its fingerprint (`least`), or the fingerprint itself, if node names it.
     """
     with clearing():
         prints = kept(materialise(prints.select("id", *same), "prints"))
-        stats = materialise(prints.groupBy(*same).agg(F.min("id").alias("node"), F.count("*").alias("n")), "distinct")
+        stats = prints.groupBy(*same).agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("node", F.col(node))
+        stats = materialise(stats, "distinct")
         edges = materialise(links(stats), "links")
-        parts = connected_components(edges)
-        known = stats.join(parts.withColumnRenamed("id", "node"), "node", "left").select(
-            F.struct(*same).alias("__print"), F.coalesce("component", "node").alias("component_id"), "n"
+        parts = materialise(connected_components(edges), "parts").withColumnRenamed("id", "node")
+        smallest = parts.join(stats.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("smallest"))
+        known = stats.join(parts.join(smallest, "component"), "node", "left").select(
+            F.struct(*same).alias("__print"), F.coalesce("smallest", "least").alias("component_id"), "n"
         )
         known = kept(materialise(known, "classes"))
     rows = prints.withColumn("__print", F.struct(*same))
@@ -224,12 +261,13 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Exact: every pair of fingerprints within `most` bits is linked. Ids are integers; of a row with
     a null id the component is that of its fingerprint (null if no id is known). Documents without
-    words all have fingerprint zero and are one group. Repeated rows are kept.
+    words all have fingerprint zero and are one group. Repeated rows are kept. What links are
+    fingerprints: an id on unlike texts is in the group of each, and joins neither to the other.
     """
     if most > 3:
         raise ValueError("two blocks of a 64-bit fingerprint cover three differing bits")
     prints = fingerprints(docs, id_col, text_col, width, seed)
-    return _grouped(prints, ["f0"], lambda stats: linked(stats.filter("node is not null"), most))
+    return _grouped(prints, ["f0"], lambda stats: linked(stats.filter("least is not null"), most), "f0")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -244,7 +282,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         bits = sj.table_bits(docs, text_col)
         prints = kept(materialise(sj.set_prints(docs, bits, id_col, text_col, width), "set-prints"))
         levels = sj.rarity(prints, bits)
-    nodes = lambda stats: stats.filter("node is not null").select("node", "f0", "f1")
+    nodes = lambda stats: stats.filter("least is not null").select("node", "f0", "f1")
     found = _grouped(prints.filter("slots is null"), ["f0", "f1"], lambda stats: sj.jaccard_links(docs, nodes(stats), levels, bits, similarity, id_col, text_col, width))
     return found.select("id", "component_id")
 

@@ -161,6 +161,25 @@ def test_crowded_anchors_are_split_without_loss(spark):
         assert label_of(len(prints), got) == label_of(len(prints), links)
 
 
+def test_parts_of_a_crowded_anchor_are_small(spark):
+    """50,000 fingerprints with one lower block: its anchors hold them all, their parts do not."""
+    rng = np.random.default_rng(4)
+    prints = np.unique(rng.integers(0, 1 << 33, 50_000, dtype=np.uint64) << np.uint64(31) | np.uint64(12345))
+    row, key, home = simhash._anchored(simhash._blocks(prints[:, None]))
+    at = np.flatnonzero(key >> np.uint64(32) == 0)
+    columns = {"key": key[at].astype(np.int64), "home": home[at], "node": row[at], "f0": prints[row[at]].view(np.int64)}
+    parts = simhash._parts(spark.createDataFrame(pa.table(columns)), 2000, 3).groupBy("key", "part").count().toPandas()
+    assert parts["count"].max() <= 2000 and parts["count"].sum() == 4 * len(at)
+
+
+def test_fingerprints_link_and_not_the_ids_they_share(spark):
+    a, b = "one two three four five six", "completely other words in this text here"
+    for other in (8, 3):
+        rows = [(5, a), (7, a), (5, b), (other, b)]
+        got = sorted((r["id"], r["component_id"]) for r in simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert got == sorted([(5, 5), (7, 5), (5, min(5, other)), (other, min(5, other))])
+
+
 def test_query_tells_fingerprints_in_hex(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r["doc_id"], r["fingerprint"]) for r in simhash.op2(spark, str(tmp_path)).collect()}
