@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from graphspan.functions.bits import hash01
+
 #: fixed values: datasets left out, algorithms kept, those whose result is an eccentricity to double
 LEFT_OUT = ["sk-2005", "USA-E"]
 COMPARED = ["RandClusterGuess", "DeltaStepping", "Sequential"]
@@ -216,3 +220,43 @@ def center_fraction(iterations: DataFrame, nodes: DataFrame) -> DataFrame:
 def mean_and_error(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean and its standard error."""
     return rows.groupBy(*by).agg(F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("se"))
+
+
+def auxiliary_size(runs: DataFrame, nodes: DataFrame, base: int = 2) -> DataFrame:
+    """(dataset, radius, base, fraction): mean share of a graph's nodes that were centres, by radius.
+
+    runs has dataset, algorithm, parameters (radius and base) and centers; only clusterings of that
+    base count. nodes has dataset and num_nodes.
+    """
+    radius, own = split_parameters(F.col("parameters"), 2)
+    chosen = runs.filter(F.col("algorithm") == "RandCluster").withColumns({"radius": radius, "base": own}).filter(F.col("base") == base)
+    share = chosen.join(nodes, "dataset").withColumn("fraction", F.col("centers") / F.col("num_nodes"))
+    return share.groupBy("dataset", "radius", "base").agg(F.avg("fraction").alias("fraction"))
+
+
+def poisson_weight(draw: Column, most: int = 14) -> Column:
+    """How often a row is drawn, Poisson with mean one, for a number in [0, 1)."""
+    weight, upto, share = F.lit(0), 0.0, math.exp(-1)
+    for k in range(most):
+        upto += share
+        share /= k + 1
+        weight = weight + (draw >= F.lit(upto)).cast("int")
+    return weight
+
+
+def bootstrap_interval(runs: DataFrame, by: list[str], value: str, row: str, replicas: int = 1000, confidence: float = 0.95, seed: int = 1234) -> DataFrame:
+    """(*by, mean, lower, upper): means and the percentile intervals of their bootstrap.
+
+    Each replica weighs every row by a Poisson number that is a function of seed, replica and the
+    row's key, so that resampling needs neither the group's size nor an order. All replicas
+    are summed in one partial aggregate: of a task's rows only by-group and replica sums move.
+    Null values don't count. A group whose values are all null has null for all three.
+    """
+    drawn = hash01(F.lit(seed), F.col("__replica"), F.col(row))
+    rows = runs.filter(F.col(value).isNotNull()).withColumn("__replica", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1)))).withColumn("__w", poisson_weight(drawn))
+    sums = rows.groupBy(*by, "__replica").agg(F.sum(F.col("__w") * F.col(value)).alias("s"), F.sum("__w").alias("n")).filter("n > 0")
+    tail = (1 - confidence) / 2
+    spread = sums.groupBy(*by).agg(F.percentile(F.col("s") / F.col("n"), F.array(F.lit(tail), F.lit(1 - tail))).alias("p"))
+    means = runs.groupBy(*by).agg(F.avg(value).alias("mean"))
+    same = [F.col(f"m.{k}").eqNullSafe(F.col(f"s.{k}")) for k in by]
+    return means.alias("m").join(spread.alias("s"), same, "left").select(*[f"m.{k}" for k in by], "mean", F.col("p")[0].alias("lower"), F.col("p")[1].alias("upper"))

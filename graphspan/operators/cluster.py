@@ -8,6 +8,8 @@ Which node becomes a centre is a hash of seed, round and id, so a run can be rep
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graphspan.functions.bits import hash01
@@ -52,11 +54,18 @@ def _state(step: int, root: Column, distance: Column, generation: Column) -> Col
     return F.struct(F.lit(step).cast("long").alias("step"), root.alias("root"), distance.cast("long").alias("distance"), generation.cast("long").alias("generation"))
 
 
-def clusters(edges: DataFrame, radius: int, base: float = 2.0, seed: int = 1234, reactivate_fringe: bool = False) -> DataFrame:
+def clusters(
+    edges: DataFrame, radius: int, base: float = 2.0, seed: int = 1234, reactivate_fringe: bool = False, log: list[tuple[str, int, int, int]] | None = None
+) -> DataFrame:
     """(id, root, distance): every node's cluster and the length of a path to its centre.
 
     reactivate_fringe lets covered nodes at or beyond the last round's reach send again in the next;
     without it they stay silent until they hear something better.
+
+    log is given (counter, round, step, count) rows: Centers and Uncovered, the new centres and the
+    nodes without a cluster, as step 0 of every round that makes centres; Covered and Uncovered, the
+    nodes that got one and those still without, for each superstep of a round, from 1. The figures
+    ride on the writes of the steps.
     """
     if radius < 1:
         raise ValueError("a radius under 1 need not end")
@@ -64,13 +73,14 @@ def clusters(edges: DataFrame, radius: int, base: float = 2.0, seed: int = 1234,
     nodes, seen = bucketed(node_ids(edges), ["id"], "nodes", n=F.count("*"))
     n, g, step = seen["n"], 0, 0
     covered = Best(nodes.filter("false").withColumn("value", _state(0, F.col("id"), F.lit(0), F.lit(0))), ["id"], F.max, F.min)
-    last, sure = None, False  # what the last step changed, and so may send; whether all nodes are covered
+    last = None  # what the last step changed, and so may send
+    bare, log = n, [] if log is None else log  # bare: nodes without a cluster
     while n:
         centres, count = None, 0
-        if not sure:
+        if bare:
             free = covered.lookup(nodes.filter(sampled(seed, g, base**g / n))).filter("known is null")
             centres, seen = materialise_with(free.select("id", _state(step, F.col("id"), F.lit(0), F.lit(g)).alias("value")), "centres", n=F.count("*"))
-            count, sure = seen["n"], base**g >= n
+            count = seen["n"]
         old = [last] if last is not None else []
         if reactivate_fringe:
             old.append(covered.known().filter(F.col("value.distance") >= F.lit(radius) * (g - F.col("value.generation"))))
@@ -78,17 +88,21 @@ def clusters(edges: DataFrame, radius: int, base: float = 2.0, seed: int = 1234,
         active = bool(count) or any(not x.isEmpty() for x in senders)
         if centres is not None:
             covered.add(centres, count)
+        bare, inner = bare - count, 0
+        if count:
+            log += [("Centers", g, 0, count), ("Uncovered", g, 0, bare)]
         if not active and covered.known().filter(frozen(radius, g)).count() == n:
             break
         while active:
-            step += 1
+            step, inner = step + 1, inner + 1
             rows = senders[0]
             for x in senders[1:]:
                 rows = rows.union(x)
             after = _state(step, F.col("msg.root"), F.col("msg.distance"), -F.col("msg.older"))
             last, seen = covered.step(rows, adj, message(), accepts(radius, g), after, senders=F.count(F.when(within(radius, g), 1)))
             senders, active = [last.filter(within(radius, g))], seen["senders"] > 0
-            last = last if seen["n"] else None
+            last, bare = last if seen["n"] else None, bare - seen["new"]
+            log += [("Covered", g, inner, seen["new"]), ("Uncovered", g, inner, bare)]
         g += 1
     discard(adj)
     return covered.known().select("id", "value.root", "value.distance")
@@ -153,20 +167,34 @@ def rand_cluster(
     return estimate(edges, materialise(clusters(edges, radius, base, seed, reactivate_fringe), "cluster"), exact_quotient)
 
 
-def rand_cluster_guess(edges: DataFrame, memory: int, init: int, step: int, seed: int = 1234) -> tuple[DataFrame, DataFrame]:
-    """The estimate with the first radius init * step**k that leaves at most `memory` centres.
+def guess_clusters(
+    edges: DataFrame, memory: int, init: int, step: int, seed: int = 1234, log: list[tuple[str, int, int, int]] | None = None
+) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
+    """The clusters of the first radius init * step**k that leaves at most `memory` centres, and what was tried.
 
-    Also returns (iteration, iteration_radius, num_centers) of the radii tried. The base is 2.
+    What was tried are (iteration, radius, milliseconds, centres) rows. The base is 2. log has the
+    counters of the clustering that was taken, as clusters() tells them.
     """
     if step < 2:
         raise ValueError("a step under 2 need not end")
     radius, tried = init, []
     while True:
-        found = materialise(clusters(edges, radius, 2.0, seed), "cluster")
+        began, counted = time.monotonic(), []
+        found = materialise(clusters(edges, radius, 2.0, seed, log=counted), "cluster")
         centres = found.filter("id = root").count()
-        tried.append((len(tried), radius, centres))
+        tried.append((len(tried), radius, round(1000 * (time.monotonic() - began)), centres))
         if centres <= memory:
-            break
+            if log is not None:
+                log += counted
+            return found, tried
         discard(found)
         radius *= step
-    return estimate(edges, found), edges.sparkSession.createDataFrame(tried, "iteration long, iteration_radius long, num_centers long")
+
+
+GUESSES = "iteration long, iteration_radius long, duration_ms long, num_centers long"
+
+
+def rand_cluster_guess(edges: DataFrame, memory: int, init: int, step: int, seed: int = 1234) -> tuple[DataFrame, DataFrame]:
+    """The estimate through guess_clusters(), and the radii tried as a table of GUESSES."""
+    found, tried = guess_clusters(edges, memory, init, step, seed)
+    return estimate(edges, found), edges.sparkSession.createDataFrame(tried, GUESSES)

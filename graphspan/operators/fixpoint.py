@@ -27,6 +27,17 @@ class Best:
         self.keys, self.combine, self.mail = keys, combine, mail or combine
         self.base, seen = bucketed(start.select(*keys, "value"), keys, "best", n=F.count("*"))
         self.rows, self.changes, self.changed = seen["n"], [], 0
+        self.pinned: list[DataFrame] = []  # tables that the caller still reads, and discards itself
+
+    @staticmethod
+    def holds(table: DataFrame, among: list[DataFrame]) -> bool:
+        return any(x is table for x in among)
+
+    def unpin(self, table: DataFrame) -> None:
+        """The caller is done with a table it had pinned."""
+        self.pinned = [x for x in self.pinned if x is not table]
+        if not self.holds(table, [self.base, *self.changes]):
+            discard(table)
 
     def _pick(self, a: str, b: str) -> Column:
         return (F.least if self.combine is F.min else F.greatest)(a, b)
@@ -72,18 +83,19 @@ class Best:
         self.changes = old
         if 4 * self.changed > self.rows:
             new, seen = bucketed(self.known(), self.keys, "best", n=F.count("*"))
-            discard(self.base)
+            old = [*old, self.base]
             self.base, self.rows, merged, self.changed = new, seen["n"], [], 0
         else:
             merged = [materialise(self._since().withColumnRenamed("changed", "value"), "changes")]
         for x in old:
-            discard(x)
+            if not self.holds(x, self.pinned):
+                discard(x)
         self.changes = [*merged, *last]
 
     def step(
         self, frontier: DataFrame, adj: DataFrame, message: Column, accept: Column | None = None, value: Column | None = None, **measures: Column,
     ) -> tuple[DataFrame, dict]:
-        """One superstep: what improved, and measures of it (n: how many).
+        """One superstep: what improved, and measures of it (n: how many, new: how many had no value yet).
 
         message sees a frontier row (`value`) and its edge's `w`; null is not sent. accept sees `msg`
         and `known` (null if the receiver has no value); by default a better value is taken. value is
@@ -94,8 +106,9 @@ class Best:
         mail = mail.filter("msg is not null").groupBy(*self.keys).agg(self.mail("msg").alias("msg"))
         better = F.col("msg") < F.col("known") if self.combine is F.min else F.col("msg") > F.col("known")
         take = accept if accept is not None else F.col("known").isNull() | better
-        new = self.lookup(mail).filter(take).select(*self.keys, (F.col("msg") if value is None else value).alias("value"))
-        fresh, seen = materialise_with(new, "changes", n=F.count("*"), **measures)
+        new = self.lookup(mail).filter(take).withColumn("value", F.col("msg") if value is None else value)
+        measures = {"n": F.count("*"), "new": F.count(F.when(F.col("known").isNull(), 1)), **measures}
+        fresh, seen = materialise_with(new, "changes", [*self.keys, "value"], **measures)
         self.add(fresh, seen["n"])
         return fresh, seen
 

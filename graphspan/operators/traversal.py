@@ -45,32 +45,76 @@ def sssp(edges: DataFrame, root: int | None = None) -> DataFrame:
     return _distances(edges, root, F.col("w"))
 
 
-def delta_stepping(edges: DataFrame, delta: int, root: int | None = None) -> DataFrame:
+def delta_stepping(edges: DataFrame, delta: int, root: int | None = None, log: list[tuple[str, int, int, int]] | None = None) -> DataFrame:
     """(id, distance) by weight, settled bucket by bucket of width delta.
 
     Light edges (w <= delta) of a bucket are relaxed until it stands still, then the heavy ones once
     from the nodes it settled. The next bucket is the one of the nearest node left, so that empty
     buckets cost nothing. Distances are those of sssp() for every delta >= 1.
+
+    What lies beyond the bucket waits in the tables of changes it came in, and only those are read
+    for the next one: a row that waits counts if it is still its node's value.
+
+    log is given (counter, bucket, step, count) rows: Updated, the nodes that a step changed, for
+    each step of a bucket from 1, and Heavy, those that its heavy edges changed, after them.
     """
     adj, seen = bucketed(symmetric(edges), ["src"], "adjacency", heavy=F.count(F.when(F.col("w") > delta, 1)))
     light, heavy = adj.filter(F.col("w") <= delta), adj.filter(F.col("w") > delta)
     best = Best(_from_root(edges, root).select("id", F.col("distance").alias("value")), ["id"])
-    upto, further = 0, F.col("value") + F.col("w")
-    while (nearest := best.known().filter(F.col("value") >= upto).agg(F.min("value")).first()[0]) is not None:
-        low, upto = delta * (nearest // delta), delta * (nearest // delta + 1)
+    upto, further, log = 0, F.col("value") + F.col("w"), [] if log is None else log
+    waiting = [(best.base, 0)]  # tables with rows of later buckets, and their largest value
+    best.pinned = [best.base]
+    while waiting:
+        rows = _union([t for t, _ in waiting]).filter(F.col("value") >= upto)
+        nearest = rows.agg(F.min("value")).first()[0]
+        if nearest is None:
+            break
+        bucket = nearest // delta
+        upto, steps = delta * (bucket + 1), 0
         inside = F.col("value") < upto
-        frontier = best.known().filter(inside & (F.col("value") >= low))
+        frontier = materialise(best.lookup(rows.filter(inside)).filter("known = value").select("id", "value"), "frontier")
+        here = [frontier]
+
+        def stepped(senders: DataFrame, along: DataFrame, counter: str) -> tuple[DataFrame, int]:
+            fresh, now = best.step(senders, along, further, inside=F.count(F.when(inside, 1)), top=F.max("value"))
+            log.append((counter, bucket, steps, now["n"]))
+            if now["n"] > now["inside"]:
+                waiting.append((fresh, now["top"]))
+            if now["n"]:
+                best.pinned.append(fresh)
+            return fresh, now["inside"]
+
         while True:
-            fresh, now = best.step(frontier, light, further, inside=F.count(F.when(inside, 1)))
-            if not now["inside"]:
+            steps += 1
+            fresh, within = stepped(here[-1], light, "Updated")
+            if not within:
                 break
-            frontier = fresh.filter(inside)
+            here.append(fresh.filter(inside))
         if seen["heavy"]:
-            best.step(best.known().filter(inside & (F.col("value") >= low)), heavy, further)
+            steps += 1
+            stepped(_union(here).groupBy("id").agg(F.min("value").alias("value")), heavy, "Heavy")
+        waiting = [(t, top) for t, top in waiting if top >= upto]
+        if len(waiting) > _WAITING:
+            merged = materialise(_union([t for t, _ in waiting]).filter(F.col("value") >= upto).groupBy("id").agg(F.min("value").alias("value")), "waiting")
+            waiting = [(merged, max(top for _, top in waiting))]
+            best.pinned.append(merged)
+        for table in [t for t in best.pinned if not best.holds(t, [x for x, _ in waiting])]:
+            best.unpin(table)
+        discard(frontier)
     discard(adj)
     return best.known().withColumnRenamed("value", "distance")
 
 
+_WAITING = 6  # tables of later rows that a bucket looks into
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    rows = tables[0]
+    for more in tables[1:]:
+        rows = rows.union(more)
+    return rows
+
+
 def eccentricity(distances: DataFrame) -> DataFrame:
     """(ecc, lower, upper): bounds on the diameter of the component the distances cover."""
     ecc = F.coalesce(F.max("distance"), F.lit(0))

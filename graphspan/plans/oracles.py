@@ -5,6 +5,8 @@ Relaxations run as recursive CTEs keyed by node, so that each step keeps the bes
 
 from __future__ import annotations
 
+import math
+
 from graphspan.operators.analysis import DATASETS, GRAPH_TYPES
 
 
@@ -120,17 +122,19 @@ SHORT = "CASE WHEN contains(dataset, 'sk-2005') THEN 'sk-2005' WHEN contains(dat
 _ROUNDS = 18  # 2**17 nodes; later rounds change nothing
 
 
-def _clustering(radius: int, name: str = "c", head: bool = True) -> str:
-    """name{g}(id, root, distance, generation, step): the clusters after round g; step tells what the
-    round's last superstep changed. Every superstep is one turn of a recursion over the round."""
+def _clustering(radius: int, name: str = "c", head: bool = True, since: bool = False) -> str:
+    """name{g}(id, root, distance, generation, step[, since]): the clusters after round g; step tells what
+    the round's last superstep changed, since the one that covered a node in this round. Every
+    superstep is one turn of a recursion over the round."""
+    was, zero, also, kept = (", NULL::BIGINT AS since", ", 0", ", since", ", CASE WHEN r.id IS NULL THEN q.step + 1 ELSE r.since END") if since else ("", "", "", "")
     draw = lambda g: f"({_hash(chr(39) + f'1234:{g}:' + chr(39) + ' || id')} / 4294967296.0::DOUBLE < {2.0**g} / (SELECT count(*) FROM nodes))"
     parts = [f"WITH RECURSIVE {PS}, nodes AS (SELECT DISTINCT src AS id FROM adj)"] if head else []
     for g in range(_ROUNDS):
         here, before = f"{name}{g}", f"{name}{g - 1}"
         old = f"(SELECT id, root, distance, generation, awake FROM {before}x)" if g else "(SELECT id, id AS root, 0::BIGINT AS distance, 0::BIGINT AS generation, false AS awake FROM nodes WHERE false)"
         start = (
-            f"{here}s AS (SELECT id, root, distance, generation, CASE WHEN awake THEN 0 ELSE -1 END::BIGINT AS step FROM {old} "
-            f"UNION ALL SELECT id, id, 0, {g}, 0 FROM nodes WHERE id NOT IN (SELECT id FROM {old}) AND {draw(g)})"
+            f"{here}s AS (SELECT id, root, distance, generation, CASE WHEN awake THEN 0 ELSE -1 END::BIGINT AS step{was} FROM {old} "
+            f"UNION ALL SELECT id, id, 0, {g}, 0{zero} FROM nodes WHERE id NOT IN (SELECT id FROM {old}) AND {draw(g)})"
         )
         reach = lambda t: f"{t}.distance <= {radius} * ({g + 1} - {t}.generation)"
         still = lambda t: f"({t}.generation < {g} AND {t}.distance <= {radius} * ({g} - {t}.generation))"
@@ -139,8 +143,8 @@ def _clustering(radius: int, name: str = "c", head: bool = True) -> str:
             f"WHERE s.step >= 0 AND {reach('s')} AND NOT {still('s')} GROUP BY a.dst"
         )
         turn = (
-            f"{here}(id, root, distance, generation, step) USING KEY (id) AS (SELECT id, root, distance, generation, step FROM {here}s UNION "
-            f"SELECT q.id, q.m.root, q.m.distance, -q.m.older, q.step + 1 FROM ({mail}) q LEFT JOIN recurring.{here} r ON r.id = q.id "
+            f"{here}(id, root, distance, generation, step{also}) USING KEY (id) AS (SELECT id, root, distance, generation, step{also} FROM {here}s UNION "
+            f"SELECT q.id, q.m.root, q.m.distance, -q.m.older, q.step + 1{kept} FROM ({mail}) q LEFT JOIN recurring.{here} r ON r.id = q.id "
             f"WHERE r.id IS NULL OR (NOT {still('r')} AND q.m.distance < r.distance AND (-q.m.older > r.generation OR q.m.root = r.root)))"
         )
         ran = f"{here}n AS (SELECT greatest(coalesce(max(step), 0), coalesce(max(step + 1) FILTER (step >= 0 AND {reach(here)} AND NOT {still(here)}), 0)) AS n FROM {here})"
@@ -177,6 +181,21 @@ def _estimate(name: str, exact: bool, select: bool = True) -> str:
     return ", ".join(parts) + (f" SELECT * FROM {name}e" if select else "")
 
 
+def _loop_counters() -> str:
+    """Of each round the centres it made (step 0) and what every superstep covered first, with what was left."""
+    rounds = []
+    for g in range(_ROUNDS):
+        rounds.append(f"SELECT 'Centers' AS counter, {g} AS o, 0 AS i, count(*) AS n FROM c{g} WHERE since = 0 HAVING count(*) > 0")
+        rounds.append(f"SELECT 'Covered', {g}, i, (SELECT count(*) FROM c{g} WHERE since = i) FROM c{g}n, range(1, n + 1) r(i)")
+    told = f"{_clustering(5, since=True)}, told AS ({' UNION ALL '.join(rounds)}), every AS (SELECT *, (SELECT count(*) FROM nodes) - sum(n) OVER (ORDER BY o, i) AS bare FROM told) "
+    return told + "SELECT counter, o::BIGINT AS outer_iter, i::BIGINT AS inner_iter, n::BIGINT AS count FROM every UNION ALL SELECT 'Uncovered', o::BIGINT, i::BIGINT, bare::BIGINT FROM every"
+
+
+def _drawn(draw: str) -> str:
+    """How often a row counts: the number of Poisson steps (mean one) that its draw has passed."""
+    return " + ".join(f"({draw} >= {sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))!r}::DOUBLE)::INT" for k in range(14))
+
+
 def _guess(result: bool) -> str:
     """The radii 1, 4, 16 and 64 are clustered whether needed or not; the first that leaves 20 centres or fewer ends the search."""
     names = {"ca": 1, "cb": 4, "cc": 16, "cd": 64}
@@ -292,4 +311,16 @@ ORACLES: dict[str, str] = {
     "SELECT parameters, outer_iter, inner_iter, sum(count) FILTER (counter = 'Centers')::BIGINT AS \"Centers\", sum(count) FILTER (counter = 'Uncovered')::BIGINT AS \"Uncovered\" FROM counters JOIN latest USING (sha) GROUP BY 1, 2, 3",
     "runs_from_csv": f"WITH {RUNS} SELECT run_id, algorithm, diameter, killed FROM runs",
     "mean_and_error": f"WITH {MAIN} SELECT dataset, algorithm, round(avg(total_time), 4) AS mean, round(stddev_samp(total_time) / sqrt(count(*)), 4) AS se FROM main GROUP BY 1, 2",
+    "bootstrap_interval": f"WITH {MAIN}, w AS (SELECT dataset, algorithm, total_time AS x, b, {_hash(chr(39) + '7:' + chr(39) + ' || b || ' + chr(39) + ':' + chr(39) + ' || run_id')} / 4294967296.0::DOUBLE AS u FROM main, range(100) r(b)), "
+    f"s AS (SELECT dataset, algorithm, b, sum(x * ({_drawn('u')})) AS s, sum({_drawn('u')}) AS n FROM w GROUP BY ALL HAVING n > 0), p AS (SELECT dataset, algorithm, quantile_cont(s / n, [0.025, 0.975]) AS p FROM s GROUP BY ALL), "
+    "m AS (SELECT dataset, algorithm, avg(total_time) AS mean FROM main GROUP BY ALL) SELECT dataset, algorithm, round(mean, 4) AS mean, round(p[1], 4) AS lower, round(p[2], 4) AS upper FROM m JOIN p USING (dataset, algorithm)",
+    "auxiliary_size": f"WITH {RUNS}, {ITER}, {FACTS}, c AS (SELECT run_id, max(num_centers) AS centers FROM iters GROUP BY 1) SELECT dataset, run_id % 7 + 1 AS radius, 2::BIGINT AS base, round(avg(centers / num_nodes::DOUBLE), 9) AS fraction "
+    "FROM runs JOIN c USING (run_id) JOIN facts USING (dataset) WHERE algorithm <> 'Sequential' AND run_id % 4 <> 0 GROUP BY 1, 2",
+    "deadline_runs": f"WITH RECURSIVE {PS}, {_relax('s', ROOT)}, {_relax('h', ROOT, '1')}, best AS (SELECT 'SequentialSingle' AS algorithm, max(d) AS d FROM s UNION ALL SELECT 'Bfs', max(d) FROM h) "
+    "SELECT 'ps' AS dataset, algorithm, killed, CASE WHEN killed THEN -1 ELSE d END AS diameter FROM best, (VALUES (true), (false)) t(killed)",
+    "committed_runs": f"WITH {RUNS}, {ITER}, v AS (SELECT *, CASE run_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 4 ELSE 6 END AS version FROM runs WHERE run_id % 5 <> 3), "
+    "c AS (SELECT l_orderkey AS run_id, count(*) AS n_counters, sum(l_quantity::BIGINT)::BIGINT AS counted FROM lineitem GROUP BY 1), g AS (SELECT run_id, count(*) AS n_guesses, sum(duration_ms)::BIGINT AS guess_ms FROM iters GROUP BY 1) "
+    "SELECT CAST(run_id AS VARCHAR) AS sha, version::BIGINT AS version, diameter, version > 1 AND seed % 2 = 0 AS offline, CASE WHEN version > 1 THEN total_time_ms // 4 END AS final_diameter_time_ms, version = 6 AND killed AS killed, "
+    "n_counters, counted, CASE WHEN version = 6 THEN n_guesses END AS n_guesses, CASE WHEN version = 6 THEN guess_ms END AS guess_ms FROM v LEFT JOIN c USING (run_id) LEFT JOIN g USING (run_id)",
+    "loop_counters": _loop_counters(),
 }

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphspan.functions import bits
-from graphspan.operators import analysis, cluster, hyperball, results, superstep, transforms, traversal
+from graphspan.operators import analysis, cluster, experiment, hyperball, results, superstep, transforms, traversal
 from graphspan.operators.components import connected_components
+from graphspan.operators.run_store import RunStore, schema
 from graphspan.session import materialise, scratch
 from graphspan.sources import catalog, graphs
 
@@ -414,7 +415,7 @@ def cluster_messages(spark, sf_dir):
 @query
 def guess_tried(spark, sf_dir):
     """The radii tried until the clusters' centres fit, and how many there were."""
-    return cluster.rand_cluster_guess(graphs.part_supplier(spark, sf_dir), MEMORY, FIRST, GROWTH)[1]
+    return cluster.rand_cluster_guess(graphs.part_supplier(spark, sf_dir), MEMORY, FIRST, GROWTH)[1].drop("duration_ms")
 
 
 @query
@@ -685,3 +686,68 @@ def runs_from_csv(spark, sf_dir):
 def mean_and_error(spark, sf_dir):
     rows = analysis.mean_and_error(analysis.main_data(_runs(spark, sf_dir)), ["dataset", "algorithm"], "total_time")
     return rows.select("dataset", "algorithm", F.round("mean", 4).alias("mean"), F.round("se", 4).alias("se"))
+
+
+@query
+def bootstrap_interval(spark, sf_dir):
+    """Mean times with 95 % intervals from 100 resamples of the runs."""
+    rows = analysis.bootstrap_interval(analysis.main_data(_runs(spark, sf_dir)), ["dataset", "algorithm"], "total_time", "run_id", replicas=100, seed=7)
+    return rows.select("dataset", "algorithm", *[F.round(x, 4).alias(x) for x in ("mean", "lower", "upper")])
+
+
+@query
+def auxiliary_size(spark, sf_dir):
+    """Centres as a share of the nodes, by radius, of clustering runs whose base is 2."""
+    centres = _iterations(spark, sf_dir).groupBy("run_id").agg(F.max("num_centers").alias("centers"))
+    base = F.when(F.col("run_id") % 4 == 0, "10").otherwise("2")
+    runs = _runs(spark, sf_dir).filter("algorithm <> 'Sequential'").withColumns({"algorithm": F.lit("RandCluster"), "parameters": F.concat_ws(":", (F.col("run_id") % 7 + 1).cast("string"), base)})
+    nodes = analysis.dataset_facts(spark).select("dataset", "num_nodes")
+    return analysis.auxiliary_size(runs.join(centres, "run_id"), nodes).withColumn("fraction", F.round("fraction", 9))
+
+
+@query
+def deadline_runs(spark, sf_dir):
+    """Runs over the part-supplier graph without any time and with all the time, as their records tell."""
+    edges = materialise(graphs.part_supplier(spark, sf_dir), "graph")
+    store = RunStore(spark, scratch(spark, "runs"))
+    for text in ("bfs", "sequential-single"):
+        spec = results.parse_spec(text)
+        for deadline in (0, None):
+            experiment.record(store, spec, "ps", experiment.measure(edges, spec, deadline=deadline))
+    return store.table("main").select("dataset", "algorithm", "killed", "diameter")
+
+
+@query
+def committed_runs(spark, sf_dir):
+    """Orders as runs and line items as their counters and guesses, in five commits.
+
+    Two are of older versions; one is staged and never published; one is staged by a writer that
+    dies, and made again.
+    """
+    store = RunStore(spark, scratch(spark, "store"))
+    sha = F.col("run_id").cast("string").alias("sha")
+    runs = _runs(spark, sf_dir).select(
+        "run_id", sha, F.to_timestamp("run_date").alias("date"), "seed", F.lit(8).alias("threads"), F.lit("").alias("hosts"), "dataset", "algorithm", "parameters", "diameter",
+        "total_time_ms", (F.col("seed") % 2 == 0).alias("offline"), F.floor(F.col("total_time_ms") / 4).alias("final_diameter_time_ms"), "killed",
+    )
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("run_id", F.col("l_orderkey"))
+    counters = lines.select("run_id", sha, F.when(F.col("l_linenumber") % 2 == 0, "Centers").otherwise("Uncovered").alias("counter"), F.col("l_linenumber").alias("outer_iter"), F.lit(0).alias("inner_iter"), F.col("l_quantity").alias("count"))
+    guesses = _iterations(spark, sf_dir).select("run_id", sha, "iteration", "iteration_radius", "duration_ms", "num_centers")
+    for part, version, published in ((0, 1, True), (1, 4, True), (2, 6, True), (3, 6, False), (4, 6, False), (4, 6, True)):
+        own = F.col("run_id") % 5 == part
+        others = {"rand_cluster_iterations": guesses.filter(own)} if schema("rand_cluster_iterations", version) else {}
+        staged = store.stage(runs.filter(own), version, counters=counters.filter(own), **others)
+        if published:
+            store.publish(staged)
+    counted = store.table("counters").groupBy("sha").agg(F.count("*").alias("n_counters"), F.sum("count").alias("counted"))
+    tried = store.table("rand_cluster_iterations").groupBy("sha").agg(F.count("*").alias("n_guesses"), F.sum("duration_ms").alias("guess_ms"))
+    main = store.table("main").select("sha", F.col("version").cast("long").alias("version"), "diameter", "offline", "final_diameter_time_ms", "killed")
+    return main.join(counted, "sha", "left").join(tried, "sha", "left")
+
+
+@query
+def loop_counters(spark, sf_dir):
+    """What each superstep of each round of a clustering covered, and what it left."""
+    log = []
+    cluster.clusters(graphs.part_supplier(spark, sf_dir), RADIUS, log=log)
+    return spark.createDataFrame(log, "counter string, outer_iter long, inner_iter long, count long")

@@ -81,24 +81,30 @@ def materialise(df: DataFrame, name: str = "table", compression: str = "snappy")
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path, compression=compression)
+    with _whole(spark, path):
+        df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._graphspan_path = path
     return _noted(out)
 
 
-def materialise_with(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
-    """materialise(), and aggregates of the rows that ride on the write instead of a job of their own."""
+def materialise_with(df: DataFrame, name: str, columns: list[str] | None = None, **measures: Column) -> tuple[DataFrame, dict]:
+    """materialise(), and aggregates of the rows that ride on the write instead of a job of their own.
+
+    Only `columns` are written, if given; measures see all of df's.
+    """
     seen = Observation()
-    out = materialise(df.observe(seen, *[m.alias(k) for k, m in measures.items()]), name)
-    return out, _told(seen, out, measures)
+    rows = df.observe(seen, *[m.alias(k) for k, m in measures.items()])
+    out = materialise(rows.select(*columns) if columns else rows, name)
+    return out, _told(seen, df, measures)
 
 
-def _told(seen: Observation, out: DataFrame, measures: dict[str, Column]) -> dict:
+def _told(seen: Observation, rows: DataFrame, measures: dict[str, Column]) -> dict:
     try:
         return seen.get
     except Py4JJavaError:  # a plan found empty while it ran is replaced whole, and with it what observes it
-        return out.agg(*[m.alias(k) for k, m in measures.items()]).first().asDict()
+        nothing = rows.sparkSession.createDataFrame([], rows.schema)
+        return nothing.agg(*[m.alias(k) for k, m in measures.items()]).first().asDict()
 
 
 def bucketed(df: DataFrame, keys: list[str], name: str = "table", compression: str = "snappy", **measures: Column) -> tuple[DataFrame, dict]:
@@ -110,19 +116,32 @@ def bucketed(df: DataFrame, keys: list[str], name: str = "table", compression: s
     path, table, buckets = scratch(spark, name), f"graphspan_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     seen = Observation() if measures else None
     rows = df.observe(seen, *[m.alias(k) for k, m in measures.items()]) if measures else df
-    rows.repartition(buckets, *keys).write.format("parquet").option("path", path).option("compression", compression).bucketBy(buckets, *keys).saveAsTable(table)
+    with _whole(spark, path, table):
+        rows.repartition(buckets, *keys).write.format("parquet").option("path", path).option("compression", compression).bucketBy(buckets, *keys).saveAsTable(table)
     out = spark.table(table)
     out._graphspan_path, out._graphspan_table = path, table
     _noted(out)
-    return out, _told(seen, out, measures) if measures else {}
+    return out, _told(seen, df, measures) if measures else {}
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a materialised table that nothing reads any more."""
-    path, table = getattr(df, "_graphspan_path", None), getattr(df, "_graphspan_table", None)
+@contextmanager
+def _whole(spark: SparkSession, path: str, table: str | None = None) -> Iterator[None]:
+    """Of a write that fails or is cancelled nothing stays."""
+    try:
+        yield
+    except BaseException:
+        _delete(spark, path, table)
+        raise
+
+
+def _delete(spark: SparkSession, path: str | None, table: str | None) -> None:
     if table:
-        df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     if path:
-        spark = df.sparkSession
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files behind a materialised table that nothing reads any more."""
+    _delete(df.sparkSession, getattr(df, "_graphspan_path", None), getattr(df, "_graphspan_table", None))
