@@ -74,15 +74,15 @@ def _noted(df: DataFrame) -> DataFrame:
     return df
 
 
-def materialise(df: DataFrame, name: str = "table", compression: str = "snappy") -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it again.
+def materialise(df: DataFrame, name: str = "table", compression: str = "snappy", level: int = 3) -> DataFrame:
+    """Write df once as Parquet in the shared folder and read it again; level is that of zstd.
 
     Cuts the lineage: a lost executor costs a read of the file, not the work before it.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
     with _whole(spark, path):
-        df.write.parquet(path, compression=compression)
+        df.write.option("parquet.compression.codec.zstd.level", str(level)).parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._graphspan_path = path
     return _noted(out)
