@@ -106,7 +106,7 @@ def write_training_order(
     """
     spark, ids = docs.sparkSession, Ids(ranks_path)
     shared = spark.sparkContext.broadcast(ids)
-    cut = materialise(docs.select(text_col).mapInArrow(lambda batches: _cut(batches, shared.value, length), "part int, place long, tokens binary"), "sequences", "zstd")
+    cut = materialise(docs.select(text_col).mapInArrow(lambda batches: _cut(batches, shared.value, length), "part int, place long, tokens binary"), "sequences", "zstd", 9)
     bases, n = {}, 0
     for part, some in sorted(map(tuple, cut.groupBy("part").agg(F.max("place") + 1).collect())):
         bases[part] = n
