@@ -119,13 +119,13 @@ def _scatter(rows: DataFrame, centred: Callable[[pa.RecordBatch], np.ndarray], d
 
 
 def _deviations(y: np.ndarray, n: int, rest: np.ndarray) -> pa.Array:
-    """Sum over entries of (n y - rest)^2, exactly, as decimals; y and rest are small integers."""
+    """Sum over entries of (n y - rest)^2, exactly, as decimals; null beyond 38 digits."""
     most = n * int(np.abs(y).max(initial=0)) + int(np.abs(rest).max(initial=0))
     if most * most * max(1, len(rest)) < 1 << 62:
         z = n * y - rest
         return pa.array((z * z).sum(axis=1)).cast(pa.decimal128(38, 0))
     z = n * y.astype(object) - rest.astype(object)
-    return pa.array(map(Decimal, (z * z).sum(axis=1).tolist()), pa.decimal128(38, 0))
+    return pa.array([Decimal(x) if x < 10**38 else None for x in (z * z).sum(axis=1).tolist()], pa.decimal128(38, 0))
 
 
 def whiten(vectors: DataFrame, components: int = 8, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -138,7 +138,7 @@ def whiten(vectors: DataFrame, components: int = 8, id_col: str = "vec_id", vect
     (divisor n), by falling eigenvalue e, at most `components` and no more than the covariance has
     eigenvalues beyond rounding (none for a single vector, or equal ones: no rows then). whitened is
     (x - S/n) on the component over sqrt(e), explained is e over the trace, deviation the sum of
-    (n x - S)^2 as decimal(38,0), identity_error the largest entry of whitened's covariance less the
+    (n x - S)^2 as decimal(38,0) (null beyond its 38 digits), identity_error the largest entry of whitened's covariance less the
     identity. Ids are not looked at: null and repeated ids are rows of their own. Other columns of
     vectors are not returned.
     """
