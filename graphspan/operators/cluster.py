@@ -13,9 +13,10 @@ import time
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graphspan.functions.bits import hash01
+from graphspan.operators.adjacency import adjacency
 from graphspan.operators.fixpoint import Best
 from graphspan.operators.superstep import triplets
-from graphspan.operators.transforms import adjacency, node_ids
+from graphspan.operators.transforms import node_ids
 from graphspan.operators.traversal import double_sweep
 from graphspan.session import bucketed, discard, materialise, materialise_with
 

@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from graphspan.operators.adjacency import along
 from graphspan.session import bucketed, discard, materialise, materialise_with
 
 _MOST = 6  # tables of changes that a step looks into
@@ -102,7 +103,7 @@ class Best:
         what the receiver then has, by default the message.
         """
         rest = [k for k in self.keys if k != "id"]
-        mail = frontier.join(adj, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), *rest, message.alias("msg"))
+        mail = along(frontier, adj).select(F.col("dst").alias("id"), *rest, message.alias("msg"))
         mail = mail.filter("msg is not null").groupBy(*self.keys).agg(self.mail("msg").alias("msg"))
         better = F.col("msg") < F.col("known") if self.combine is F.min else F.col("msg") > F.col("known")
         take = accept if accept is not None else F.col("known").isNull() | better

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from graphspan.functions.bits import hash32, register_index, rho
+from graphspan.operators.adjacency import adjacency, along
 from graphspan.operators.fixpoint import Best
-from graphspan.operators.transforms import adjacency, node_ids
+from graphspan.operators.transforms import node_ids
 from graphspan.session import discard
 
 
@@ -20,7 +21,7 @@ def registers(edges: DataFrame, p: int) -> DataFrame:
 
 def merge_step(now: DataFrame, adj: DataFrame) -> DataFrame:
     """Every node's registers after it has heard all its neighbours': the pointwise maximum."""
-    heard = now.join(adj, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), "reg", "rho")
+    heard = along(now, adj).select(F.col("dst").alias("id"), "reg", "rho")
     return now.union(heard).groupBy("id", "reg").agg(F.max("rho").alias("rho"))
 
 

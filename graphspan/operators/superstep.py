@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from graphspan.operators.adjacency import along
 from graphspan.session import bucketed, discard
 
 
@@ -26,8 +27,7 @@ def send(
     """
     state = [c for c in nodes.columns if c != "id"]
     mail = (
-        nodes.filter(should_send)
-        .join(adj, F.col("id") == F.col("src"))
+        along(nodes.filter(should_send), adj)
         .select(F.col("dst").alias("id"), message.alias("msg"))
         .filter("msg is not null")
         .groupBy("id")

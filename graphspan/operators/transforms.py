@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from graphspan.functions.bits import block_of, hash32, morton_encode
+from graphspan.operators.adjacency import adjacency, symmetric  # noqa: F401
 from graphspan.operators.components import connected_components
-from graphspan.session import bucketed, discard, materialise
+from graphspan.session import materialise
 
 
 def canonical(edges: DataFrame, keep_loops: bool = False) -> DataFrame:
@@ -16,16 +17,6 @@ def canonical(edges: DataFrame, keep_loops: bool = False) -> DataFrame:
     return rows.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("w").alias("w"))
 
 
-def symmetric(edges: DataFrame) -> DataFrame:
-    """(src, dst, w): every edge from both ends."""
-    return edges.select(F.col("u").alias("src"), F.col("v").alias("dst"), "w").union(edges.select(F.col("v"), F.col("u"), F.col("w")))
-
-
-def adjacency(edges: DataFrame) -> DataFrame:
-    """The symmetric edges, written once for all supersteps in buckets of their source."""
-    return bucketed(symmetric(edges), ["src"], "adjacency")[0]
-
-
 def node_ids(edges: DataFrame) -> DataFrame:
     """(id) of nodes with at least one edge."""
     return symmetric(edges).select(F.col("src").alias("id")).distinct()
@@ -42,18 +33,26 @@ def metadata(edges: DataFrame) -> DataFrame:
     )
 
 
-def dense_ids(edges: DataFrame, per_group: int = 65_536) -> DataFrame:
+def id_ranges(edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """(id, part, place): ids dealt by ranges, whose bounds Spark samples, and their places in them."""
+    parts = parts or int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mark = F.monotonically_increasing_id()  # the partition's number, then the place in it, in 33 bits
+    rows = node_ids(edges).repartitionByRange(parts, "id").sortWithinPartitions("id").select("id", F.shiftright(mark, 33).alias("part"), mark.bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+    return materialise(rows, "ranges")
+
+
+def dense_ids(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """(id, dense): ids numbered 0..n-1 in order.
 
-    Ids are counted in groups of neighbouring values; ranks within a group add to the count before
-    it, so that only the groups' counts pass one task.
+    A number is a place in a range of ids plus the sizes of the ranges before it, of which there are
+    as many as tasks. So it costs one shuffle however the ids are spread, and no task has more than
+    its range.
     """
-    nodes = node_ids(edges).withColumn("group", F.floor(F.col("id") / per_group))
-    sizes = nodes.groupBy("group").agg(F.count("*").alias("n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("group").orderBy("id")) - 1
-    return nodes.withColumn("rank", rank).join(starts, "group").select("id", (F.col("rank") + F.col("start")).cast("long").alias("dense"))
+    rows = id_ranges(edges, parts)
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # a row for each task
+    return rows.join(F.broadcast(starts), "part").select("id", (F.col("place") + F.col("start")).cast("long").alias("dense"))
 
 
 def remap(edges: DataFrame) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from graphspan.operators.adjacency import adjacency, adjacency_with, only
 from graphspan.operators.components import connected_components
 from graphspan.operators.fixpoint import Best
-from graphspan.operators.transforms import adjacency, symmetric
-from graphspan.session import bucketed, discard, materialise
+from graphspan.session import discard, materialise
 
 
 def default_root(edges: DataFrame) -> int | None:
@@ -58,8 +58,8 @@ def delta_stepping(edges: DataFrame, delta: int, root: int | None = None, log: l
     log is given (counter, bucket, step, count) rows: Updated, the nodes that a step changed, for
     each step of a bucket from 1, and Heavy, those that its heavy edges changed, after them.
     """
-    adj, seen = bucketed(symmetric(edges), ["src"], "adjacency", heavy=F.count(F.when(F.col("w") > delta, 1)))
-    light, heavy = adj.filter(F.col("w") <= delta), adj.filter(F.col("w") > delta)
+    adj, seen = adjacency_with(edges, heavy=F.count(F.when(F.col("w") > delta, 1)))
+    light, heavy = only(adj, F.col("w") <= delta), only(adj, F.col("w") > delta)
     best = Best(_from_root(edges, root).select("id", F.col("distance").alias("value")), ["id"])
     upto, further, log = 0, F.col("value") + F.col("w"), [] if log is None else log
     waiting = [(best.base, 0)]  # tables with rows of later buckets, and their largest value
