@@ -16,8 +16,8 @@ from graphspan.functions.bits import hash01
 from graphspan.operators.adjacency import adjacency
 from graphspan.operators.fixpoint import Best
 from graphspan.operators.superstep import triplets
+from graphspan.operators.sweeps import double_sweep, longest_between
 from graphspan.operators.transforms import node_ids
-from graphspan.operators.traversal import double_sweep
 from graphspan.session import bucketed, discard, materialise, materialise_with
 
 def sampled(seed: int, generation: int, probability: float) -> Column:
@@ -136,13 +136,13 @@ def estimate(edges: DataFrame, cluster: DataFrame, exact_quotient: bool = False)
     One cluster: twice its radius. Else the largest, over components of the graph of clusters, of a
     double sweep and the radii at its two ends, and no less than the largest radius. A component of
     one cluster counts with its radius alone. A double sweep is a lower bound on the diameter of the
-    graph of clusters; exact_quotient takes that diameter itself, from all its clusters at once
-    (for graphs of few clusters) and twice the largest radius, and is then no less than the true diameter.
+    graph of clusters; exact_quotient takes the longest distance between two clusters with their radii
+    itself (longest_between()) and twice the largest radius, and is then no less than the true diameter.
     """
     spread = materialise(radii(cluster), "radii")
     whole = spread.agg(F.coalesce(F.max("radius"), F.lit(0)).alias("max_radius"), F.count("*").alias("n_clusters"))
     edges_between = materialise(quotient(edges, cluster), "quotient")
-    sweeps = _all_pairs(edges_between) if exact_quotient else double_sweep(edges_between)
+    sweeps = longest_between(edges_between, spread.select(F.col("root").alias("id"), F.col("radius").alias("add"))) if exact_quotient else double_sweep(edges_between)
     a, b = spread.select(F.col("root").alias("start"), F.col("radius").alias("ra")), spread.select(F.col("root").alias("far"), F.col("radius").alias("rb"))
     longest = sweeps.join(a, "start").join(b, "far").agg(F.coalesce(F.max(F.col("sweep") + F.col("ra") + F.col("rb")), F.lit(0)).alias("through"))
     one = F.col("n_clusters") == 1
@@ -151,16 +151,6 @@ def estimate(edges: DataFrame, cluster: DataFrame, exact_quotient: bool = False)
     return whole.join(F.broadcast(longest)).select(diameter.alias("diameter"), "max_radius", "n_clusters")  # one row each
 
 
-def _all_pairs(edges: DataFrame) -> DataFrame:
-    """(start, far, sweep) of every pair of connected nodes: the search starts from all at once."""
-    adj = adjacency(edges)
-    starts = node_ids(edges).select("id", F.col("id").alias("start"), F.lit(0).cast("long").alias("value"))
-    best = Best(starts, ["id", "start"])
-    best.spread(adj, F.col("value") + F.col("w"))
-    discard(adj)
-    return best.known().select("start", F.col("id").alias("far"), F.col("value").alias("sweep"))
-
-
 def rand_cluster(
     edges: DataFrame, radius: int, base: float = 2.0, seed: int = 1234, reactivate_fringe: bool = False, exact_quotient: bool = False
 ) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graphspan.operators.adjacency import adjacency, adjacency_with, only
-from graphspan.operators.components import connected_components
 from graphspan.operators.fixpoint import Best
+from graphspan.operators.sweeps import double_sweep
 from graphspan.session import discard, materialise
 
 
@@ -121,30 +121,6 @@ def eccentricity(distances: DataFrame) -> DataFrame:
     return distances.agg(ecc.alias("ecc"), ecc.alias("lower"), (2 * ecc).alias("upper"))
 
 
-def double_sweep(edges: DataFrame) -> DataFrame:
-    """(component, start, far, sweep) for each component.
-
-    From the component's smallest id to the node farthest from it (start; the smallest of several),
-    and from there again (far, at distance sweep): a lower bound on the component's diameter, and
-    the diameter itself of a tree. All components run at once; they share no edges.
-    """
-    adj = adjacency(edges)
-    parts = materialise(connected_components(edges), "components")
-
-    def farthest(roots: DataFrame) -> DataFrame:
-        reached = _relaxed(roots, adj, F.col("w")).join(parts, "id")
-        best = F.max(F.struct("distance", (-F.col("id")).alias("minus")))
-        return reached.groupBy("component").agg(best.alias("x")).select("component", (-F.col("x.minus")).alias("id"), F.col("x.distance").alias("distance"))
-
-    first = materialise(farthest(parts.filter("id = component").select("id", F.lit(0).cast("long").alias("distance"))), "sweep")
-    second = materialise(farthest(first.select("id", F.lit(0).cast("long").alias("distance"))), "sweep")
-    discard(adj)
-    discard(parts)
-    return second.select("component", F.col("id").alias("far"), F.col("distance").alias("sweep")).join(
-        first.select("component", F.col("id").alias("start")), "component"
-    ).select("component", "start", "far", "sweep")
-
-
 def sequential(edges: DataFrame) -> DataFrame:
     """(diameter): the largest double sweep of any component."""
     return double_sweep(edges).agg(F.coalesce(F.max("sweep"), F.lit(0)).alias("diameter"))
