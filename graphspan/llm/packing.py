@@ -145,10 +145,19 @@ def pack(
 
 def assembled(pieces: DataFrame, texts: DataFrame, ranks_path: str | None) -> DataFrame:
     """(bin_id, capacity, used, ids, tokens): the sequences, padded to their capacity, and whose
-    pieces they hold, in order. pieces are pack()'s with key_col="row", texts encoded()'s."""
+    pieces they hold, in order. pieces are pack()'s with key_col="row", texts encoded()'s.
+
+    A text is cut into its pieces where it lies, and only pieces move, so that a text of any length
+    costs what its bytes cost.
+    """
     ids = Ids(ranks_path)
     width, pad = ids.kind.itemsize, ids.pad.to_bytes(ids.kind.itemsize, "little").hex()
-    cut = pieces.join(texts.select(F.col("row").alias("key"), "tokens"), "key").withColumn("tokens", F.expr(f"substring(tokens, int(start * {width} + 1), length * {width})"))
+    largest = pieces.filter("piece = 1").agg(F.max("start")).first()[0]  # null: every text is one piece
+    step = largest * width if largest else (1 << 31) - 1
+    numbers = F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.octet_length("tokens") / step)).cast("int") - 1)
+    parts = F.transform(numbers, lambda i: F.substring("tokens", i * step + 1, F.lit(step)))
+    own = texts.filter("tokens is not null").select(F.col("row").alias("key"), F.posexplode(parts).alias("piece", "tokens"))
+    cut = pieces.join(own, ["key", "piece"])
     bins = cut.groupBy("bin_id", "capacity", "used").agg(F.array_sort(F.collect_list(F.struct("bin_offset", "id", "tokens"))).alias("parts"))
     whole = F.reduce(F.col("parts"), F.lit(b""), lambda so_far, x: F.concat(so_far, x["tokens"]))
     return bins.select("bin_id", "capacity", "used", F.col("parts.id").alias("ids"), whole.alias("tokens")).withColumn("tokens", F.expr(f"rpad(tokens, capacity * {width}, X'{pad}')"))

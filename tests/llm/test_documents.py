@@ -180,6 +180,20 @@ def test_fingerprints_link_and_not_the_ids_they_share(spark):
         assert got == sorted([(5, 5), (7, 5), (5, min(5, other)), (other, min(5, other))])
 
 
+def test_a_text_of_nine_megabytes_is_packed_whole(spark):
+    text = " ".join(f"w{i:07d}" for i in range(1_000_000))
+    docs = spark.createDataFrame([(1, text), (2, "short"), (3, None)], "doc_id long, text string")
+    texts = packing.encoded(docs, None)
+    pieces = packing.pack(packing.lengths_of(texts, None), (512, 4096), key_col="row")
+    ids = training_order.Ids(None)
+    placed = {(r["id"], r["piece"]): (r["bin_id"], r["bin_offset"], r["length"]) for r in pieces.collect()}
+    bins = {r["bin_id"]: np.frombuffer(r["tokens"], ids.kind) for r in packing.assembled(pieces, texts, None).collect()}
+    mine = [placed[1, i] for i in range(sum(d == 1 for d, _ in placed))]
+    got = np.concatenate([bins[b][at : at + n] for b, at, n in mine])
+    assert len(got) == len(text) + 1 and got[:-1].astype(np.uint8).tobytes() == text.encode() and got[-1] == ids.end
+    assert placed[3, 0][2] == 1 and placed[2, 0][2] == 6
+
+
 def test_query_tells_fingerprints_in_hex(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r["doc_id"], r["fingerprint"]) for r in simhash.op2(spark, str(tmp_path)).collect()}
