@@ -10,6 +10,7 @@ graph of many thousand steps is not rewritten in each of them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,13 +21,15 @@ _MOST = 6  # tables of changes that a step looks into
 
 
 class Best:
-    """value by keys (`id`, and others that travel with the message)."""
+    """value by keys (`id`, and others that travel with the message), or several values, each on its own."""
 
-    def __init__(self, start: DataFrame, keys: list[str], combine: Callable[[Column], Column] = F.min, mail: Callable[[Column], Column] | None = None):
-        """start: keys and `value`, one row a key. combine (F.min or F.max) picks among values of a
+    def __init__(
+        self, start: DataFrame, keys: list[str], combine: Callable[[Column], Column] = F.min, mail: Callable[[Column], Column] | None = None, values: tuple[str, ...] = ("value",),
+    ):
+        """start: keys and `values`, one row a key. combine (F.min or F.max) picks among values of a
         key, mail among messages to it (by default the same)."""
-        self.keys, self.combine, self.mail = keys, combine, mail or combine
-        self.base, seen = bucketed(start.select(*keys, "value"), keys, "best", n=F.count("*"))
+        self.keys, self.combine, self.mail, self.values = keys, combine, mail or combine, values
+        self.base, seen = bucketed(start.select(*keys, *values), keys, "best", n=F.count("*"))
         self.rows, self.changes, self.changed = seen["n"], [], 0
         self.pinned: list[DataFrame] = []  # tables that the caller still reads, and discards itself
 
@@ -50,23 +53,25 @@ class Best:
         rows = self.changes[0]
         for more in self.changes[1:]:
             rows = rows.union(more)
-        return rows.groupBy(*self.keys).agg(self.combine("value").alias("changed"))
+        return rows.groupBy(*self.keys).agg(*[self.combine(v).alias(f"__new_{v}") for v in self.values])
 
     def known(self) -> DataFrame:
-        """Keys and `value`, of all that was reached."""
+        """Keys and values, of all that was reached."""
         since = self._since()
         if since is None:
             return self.base
         both = self.base.join(since, self.keys, "full_outer")
-        return both.select(*self.keys, self._pick("value", "changed").alias("value"))
+        return both.select(*self.keys, *[self._pick(v, f"__new_{v}").alias(v) for v in self.values])
 
     def lookup(self, rows: DataFrame) -> DataFrame:
-        """rows with `known`, the value of their keys or null."""
-        out = rows.join(self.base.withColumnRenamed("value", "__base"), self.keys, "left")
+        """rows with `known`, the value of their keys or null (of several values, `known_` and their names)."""
+        names = {v: "known" if v == "value" else f"known_{v}" for v in self.values}
+        out = rows.join(self.base.withColumnsRenamed({v: f"__base_{v}" for v in self.values}), self.keys, "left")
         since = self._since()
         if since is None:
-            return out.withColumnRenamed("__base", "known")
-        return out.join(since, self.keys, "left").withColumn("known", self._pick("__base", "changed")).drop("__base", "changed")
+            return out.withColumnsRenamed({f"__base_{v}": name for v, name in names.items()})
+        out = out.join(since, self.keys, "left").withColumns({name: self._pick(f"__base_{v}", f"__new_{v}") for v, name in names.items()})
+        return out.drop(*[f"__{x}_{v}" for v in self.values for x in ("base", "new")])
 
     def add(self, rows: DataFrame, count: int) -> None:
         """Changes that were written (materialise); count is their number."""
@@ -87,7 +92,7 @@ class Best:
             old = [*old, self.base]
             self.base, self.rows, merged, self.changed = new, seen["n"], [], 0
         else:
-            merged = [materialise(self._since().withColumnRenamed("changed", "value"), "changes")]
+            merged = [materialise(self._since().withColumnsRenamed({f"__new_{v}": v for v in self.values}), "changes")]
         for x in old:
             if not self.holds(x, self.pinned):
                 discard(x)
@@ -113,6 +118,18 @@ class Best:
         self.add(fresh, seen["n"])
         return fresh, seen
 
+    def step_each(self, frontier: DataFrame, adj: DataFrame) -> tuple[DataFrame, int]:
+        """A superstep in which every value goes to all neighbours as it is and is combined by itself:
+        the rows in which any value improved, and their number."""
+        rest = [k for k in self.keys if k != "id"]
+        mail = along(frontier, adj).select(F.col("dst").alias("id"), *rest, *self.values).groupBy(*self.keys).agg(*[self.mail(v).alias(f"msg_{v}") for v in self.values])
+        best = {v: self._pick(f"msg_{v}", f"known_{v}") for v in self.values}
+        better = reduce(Column.__or__, [~best[v].eqNullSafe(F.col(f"known_{v}")) for v in self.values])
+        new = self.lookup(mail).filter(better).select(*self.keys, *[best[v].alias(v) for v in self.values])
+        fresh, seen = materialise_with(new, "changes", n=F.count("*"))
+        self.add(fresh, seen["n"])
+        return fresh, seen["n"]
+
     def spread(self, adj: DataFrame, message: Column) -> int:
         """Step until nothing improves; the number of steps that improved something."""
         frontier, steps = self.base, 0

@@ -25,13 +25,30 @@ def merge_step(now: DataFrame, adj: DataFrame) -> DataFrame:
     return now.union(heard).groupBy("id", "reg").agg(F.max("rho").alias("rho"))
 
 
+WIDTH = 16  # registers of a row
+
+
+def words(edges: DataFrame, p: int) -> DataFrame:
+    """(id, word, r0..r15): the registers of a node, sixteen a row; rows of zeros are left out."""
+    rows = registers(edges, p).withColumns({"word": F.shiftright("reg", WIDTH.bit_length() - 1), "at": F.col("reg") % WIDTH})
+    own = [F.coalesce(F.max(F.when(F.col("at") == i, F.col("rho"))), F.lit(0)).cast("tinyint").alias(f"r{i}") for i in range(WIDTH)]
+    return rows.groupBy("id", "word").agg(*own)
+
+
 def hyperball(edges: DataFrame, p: int) -> DataFrame:
     """(iterations): the round, from zero, in which no register changed; at most the hop diameter.
 
-    Only registers that changed are sent on: a neighbour has heard the others before.
+    Registers travel sixteen a row, their pointwise maxima are sixteen aggregates of one pass, and
+    only rows in which a register changed are sent on: a neighbour has heard the others before. With
+    p = 4 a node is one row.
     """
     adj = adjacency(edges)
-    best = Best(registers(edges, p).withColumnRenamed("rho", "value"), ["id", "reg"], F.max)
-    rounds = best.spread(adj, F.col("value"))
+    best = Best(words(edges, p), ["id", "word"], F.max, values=tuple(f"r{i}" for i in range(WIDTH)))
+    frontier, rounds = best.base, 0
+    while True:
+        frontier, changed = best.step_each(frontier, adj)
+        if not changed:
+            break
+        rounds += 1
     discard(adj)
     return edges.sparkSession.createDataFrame([(rounds,)], "iterations long")

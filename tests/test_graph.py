@@ -254,3 +254,38 @@ def test_same_answer_for_any_number_of_partitions(spark):
     g = graphs.mesh(spark, 5)
     once = {n: rows(cluster.clusters(g.repartition(n), 2, seed=5)) for n in (1, 4)}
     assert once[1] == once[4]
+
+
+@pytest.mark.parametrize("p", [4, 6])
+def test_hyperball_counts_rounds(spark, p):
+    """Rounds of registers in words against rounds of single registers, told plainly."""
+    edges = [(0, 1, 1), (1, 2, 1), (2, 3, 1), (3, 4, 1), (0, 5, 1), (7, 8, 1), (8, 9, 1), (4, 11, 1), (11, 12, 1)]
+    g = frame(spark, edges)
+    own = {}
+    for i, reg, rho in rows(hyperball.registers(g, p)):
+        own[i, reg] = rho
+    words = hyperball.words(g, p).collect()
+    assert {(r["id"], 16 * r["word"] + i): r[f"r{i}"] for r in words for i in range(16) if r[f"r{i}"]} == own
+    rounds = 0
+    while True:
+        new = dict(own)
+        for u, v, _ in edges:
+            for a, b in ((u, v), (v, u)):
+                for (i, reg), rho in own.items():
+                    if i == a and rho > new.get((b, reg), 0):
+                        new[b, reg] = rho
+        if new == own:
+            break
+        own, rounds = new, rounds + 1
+    assert hyperball.hyperball(g, p).first()[0] == rounds
+
+
+def test_rows_a_step_are_the_nodes_that_changed(spark):
+    from graphspan.operators.fixpoint import Best
+
+    g = graphs.mesh(spark, 4)
+    best = Best(hyperball.words(g, 4), ["id", "word"], F.max, values=tuple(f"r{i}" for i in range(16)))
+    fresh, n = best.step_each(best.base, transforms.adjacency(g))
+    before = {r["id"]: tuple(r) for r in best.base.collect()}
+    after = {r["id"]: tuple(r) for r in best.known().collect()}
+    assert fresh.count() == n == sum(after[i] != before.get(i) for i in after) and fresh.select("id").distinct().count() == n
