@@ -282,3 +282,25 @@ def test_polytopes_and_visits():
         assert (p.visits(x, 5) == seen[:, :5]).all()
     for y in cross_polytope.Polytopes(12, 0, 32).turned(x):
         assert np.allclose((y**2).sum(axis=1), 1)
+
+
+def test_the_thin_queries_over_a_table_of_floats(spark, tmp_path):
+    """op11 and op13 over single precision, extra columns and odd rows, by their contracts."""
+    rng = np.random.default_rng(12)
+    rows = [(i, [float(x) for x in rng.normal(size=12).astype(np.float32)], i % 2) for i in range(320)]
+    spark.createDataFrame(rows + _odd_vectors()[:5], "vec_id long, embedding array<float>, rank int").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    white = whitening.op11(spark, str(tmp_path))
+    assert dict(white.dtypes) == {"vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double", "explained": "double", "identity_error": "double"}
+    want, explained, deviation, _ = _whitened(rows, 8)
+    got = {(r["vec_id"], r["component"]): r for r in white.collect()}
+    assert len(got) == 8 * 320 and all(got[i, 1]["deviation"] == deviation[i] for i in range(320))
+    for j in range(8):
+        mine = np.array([got[i, j + 1]["whitened"] for i in range(320)])
+        assert np.allclose(mine * np.sign(mine[0] * want[0, j]), want[:, j], atol=1e-8) and abs(got[0, j + 1]["explained"] / explained[j] - 1) < 1e-9
+    found = cross_polytope.op13(spark, str(tmp_path))
+    assert dict(found.dtypes) == {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"}
+    exact = _search(rows, [rows[0], rows[100], rows[200], rows[300]], 10)
+    told = {(r["query_id"], r["rank"]): (r["score"], r["vec_id"]) for r in found.collect()}
+    assert len(told) == 40
+    hits = sum((s, j) in {told[i, a] for a in range(1, 11)} for (i, _), answers in exact.items() for s, j in answers)
+    assert hits >= 36
