@@ -165,8 +165,8 @@ def shard_files(spark: SparkSession, path: str, first_shard: int = 0) -> list[st
 def read_training_order(spark: SparkSession, path: str, told: dict[str, int], first_slot: int = 0) -> DataFrame:
     """(slot, shard, byte_offset, tokens) from first_slot on, shard by shard as written.
 
-    Files are listed first and shards before first_slot's are not opened; its own is read from its
-    byte offset on. tokens has told["width"] bytes an id.
+    Files are listed first and shards before first_slot's are not opened; its own is read whole, and
+    what lies before the slot's byte offset is left out. tokens has told["width"] bytes an id.
     """
     stride, per = told["stride"], told["shard_rows"]
     shape = "slot long, shard int, byte_offset long, tokens binary"
