@@ -40,7 +40,11 @@ def send(
 
 
 def triplets(nodes: DataFrame, edges: DataFrame, action: Column) -> DataFrame:
-    """(u, v, out): action over w and both ends' states, as structs `a` (of u) and `b` (of v); nulls go."""
+    """(u, v, out): action over w and both ends' states, as structs `a` (of u) and `b` (of v); nulls go.
+
+    A hub's edges are split among tasks by Spark's adaptive skew join, as both sides of each join are
+    dealt for it alone.
+    """
     state = F.struct(*[c for c in nodes.columns if c != "id"])
     a = nodes.select(F.col("id").alias("u"), state.alias("a"))
     b = nodes.select(F.col("id").alias("v"), state.alias("b"))
