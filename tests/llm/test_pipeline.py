@@ -44,7 +44,7 @@ def test_stages_in_order(spark, docs, tmp_path):
 
 def test_queries_are_registered():
     names = set(driver.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.QUERIES}
     assert set(queries.QUERIES) | {"pipeline"} <= names
     assert all(len(inspect.signature(f).parameters) == 3 for _, f in pipeline.STAGES)
 
