@@ -1,13 +1,16 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts hashed n-grams of the lower-cased letters of every labelled document, per language,
-in one grouped sum; the smoothed log-probabilities form a matrix of languages times buckets, which
-is broadcast. Its size is bounded by the number of buckets times `max_langs`. Scoring gathers the
-columns of a document's n-grams and sums them in numpy.
+Training counts hashed n-grams of the lower-cased letters of every labelled document, per language
+and fold, in one grouped sum, and writes a vector of counts for each. The smoothed log-probabilities
+of up to `block` languages form a matrix of languages times buckets, which is broadcast: 64 MB at
+most, whatever the number of labels. Scoring gathers the rows of a document's n-grams and sums them
+in numpy; with more languages than a block holds, texts pass the blocks one after the other and carry
+the best language so far.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +20,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from graphspan.llm.chunks import emit, with_fields
+from graphspan.session import discard, materialise
 
 UNKNOWN = "und"
 _STEP = 1 << 19
+_CELLS = 1 << 21  # log-probabilities gathered at once
+_HELD = 256  # languages whose counts a task holds before it passes them on
 _cache: dict[str, np.ndarray] = {}
 
 
@@ -71,96 +77,174 @@ def has_letters(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-class LanguageModel:
-    """Languages in order, and the log-probability of each bucket in each of them."""
+class _Block:
+    """Some languages in order of name, and the log-probability of each bucket in each of them."""
 
     def __init__(self, langs: list[str], prior: np.ndarray, table: np.ndarray, bits: int, orders: tuple[int, ...]):
         self.langs, self.prior, self.table, self.bits, self.orders = langs, prior, table, bits, orders
 
-    def classify(self, text: str | None) -> tuple[str, float]:
-        """The most probable language and its posterior; und and 0.0 without letters or languages."""
-        if not self.langs or not has_letters(text):
-            return UNKNOWN, 0.0
-        total = self.prior.copy()
+    def best(self, text: str) -> tuple[str, float, float]:
+        """The most probable language, its log-probability, and the sum of all languages' as multiples of its."""
+        total, step = self.prior.copy(), max(1, _CELLS // len(self.langs))
         for at in _grams(text, self.bits, self.orders):
-            total += self.table[at].sum(axis=0, dtype=np.float64)
-        best = int(np.argmax(total))
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+            for lo in range(0, len(at), step):
+                total += self.table[at[lo : lo + step]].sum(axis=0, dtype=np.float64)
+        i = int(np.argmax(total))
+        return self.langs[i], float(total[i]), float(np.exp(total - total[i]).sum())
 
 
-def train(
-    docs: DataFrame, lang_col: str = "lang", text_col: str = "text", bits: int = 16, orders: tuple[int, ...] = (1, 2, 3),
-    smoothing: float = 0.5, max_langs: int = 400,
-) -> LanguageModel:
-    """Fit on every document with a language and a text.
+class LanguageModel:
+    """Counts of n-grams by fold and language, a table, and which fold is left out.
 
-    The driver receives one vector of 2**bits counts for each language, max_langs at most, whatever
-    the corpus. More labels than max_langs is an error. Languages of equal probability: the first in
-    order of name is predicted.
+    The driver holds the names of the languages and how many documents each has.
     """
-    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+
+    def __init__(self, counts: DataFrame, bits: int, orders: tuple[int, ...], smoothing: float, block: int, without: int | None = None):
+        self.counts = counts if without is None else counts.filter(F.col("fold") != without)
+        self.bits, self.orders, self.smoothing, self.block = bits, orders, smoothing, block
+        told = self.counts.groupBy("lang").agg(F.sum("docs").alias("docs")).collect()
+        self.docs = dict(sorted((r["lang"], r["docs"]) for r in told))
+
+    def __len__(self) -> int:
+        """How many blocks of languages there are."""
+        return -(-len(self.docs) // self.block)
+
+    def part(self, i: int) -> _Block:
+        """The i-th block of languages."""
+        langs = list(self.docs)[i * self.block : (i + 1) * self.block]
+        at = {lang: j for j, lang in enumerate(langs)}
+        table = np.zeros((1 << self.bits, len(langs)))
+        for r in self.counts.filter(F.col("lang").between(langs[0], langs[-1])).toLocalIterator():
+            table[:, at[r["lang"]]] += np.frombuffer(r["counts"], np.int64)
+        table += self.smoothing
+        prior = np.log(np.array([self.docs[x] for x in langs]) / sum(self.docs.values()))
+        return _Block(langs, prior, np.log(table / table.sum(axis=0)).astype(np.float32), self.bits, self.orders)
+
+
+def _counted(docs: DataFrame, fold: Column, lang_col: str, text_col: str, bits: int, orders: tuple[int, ...]) -> DataFrame:
+    """(fold, lang, docs, counts): documents, and how often they hold each bucket, as 2**bits longs."""
+    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+
+    def told(sums: dict[tuple, np.ndarray], docs_of: dict[tuple, int]) -> Iterator[pa.RecordBatch]:
+        for (part, lang), own in sums.items():
+            at = np.flatnonzero(own)
+            columns = [[part] * (len(at) + 1), [lang] * (len(at) + 1), np.append(at, -1), np.append(own[at], docs_of[part, lang])]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["fold", "lang", "bucket", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-        docs_of: dict[str, int] = {}
-        waiting: dict[str, list[np.ndarray]] = {}
+        sums: dict[tuple, np.ndarray] = {}
+        docs_of: dict[tuple, int] = {}
+        waiting: dict[tuple, list[np.ndarray]] = {}
+
+        def settle(key: tuple) -> None:
+            sums[key] += np.bincount(np.concatenate(waiting[key]), minlength=1 << bits)
+            waiting[key] = [np.zeros(0, np.int64)]
 
-        def settle(lang: str) -> None:
-            sums[lang] += np.bincount(np.concatenate(waiting[lang]), minlength=1 << bits)
-            waiting[lang] = [np.zeros(0, np.int64)]
+        def flush() -> Iterator[pa.RecordBatch]:
+            for key in sums:
+                settle(key)
+            yield from told(sums, docs_of)
+            for x in (sums, docs_of, waiting):
+                x.clear()
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if lang not in sums:
-                    if len(sums) == max_langs:
-                        raise ValueError(f"more than {max_langs} languages")
-                    sums[lang], docs_of[lang], waiting[lang] = np.zeros(1 << bits, np.int64), 0, [np.zeros(0, np.int64)]
-                docs_of[lang] += 1
+            for part, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                key = (part, lang)
+                if key not in sums:
+                    if len(sums) == _HELD:
+                        yield from flush()
+                    sums[key], docs_of[key], waiting[key] = np.zeros(1 << bits, np.int64), 0, [np.zeros(0, np.int64)]
+                docs_of[key] += 1
                 for at in _grams(text.as_py(), bits, orders):
-                    waiting[lang].append(at)
-                if len(waiting[lang]) > 200 or len(waiting[lang][-1]) > _STEP // 2:
-                    settle(lang)
-        for lang, own in sums.items():
-            settle(lang)
-            at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(own[at], docs_of[lang]))], names=["lang", "bucket", "n"]
-            )
+                    waiting[key].append(at)
+                if len(waiting[key]) > 200 or len(waiting[key][-1]) > _STEP // 2:
+                    settle(key)
+        yield from flush()
 
     def dense(rows: pa.Table) -> pa.Table:
         bucket, n = rows["bucket"].to_numpy(), rows["n"].to_numpy()
         own = np.zeros((1 << bits) + 1, np.int64)
         own[bucket] = n  # -1, the number of documents, is last
-        return pa.table({"lang": rows["lang"].slice(0, 1), "counts": pa.array([own.tobytes()], pa.binary())})
+        return pa.table({"fold": rows["fold"].slice(0, 1), "lang": rows["lang"].slice(0, 1), "docs": own[-1:], "counts": pa.array([own[:-1].tobytes()], pa.binary())})
+
+    rows = labelled.select(fold.cast("int").alias("fold"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    counts = rows.mapInArrow(count, "fold int, lang string, bucket long, n long").groupBy("fold", "lang", "bucket").agg(F.sum("n").alias("n"))
+    return materialise(counts.groupBy("fold", "lang").applyInArrow(dense, "fold int, lang string, docs long, counts binary"), "ngrams")
+
+
+def train(
+    docs: DataFrame, lang_col: str = "lang", text_col: str = "text", bits: int = 16, orders: tuple[int, ...] = (1, 2, 3),
+    smoothing: float = 0.5, block: int = 256,
+) -> LanguageModel:
+    """Fit on every document with a language and a text; any number of languages.
+
+    A task holds vectors of 2**bits counts for _HELD languages, the driver those of one block. Rows
+    without a label or a text are passed over, repeated rows count each time, of no rows no language is
+    learned. Languages of equal probability: the first in order of name is predicted.
+    """
+    return LanguageModel(_counted(docs, F.lit(0), lang_col, text_col, bits, orders), bits, orders, smoothing, block)
+
+
+def train_folds(
+    docs: DataFrame, fold: Column, folds: int, lang_col: str = "lang", text_col: str = "text", bits: int = 16, orders: tuple[int, ...] = (1, 2, 3),
+    smoothing: float = 0.5, block: int = 256,
+) -> list[LanguageModel]:
+    """train() for every fold without its rows, and last for all rows, from one count of the n-grams.
+
+    fold is a number from 0 to folds - 1, never null.
+    """
+    counts = _counted(docs, fold, lang_col, text_col, bits, orders)
+    return [LanguageModel(counts, bits, orders, smoothing, block, i) for i in (*range(folds), None)]
+
 
-    counts = labelled.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    vectors = counts.groupBy("lang").applyInArrow(dense, "lang string, counts binary").limit(max_langs + 1).collect()
-    if len(vectors) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
-    told = {lang: np.frombuffer(x, np.int64) for lang, x in sorted(map(tuple, vectors))}
-    langs = list(told)
-    if not langs:
-        return LanguageModel([], np.zeros(0), np.zeros((1 << bits, 0), np.float32), bits, orders)
-    table = np.stack([x[:-1] for x in told.values()], axis=1) + smoothing
-    prior = np.array([x[-1] for x in told.values()], np.float64)
-    return LanguageModel(langs, np.log(prior / max(1, prior.sum())), np.log(table / table.sum(axis=0)).astype(np.float32), bits, orders)
+_BEST, _LOG, _SUM = "__gs_best", "__gs_log", "__gs_sum"
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score, read from whole texts alone.
+    """docs with lang_pred and score, the posterior of lang_pred, read from whole texts alone.
 
     A null text, or one without letters, is `und` with score 0; so is every text if the model knows
-    no language. Input columns of these names give way; others pass through.
+    no language. Input columns of these names give way; others pass through. Where the model has
+    several blocks of languages, the texts and what is known of them are written after each but the last.
     """
-    schema = with_fields(docs.schema, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    if not len(model):
+        schema = with_fields(docs.schema, [])
+        return docs.select(*[c for c in schema.names if c.lower() not in ("lang_pred", "score")], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    for i in range(len(model) - 1):
+        done = materialise(_past(docs, model, i, text_col), "languages")
+        if i:
+            discard(docs)
+        docs = done
+    return _past(docs, model, len(model) - 1, text_col)
+
+
+def _past(docs: DataFrame, model: LanguageModel, i: int, text_col: str) -> DataFrame:
+    """docs past the i-th block: with the best so far, or with lang_pred and score after the last."""
+    last = i == len(model) - 1
+    names = ["lang_pred", "score"] if last else [_BEST, _LOG, _SUM]
+    kinds = [T.StringType(), T.DoubleType(), T.DoubleType()]
+    came = T.StructType([f for f in docs.schema.fields if f.name not in (_BEST, _LOG, _SUM)])
+    schema = with_fields(came, [T.StructField(n, k) for n, k in zip(names, kinds)])
+    shared = docs.sparkSession.sparkContext.broadcast(model.part(i))
+
+    def better(text: str | None, before: tuple) -> tuple:
+        if not has_letters(text):
+            return None, None, None
+        lang, log, total = shared.value.best(text)
+        if before[0] is None:
+            return lang, log, total
+        if log > before[1]:
+            return lang, log, total + before[2] * math.exp(before[1] - log)
+        return before[0], before[1], before[2] + total * math.exp(log - before[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
             part = pa.Table.from_batches([batch])
-            pairs = [known.classify(x.as_py()) for x in batch.column(batch.schema.names.index(text_col))]
-            new = {"lang_pred": pa.array([x for x, _ in pairs], pa.string()), "score": pa.array([x for _, x in pairs], pa.float64())}
+            before = zip(*(part[x].to_pylist() for x in (_BEST, _LOG, _SUM)), strict=True) if i else [(None, None, None)] * len(batch)
+            found = [better(x.as_py(), y) for x, y in zip(batch.column(batch.schema.names.index(text_col)), before, strict=True)]
+            if last:
+                found = [(UNKNOWN, 0.0) if lang is None else (lang, 1 / total) for lang, _, total in found]
+            new = {n: pa.array([x[j] for x in found], k) for j, (n, k) in enumerate(zip(names, (pa.string(), pa.float64(), pa.float64())))}
             yield from emit(part, schema, new).to_batches()
 
     return docs.mapInArrow(run, schema)

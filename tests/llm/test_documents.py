@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from graphspan.llm import decontaminate as decon, language_id, lm_scoring, packing, simhash, substring_dedup, textarrays, token_counts, training_order
 from graphspan.llm.chunks import ascii_lower, dealt
-from graphspan.session import scratch
+from graphspan.session import clearing, scratch
 
 VOCABULARY = f"{token_counts.FOLDER}/{token_counts.NAME}"
 
@@ -357,6 +357,40 @@ def test_language_id_matches_brute_force(spark, docs, step, monkeypatch):
         assert r["lang_pred"] == best and abs(r["score"] - 1 / sum(math.exp(x - logs[best]) for x in logs.values())) < 1e-3
 
 
+def test_any_number_of_languages(spark, docs, monkeypatch):
+    """A thousand labels, in blocks and from tasks that hold few, and one block against many."""
+    monkeypatch.setattr(language_id, "_HELD", 64)
+    rows = [(i, " ".join(chr(0x4E00 + 7 * i + j) * 3 for j in range(5)), f"l{i:04}") for i in range(1000)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    with clearing():
+        model = language_id.train(many, bits=12, block=300)
+        assert len(model) == 4
+        got = language_id.identify(many, model).collect()
+        assert len(got) == 1000 and all(r["lang"] == r["lang_pred"] and 0.99 < r["score"] <= 1 for r in got)
+        tell = lambda block: sorted((str(r["doc_id"]), r["text"] or "", r["lang_pred"], round(r["score"], 9)) for r in language_id.identify(docs, language_id.train(docs, block=block)).collect())
+        assert tell(1) == tell(2) == tell(256)
+
+
+def test_language_folds_leave_their_rows_out(spark, docs):
+    """Each model of train_folds() is that of the rows outside the fold, the last that of all rows."""
+    part = F.pmod(F.xxhash64("text"), F.lit(3))
+    with clearing():
+        tell = lambda model: sorted((str(r["doc_id"]), r["lang_pred"], round(r["score"], 9)) for r in language_id.identify(docs, model).collect())
+        models = language_id.train_folds(docs, part, 3)
+        assert len(models) == 4 and tell(models[-1]) == tell(language_id.train(docs))
+        for i in range(3):
+            assert tell(models[i]) == tell(language_id.train(docs.filter(part != i)))
+
+
+def test_a_very_long_text_has_a_language(spark):
+    long = "the weather in the north is fine " * 270_000  # 8.9 MB
+    rows = [(1, long, "en"), (2, "le temps est beau dans le nord " * 40, "fr"), (3, long[:2000], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    with clearing():
+        got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(df, language_id.train(df)).collect()}
+    assert got[1] == ("en", 1.0) and got[2][0] == "fr" and got[3][0] == "en"
+
+
 def test_language_id_without_letters(docs):
     model = language_id.train(docs)
     for r in language_id.identify(docs.withColumn("score", F.lit("x")), model).collect():
