@@ -152,11 +152,9 @@ def with_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def convert_archives(arcs: DataFrame, path: str, content_col: str = "content", min_bytes: int = 0, file_bytes: int = 32 << 20) -> None:
-    """ARC files, one a row, to WARC files of about file_bytes of payload each under path."""
+    """ARC files, one a row, to WARC files of about file_bytes each, before compression, under path."""
     records = arc_to_records(arcs, content_col)
-    light = _digests(records)
-    mean = light.agg(F.avg("payload_bytes")).first()[0] or 0
-    write_warc(_marked(records, light, min_bytes), path, max(1, int(file_bytes / (mean + 500))))
+    write_warc(with_revisits(records, min_bytes), path, file_bytes)
 
 
 def _warc_bytes(row: dict) -> bytes:
@@ -185,16 +183,30 @@ def _warc_bytes(row: dict) -> bytes:
     return b"\r\n".join(lines) + b"\r\nContent-Length: %d" % len(block) + END + block
 
 
-def write_warc(records: DataFrame, path: str, per_file: int = 4000) -> None:
-    """Write records (with_revisits) as gzipped WARC files of at most per_file records."""
+def write_warc(records: DataFrame, path: str, file_bytes: int = 32 << 20) -> None:
+    """Write records (with_revisits) as gzipped WARC files.
+
+    A file is closed once its records add up to file_bytes: it is longer by less than one record.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
         for batch in batches:
             for lo in range(0, len(batch), 200):
-                yield pa.RecordBatch.from_arrays([pa.array([_warc_bytes(r) for r in batch.slice(lo, 200).to_pylist()], pa.binary())], names=["record"])
+                for row in batch.slice(lo, 200).to_pylist():
+                    waiting.append(_warc_bytes(row))
+                    size += len(waiting[-1]) + len(END)
+                    if size >= file_bytes:
+                        yield _file(waiting)
+                        waiting, size = [], 0
+        if waiting:
+            yield _file(waiting)
+
+    def _file(own: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([END.join(own)], pa.binary())], names=["file"])
 
-    lines = records.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    files = records.mapInArrow(run, "file binary").select(F.col("file").cast("string").alias("value"))
+    files.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -250,9 +262,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "key long, type string, uri string, date string, payload binary, payload_bytes long, digest string, refers_key long")
 
 
-def pages_to_arcs(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", records: int = 250) -> DataFrame:
-    """(content): pages as ARC files of up to `records` records, versions 1 and 2 by turns.
+def pages_to_arcs(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", records: int = 250, file_bytes: int = 8 << 20) -> DataFrame:
+    """(content): pages as ARC files, versions 1 and 2 by turns.
 
+    A file has up to `records` records, and is closed once they add up to file_bytes.
     Null URLs are written as `-`, null bodies as empty ones; a null id leaves the key header out.
     """
 
@@ -260,15 +273,25 @@ def pages_to_arcs(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         turn = 0
         for batch in batches:
             for lo in range(0, len(batch), records):
-                turn += 1
-                version = b"1" if turn % 2 else b"2"
-                parts = [arc_block(version)]
-                for key, url, html in zip(*(x.to_pylist() for x in batch.slice(lo, records).columns), strict=True):
-                    payload = (html or "").encode()
+                version, parts, size = b"", [], 0
+                for key, url, html in zip(*(batch.slice(lo, records).columns), strict=True):
+                    if not parts:
+                        turn += 1
+                        version = b"1" if turn % 2 else b"2"
+                        parts.append(arc_block(version))
+                    payload, key = (html.as_py() or "").encode(), key.as_py()
                     own = b"\r\nX-Key: %d" % key if key is not None else b""
                     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d" % len(payload) + own + END + payload
-                    parts.append(arc_record(version, (url or "").encode(), b"20000101000000", b"text/html", body))
-                yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["content"])
+                    parts.append(arc_record(version, (url.as_py() or "").encode(), b"20000101000000", b"text/html", body))
+                    size += len(parts[-1])
+                    if size >= file_bytes:
+                        yield packed(parts)
+                        parts, size = [], 0
+                if parts:
+                    yield packed(parts)
+
+    def packed(parts: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["content"])
 
     return pages.select(F.col(id_col).cast("long"), url_col, html_col).mapInArrow(run, "content binary")
 

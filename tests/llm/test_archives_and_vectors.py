@@ -1,5 +1,7 @@
 import base64
+import gzip
 import hashlib
+import os
 
 import numpy as np
 import pytest
@@ -155,3 +157,19 @@ def test_small_labels_have_centres_too(spark):
     pairs = cover_tree._pairs(few.unionByName(units.filter("group.label = 0 and node % 19 = 0")), 19_100, 0.3742, 5, 64).filter("group.label = 1")
     assert pairs.select("node").distinct().count() == 100
     assert pairs.count() < 100 * 20 / 4  # of 20 cells
+
+
+def test_files_of_archives_follow_bytes(spark, tmp_path):
+    """Payloads of very unlike lengths: no file is longer than its bound by more than its last record."""
+    lengths = [10] * 300 + [200_000, 3_000_000, 50, 0, 9_000_000] + [20_000] * 40
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"{i} " + "x" * n) for i, n in enumerate(lengths)], "page_id long, url string, html string").coalesce(1)
+    arcs = archives.pages_to_arcs(pages, file_bytes=100_000)
+    own = [[len(body) for *_, body in archives.parse_arc(r["content"])] for r in arcs.collect()]
+    assert sum(map(len, own)) == len(lengths) and all(sum(x[:-1]) < 100_000 for x in own)
+    path = str(tmp_path / "warc")
+    archives.convert_archives(arcs, path, file_bytes=100_000)
+    files = [gzip.open(os.path.join(path, f)).read() for f in os.listdir(path) if f.endswith(".gz")]
+    blocks = [[len(b) for _, b in archives.parse_warc(f)] for f in files]
+    assert sum(map(len, blocks)) == len(lengths) and all(sum(x[:-1]) < 100_000 for x in blocks)
+    back = {r["key"]: len(r["payload"]) for r in archives.read_warc(spark, path).collect()}
+    assert back == {i: n + len(str(i)) + 1 for i, n in enumerate(lengths)}
