@@ -85,3 +85,22 @@ def test_a_run_leaves_only_its_last_tables(spark, docs, tmp_path):
     before = set(os.listdir(folder))
     assert pipeline.run(spark, str(tmp_path)).count()
     assert len([x for x in set(os.listdir(folder)) - before if x.startswith("graphspan-")]) <= 2
+
+
+def test_language_stage_rejects_corrects_and_fills(spark, tmp_path):
+    """Unwanted languages go, wrong labels are corrected, missing ones filled, rare ones kept."""
+    en, fr, de = "the weather in the north was fine this week number{}", "le temps est beau dans toute la région cette semaine {}", "das wetter ist schön und der wind weht über die straße {}"
+    rows = [(i, " ".join((en, fr, de)[i % 3].format(i * 10 + j) for j in range(4)), ("en", "fr", "de")[i % 3], "s", 9) for i in range(90)]
+    rows[3] = (3, rows[3][1], "fr", "s", 9)  # English under another label
+    rows[4] = (4, rows[4][1], None, "s", 9)
+    rows[5] = (5, rows[5][1], None, "s", 9)
+    rows += [(100, "one text in a language of its own", "rare", "s", 9), (101, None, "en", "s", 9), (102, "12 34", "en", "s", 9), (103, "", None, "s", 9)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    told = {r["doc_id"]: r["lang"] for r in pipeline.identify_language(spark, df, str(tmp_path)).collect()}
+    assert told == {i: ("en", "fr", "de")[i % 3] for i in range(90)} | {100: "rare"}
+    spark.conf.set(pipeline.LANGUAGES, "en, fr")
+    try:
+        some = {r["doc_id"]: r["lang"] for r in pipeline.identify_language(spark, df, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset(pipeline.LANGUAGES)
+    assert some == {i: lang for i, lang in told.items() if lang in ("en", "fr")}
