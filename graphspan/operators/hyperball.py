@@ -8,7 +8,7 @@ from graphspan.functions.bits import hash32, register_index, rho
 from graphspan.operators.adjacency import adjacency, along
 from graphspan.operators.fixpoint import Best
 from graphspan.operators.transforms import node_ids
-from graphspan.session import discard
+from graphspan.session import discard, once
 
 
 def registers(edges: DataFrame, p: int) -> DataFrame:
@@ -42,6 +42,7 @@ def hyperball(edges: DataFrame, p: int) -> DataFrame:
     only rows in which a register changed are sent on: a neighbour has heard the others before. With
     p = 4 a node is one row.
     """
+    edges = once(edges)
     adj = adjacency(edges)
     best = Best(words(edges, p), ["id", "word"], F.max, values=tuple(f"r{i}" for i in range(WIDTH)))
     frontier, rounds = best.base, 0

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from graphspan.operators.adjacency import adjacency, adjacency_with, only
 from graphspan.operators.fixpoint import Best
 from graphspan.operators.sweeps import double_sweep
-from graphspan.session import discard, materialise
+from graphspan.session import discard, materialise, once
 
 
 def default_root(edges: DataFrame) -> int | None:
@@ -29,6 +29,7 @@ def _from_root(edges: DataFrame, root: int | None) -> DataFrame:
 
 
 def _distances(edges: DataFrame, root: int | None, cost: Column) -> DataFrame:
+    edges = once(edges)
     adj = adjacency(edges)
     found = _relaxed(_from_root(edges, root), adj, cost)
     discard(adj)
@@ -58,6 +59,7 @@ def delta_stepping(edges: DataFrame, delta: int, root: int | None = None, log: l
     log is given (counter, bucket, step, count) rows: Updated, the nodes that a step changed, for
     each step of a bucket from 1, and Heavy, those that its heavy edges changed, after them.
     """
+    edges = once(edges)
     adj, seen = adjacency_with(edges, heavy=F.count(F.when(F.col("w") > delta, 1)))
     light, heavy = only(adj, F.col("w") <= delta), only(adj, F.col("w") > delta)
     best = Best(_from_root(edges, root).select("id", F.col("distance").alias("value")), ["id"])
