@@ -7,6 +7,13 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 
+def may_crowd(rows: DataFrame, key: str, total: int, most: int) -> bool:
+    """Whether a key may have `most` of the `total` rows: no key has more than the slot of its hash,
+    and slots, 64 for each key that could be so large, are counted where the rows lie."""
+    slots = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(64 * (total // most + 1)))).agg(F.count("*").alias("n"))
+    return not slots.filter(F.col("n") >= most).isEmpty()
+
+
 def split_hot(left: DataFrame, stats: DataFrame, key: str, count: str, total: int, floor: int = 64) -> tuple[DataFrame, DataFrame]:
     """left joined with stats on key: (rows of hot keys, the rest), to be united by the caller.
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from graphspan.operators.adjacency import adjacency
 from graphspan.operators.components import connected_components
 from graphspan.operators.fixpoint import Best
-from graphspan.session import discard, materialise, materialise_with
+from graphspan.session import discard, materialise, materialise_with, once
 
 HEAP_EDGES = 1_000_000
 SWEEPS = "component long, start long, far long, sweep long"
@@ -69,8 +69,9 @@ def _in_bins(labelled: DataFrame, edges: int, heap_edges: int, work: Callable[[i
 
 def _by_size(edges: DataFrame, heap_edges: int) -> tuple[DataFrame, DataFrame | None, int, DataFrame]:
     """(edges of small components with their component, those of large ones or None, how many edges the small have, components)."""
+    edges = once(edges)
     parts = materialise(connected_components(edges), "components")
-    labelled = edges.join(parts.withColumnRenamed("id", "u"), "u")
+    labelled = materialise(edges.join(parts.withColumnRenamed("id", "u"), "u"), "labelled")
     is_small = F.col("n") <= heap_edges
     sizes, seen = materialise_with(labelled.groupBy("component").agg(F.count("*").alias("n")), "sizes", small=F.sum(F.when(is_small, F.col("n"))), large=F.count(F.when(~is_small, 1)))
     if not seen["large"]:
