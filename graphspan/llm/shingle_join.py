@@ -14,7 +14,7 @@ those that its links have not joined; pairs that are not compared are connected
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -122,8 +122,8 @@ def _needed(n: np.ndarray | Column, share: float):
     return up(n * share - _EPS)
 
 
-def _prefixes(docs: DataFrame, nodes: DataFrame, levels: np.ndarray, bits: int, similarity: float, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(node, n, first, bits): of each node (node, f0, f1) the size of its set, its first shingles, and
+def _prefixes(docs: DataFrame, nodes: DataFrame, levels: np.ndarray, bits: int, similarity: float, id_col: str, text_col: str, width: int, vote: Callable) -> DataFrame:
+    """(node, n, print, first, bits): of each node (node, f0, f1) the size of its set, its SimHash fingerprint, its first shingles, and
     the set as a bitmap of hashes in _WORDS longs."""
     known = docs.sparkSession.sparkContext.broadcast(levels)
 
@@ -140,10 +140,10 @@ def _prefixes(docs: DataFrame, nodes: DataFrame, levels: np.ndarray, bits: int,
             held = np.zeros(len(n) * 64 * _WORDS, bool)
             held[doc * (64 * _WORDS) + (own & np.uint64(64 * _WORDS - 1)).astype(np.int64)] = True
             bitmap = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * _WORDS), pa.array(np.packbits(held, bitorder="little").view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), *prints, pa.array(n.astype(np.int32)), lists, bitmap], names=["node", "f0", "f1", "n", "first", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *prints, pa.array(n.astype(np.int32)), pa.array(vote(own, n).view(np.int64)), lists, bitmap], names=["node", "f0", "f1", "n", "print", "first", "bits"])
 
-    made = _texts(docs, id_col, text_col).mapInArrow(run, "node long, f0 long, f1 long, n int, first array<long>, bits array<long>")
-    return made.filter("n > 0").join(nodes, ["node", "f0", "f1"], "left_semi").dropDuplicates(["node", "f0", "f1"]).select("node", "n", "first", "bits")
+    made = _texts(docs, id_col, text_col).mapInArrow(run, "node long, f0 long, f1 long, n int, print long, first array<long>, bits array<long>")
+    return made.filter("n > 0").join(nodes, ["node", "f0", "f1"], "left_semi").dropDuplicates(["node", "f0", "f1"]).select("node", "n", "print", "first", "bits")
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -199,10 +199,14 @@ def _early(n: Column, place: Column, similarity: float) -> Column:
     return place <= n - _needed(n, 2 * similarity / (1 + similarity))
 
 
-def jaccard_links(docs: DataFrame, nodes: DataFrame, levels: np.ndarray, bits: int, similarity: float, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(u, v) links that span all pairs of nodes (node, f0, f1) whose sets are alike."""
+def jaccard_links(docs: DataFrame, nodes: DataFrame, levels: np.ndarray, bits: int, similarity: float, id_col: str, text_col: str, width: int, vote: Callable, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(u, v) links that span all pairs of nodes (node, f0, f1) whose sets are alike.
+
+    vote makes fingerprints of sets; linked gives the links between fingerprints (node, f0), which are
+    compared first. The join on rare shingles proposes the pairs that they have not connected.
+    """
     with clearing():
-        first = materialise(_prefixes(docs, nodes, levels, bits, similarity, id_col, text_col, width), "prefixes")
+        first = materialise(_prefixes(docs, nodes, levels, bits, similarity, id_col, text_col, width, vote), "prefixes")
         rows = first.select("node", "n", F.posexplode("first").alias("p", "key")).withColumn("early", _early(F.col("n"), F.col("p"), similarity))
         pivot = F.min(F.when(F.col("early"), F.struct(F.xxhash64("node").alias("h"), "node", "n", "p"))).alias("pivot")
         groups = materialise(rows.groupBy("key").agg(F.count("*").alias("m"), pivot).filter("m > 1 and pivot is not null"), "groups")
@@ -219,7 +223,16 @@ def jaccard_links(docs: DataFrame, nodes: DataFrame, levels: np.ndarray, bits: i
                 return kept(materialise(_alike(pairs, sets, similarity, pairs.count()), "links"))
 
         star = members.select(F.col("pivot.node").alias("u"), F.col("pivot.n").alias("un"), F.col("pivot.p").alias("up"), F.col("node").alias("v"), F.col("n").alias("vn"), F.col("p").alias("vp"))
-        links = compared(star.filter(_may(similarity)))
+        leads = materialise(first.groupBy("print").agg(F.min("node").alias("lead")), "leads")
+        near = linked(leads.select(F.col("print").alias("node"), F.col("print").alias("f0")))
+        ends = [leads.select(F.col("print").alias(x), F.col("lead").alias(f"{x}_lead")) for x in ("u", "v")]
+        near = near.join(ends[0], "u").join(ends[1], "v").select(F.col("u_lead").alias("u"), F.col("v_lead").alias("v"))
+        same = first.select("node", "print").join(leads, "print").filter("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v"))
+        anchored = compared(near.union(same))
+        known = materialise(connected_components(anchored), "anchored")
+        at = [known.select(F.col("id").alias(x), F.col("component").alias(f"{x}_at")) for x in ("u", "v")]
+        star = star.filter(_may(similarity)).join(at[0], "u", "left").join(at[1], "v", "left").filter(F.coalesce("u_at", "u") != F.coalesce("v_at", "v"))
+        links = materialise(anchored.union(compared(star)), "links")
         parts = materialise(connected_components(links), "parts").withColumnRenamed("id", "node")
         placed = members.filter(F.col("node") != F.col("pivot.node")).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
         placed = materialise(placed.drop("pivot"), "placed")

@@ -11,9 +11,10 @@ the home of either, where they are compared in full.
 Only distinct fingerprints take part, so a group of exact copies is one row, and an anchor emits a
 spanning forest of the links it finds, never all pairs. Components then form over these edges.
 
-near_duplicates() links texts by the similarity of their shingle sets itself. No covering of a
-fingerprint's bits is selective at similarity 0.8 (a bit differs with probability 0.15, so that a
-block of 31 is within one bit in 4 % of such pairs), so shingle_join proposes its pairs, and all.
+near_duplicates() links texts by the similarity of their shingle sets itself. Fingerprints of the sets
+are linked by their anchors, and the pairs compared on the sets. No covering of a fingerprint's bits
+reaches all pairs at similarity 0.8 (a bit differs with probability 0.15, so that a block of 31 is
+within one bit in 4 % of such pairs), so shingle_join proposes those that anchors have not connected.
 """
 
 from __future__ import annotations
@@ -283,7 +284,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         prints = kept(materialise(sj.set_prints(docs, bits, id_col, text_col, width), "set-prints"))
         levels = sj.rarity(prints, bits)
     nodes = lambda stats: stats.filter("least is not null").select("node", "f0", "f1")
-    found = _grouped(prints.filter("slots is null"), ["f0", "f1"], lambda stats: sj.jaccard_links(docs, nodes(stats), levels, bits, similarity, id_col, text_col, width))
+    found = _grouped(prints.filter("slots is null"), ["f0", "f1"], lambda stats: sj.jaccard_links(docs, nodes(stats), levels, bits, similarity, id_col, text_col, width, vote, lambda prints: linked(prints, 3)))
     return found.select("id", "component_id")
 
 

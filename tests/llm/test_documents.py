@@ -706,3 +706,14 @@ def test_digest_of_kept_words(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["kept_sha256"] for r in substring_dedup.op1(spark, str(tmp_path)).collect()}
     assert got == {1: hashlib.sha256(b"a b").hexdigest(), 2: hashlib.sha256(b"").hexdigest()}
+
+
+def test_near_duplicates_go_through_anchors(spark, monkeypatch):
+    """Links of fingerprints are proposed by anchors, and compared on the sets."""
+    seen, linked = [], simhash.linked
+    monkeypatch.setattr(simhash, "linked", lambda prints, most, *a: seen.append(most) or linked(prints, most, *a))
+    words = [f"word{i}" for i in range(200)]
+    texts = [" ".join(words), " ".join([*words[:-1], "end"]), " ".join(reversed(words))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, simhash.near_duplicates(docs).collect())) == [(0, 0), (1, 0), (2, 2)]
+    assert seen == [3]
