@@ -289,3 +289,29 @@ def test_rows_a_step_are_the_nodes_that_changed(spark):
     before = {r["id"]: tuple(r) for r in best.base.collect()}
     after = {r["id"]: tuple(r) for r in best.known().collect()}
     assert fresh.count() == n == sum(after[i] != before.get(i) for i in after) and fresh.select("id").distinct().count() == n
+
+
+def test_a_guess_ends_where_more_components_than_memory_are_left(spark):
+    """No radius leaves fewer centres than components; those larger than all distances give the same clusters."""
+    edges = [(10 * i + a, 10 * i + b, w) for i in range(3) for a, b, w in [(0, 1, 3), (1, 2, 7)]]
+    found, tried = cluster.guess_clusters(frame(spark, edges), 2, 4, 4)
+    assert [t[1] for t in tried] == [4, 16] and all(t[3] >= 3 for t in tried)
+    assert rows(found) == _clusters(edges, 16, 1234) == _clusters(edges, 10**6, 1234)
+
+
+def test_idle_rounds_are_skipped(spark, monkeypatch):
+    """A far node waits for the round that reaches it; no round before that is worked through."""
+    edges, passed, frozen = [(0, i, 400 + i) for i in range(1, 7)], [], cluster.frozen
+    monkeypatch.setattr(cluster, "frozen", lambda radius, round_, of="value": passed.append(round_) or frozen(radius, round_, of))
+    assert rows(cluster.clusters(frame(spark, edges), 1, seed=0)) == _clusters(edges, 1, 0)
+    assert len(set(passed)) < 30  # the reach is 401 after as many rounds
+
+
+def test_components_of_paths_that_lie_together_take_few_rounds(spark, monkeypatch):
+    from graphspan.operators import components
+
+    made, write = [], components.materialise_with
+    monkeypatch.setattr(components, "materialise_with", lambda *a, **k: made.append(a) or write(*a, **k))
+    path = spark.range(0, 3000, 1, 4).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.lit(1).cast("long").alias("w"))
+    assert connected_components(path).groupBy("component").count().collect() == [(0, 3001)]
+    assert len(made) <= 5
