@@ -8,7 +8,9 @@ none is missed, whatever the order; rare shingles first means that few are propo
 
 How rare a shingle is comes from counts in slots of its hash, a table of 64 MB at most. Proposed
 pairs are compared on their whole sets. A group of many copies costs comparisons with one pivot, and
-those that its links have not joined; pairs that are not compared are connected already.
+those that its links have not joined; pairs that are not compared are connected already. The pivot
+is the set whose first shingles are the most frequent ones: among edited copies of a text that is the
+one with the fewest edits, to which all those are alike that are alike to any.
 """
 
 from __future__ import annotations
@@ -123,27 +125,30 @@ def _needed(n: np.ndarray | Column, share: float):
 
 
 def _prefixes(docs: DataFrame, nodes: DataFrame, levels: np.ndarray, bits: int, similarity: float, id_col: str, text_col: str, width: int, vote: Callable) -> DataFrame:
-    """(node, n, print, first, bits): of each node (node, f0, f1) the size of its set, its SimHash fingerprint, its first shingles, and
-    the set as a bitmap of hashes in _WORDS longs."""
+    """(node, n, print, common, first, bits): of each node (node, f0, f1) the size of its set, its SimHash fingerprint, how frequent its
+    first shingles are (mean level), those shingles, and the set as a bitmap of hashes in _WORDS longs."""
     known = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, own, first in _batches(batches, width):
             n = np.diff(first)
             doc = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((own, known.value[(own >> np.uint64(64 - bits)).astype(np.int64)], doc))
+            level = known.value[(own >> np.uint64(64 - bits)).astype(np.int64)]
+            order = np.lexsort((own, level, doc))
             take = np.where(n > 0, n - _needed(n, similarity).astype(np.int64) + 1, 0)
             offsets = np.concatenate(([0], np.cumsum(take)))
             at = np.repeat(first[:-1] - offsets[:-1], take) + np.arange(offsets[-1])
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(own[order][at].view(np.int64)))
+            sums = np.concatenate(([0], np.cumsum(level[order][at], dtype=np.int64)))[offsets]
+            common = np.diff(sums) / np.maximum(take, 1)
             prints = [pa.array(x.view(np.int64)) for x in _set_words(own, first)]
             held = np.zeros(len(n) * 64 * _WORDS, bool)
             held[doc * (64 * _WORDS) + (own & np.uint64(64 * _WORDS - 1)).astype(np.int64)] = True
             bitmap = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * _WORDS), pa.array(np.packbits(held, bitorder="little").view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), *prints, pa.array(n.astype(np.int32)), pa.array(vote(own, n).view(np.int64)), lists, bitmap], names=["node", "f0", "f1", "n", "print", "first", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *prints, pa.array(n.astype(np.int32)), pa.array(vote(own, n).view(np.int64)), pa.array(common), lists, bitmap], names=["node", "f0", "f1", "n", "print", "common", "first", "bits"])
 
-    made = _texts(docs, id_col, text_col).mapInArrow(run, "node long, f0 long, f1 long, n int, print long, first array<long>, bits array<long>")
-    return made.filter("n > 0").join(nodes, ["node", "f0", "f1"], "left_semi").dropDuplicates(["node", "f0", "f1"]).select("node", "n", "print", "first", "bits")
+    made = _texts(docs, id_col, text_col).mapInArrow(run, "node long, f0 long, f1 long, n int, print long, common double, first array<long>, bits array<long>")
+    return made.filter("n > 0").join(nodes, ["node", "f0", "f1"], "left_semi").dropDuplicates(["node", "f0", "f1"]).select("node", "n", "print", "common", "first", "bits")
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -207,8 +212,8 @@ def jaccard_links(docs: DataFrame, nodes: DataFrame, levels: np.ndarray, bits: i
     """
     with clearing():
         first = materialise(_prefixes(docs, nodes, levels, bits, similarity, id_col, text_col, width, vote), "prefixes")
-        rows = first.select("node", "n", F.posexplode("first").alias("p", "key")).withColumn("early", _early(F.col("n"), F.col("p"), similarity))
-        pivot = F.min(F.when(F.col("early"), F.struct(F.xxhash64("node").alias("h"), "node", "n", "p"))).alias("pivot")
+        rows = first.select("node", "n", "common", F.posexplode("first").alias("p", "key")).withColumn("early", _early(F.col("n"), F.col("p"), similarity))
+        pivot = F.min(F.when(F.col("early"), F.struct((-F.col("common")).alias("rare"), F.xxhash64("node").alias("h"), "node", "n", "p"))).alias("pivot")
         groups = materialise(rows.groupBy("key").agg(F.count("*").alias("m"), pivot).filter("m > 1 and pivot is not null"), "groups")
         total = first.agg(F.sum(F.size("first"))).first()[0] or 0
         cols = ["key", "node", "n", "p", "early", "pivot"]
@@ -245,8 +250,9 @@ def jaccard_links(docs: DataFrame, nodes: DataFrame, levels: np.ndarray, bits: i
         open_rows = hot.select(*cols).union(cold.select(*cols)).join(first.select("node", "first", "bits"), "node")
         open_rows = materialise(open_rows.select(*cols, before, "bits"), "open")
         strays = open_rows.filter("component <> main").select("key", F.col("node").alias("u"), F.col("n").alias("un"), F.col("p").alias("up"), F.col("early").alias("ue"), F.col("component").alias("own"), F.col("before").alias("ub"), F.col("bits").alias("us"))
-        rest = open_rows.select("key", F.col("node").alias("v"), F.col("n").alias("vn"), F.col("p").alias("vp"), F.col("early").alias("ve"), "component", F.col("before").alias("vb"), F.col("bits").alias("vs"))
-        apart = (F.col("own") != F.col("component")) & _may(similarity) & ~F.arrays_overlap("ub", "vb") & _share_enough(similarity)  # those that overlap have met at an earlier shingle
+        rest = open_rows.select("key", F.col("node").alias("v"), F.col("n").alias("vn"), F.col("p").alias("vp"), F.col("early").alias("ve"), "component", (F.col("component") == F.col("main")).alias("whole"), F.col("before").alias("vb"), F.col("bits").alias("vs"))
+        once = F.col("whole") | (F.col("own") < F.col("component"))  # of two strays each sees the other
+        apart = (F.col("own") != F.col("component")) & once & _may(similarity) & ~F.arrays_overlap("ub", "vb") & _share_enough(similarity)  # those that overlap have met at an earlier shingle
         more = strays.filter("ue").join(rest, "key").filter(apart).select("u", "v").union(strays.filter("not ue").join(rest.filter("ve"), "key").filter(apart).select("u", "v"))
         return kept(materialise(links.union(compared(more)), "links"))
 
