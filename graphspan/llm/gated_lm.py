@@ -81,18 +81,29 @@ def shaped(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x = np.tanh(0.5 * x)
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
     x += 1
     x *= 0.5
     return x
 
 
+def _gates(x: np.ndarray) -> np.ndarray:
+    """Columns for update, reset and news as three tables, each of which lies together."""
+    return np.ascontiguousarray(x.reshape(len(x), 3, -1).transpose(1, 0, 2))
+
+
+_FEW = 8192
+
+
 def _odds(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """exp(h w + b) up to one factor, and its sums by row. No odds fall under e**-80 of the largest."""
     x = h @ w
     x += b
     x -= x.max(initial=-np.inf)
-    np.maximum(x, -80, out=x)
+    if x.size < _FEW or x.min() < -80:  # of many entries the least is found sooner than all are compared
+        np.maximum(x, -80, out=x)
     np.exp(x, out=x)
     return x, x @ np.ones(x.shape[1], x.dtype)
 
@@ -123,7 +134,7 @@ def _token_logs(w: dict[str, np.ndarray], h: np.ndarray, inputs: np.ndarray, gro
 def score(w: dict[str, np.ndarray], inputs: np.ndarray, group: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Log10 probability of classes and frequent words of each document; document d is tokens first[d]:first[d+1]."""
     hidden = w["u"].shape[0]
-    table = w["emb"] @ w["wx"] + w["bx"]
+    table = _gates(w["emb"] @ w["wx"] + w["bx"])
     lengths = np.diff(first)
     order = np.argsort(-lengths, kind="stable")
     starts, sizes = first[:-1][order], lengths[order]
@@ -131,7 +142,7 @@ def score(w: dict[str, np.ndarray], inputs: np.ndarray, group: np.ndarray, first
     total = np.zeros(len(lengths))
     h = np.zeros((len(sizes), hidden), np.float32)
     states, tokens, owners, held = [], [], [], 0
-    u = w["u"]
+    u = _gates(w["u"])
     for t, n in enumerate(active.tolist()):
         h = h[:n]
         at = starts[:n] + t
@@ -139,12 +150,16 @@ def score(w: dict[str, np.ndarray], inputs: np.ndarray, group: np.ndarray, first
         tokens.append(at)
         owners.append(order[:n])
         held += n
-        gate = table[inputs[at]]
-        back = h @ u
-        zr = _sigmoid(gate[:, : 2 * hidden] + back[:, : 2 * hidden])
-        z = zr[:, :hidden]
-        new = np.tanh(gate[:, 2 * hidden :] + zr[:, hidden:] * back[:, 2 * hidden :])
-        h = new + z * (h - new)
+        word = inputs[at]
+        zr = np.matmul(h, u[:2])
+        zr += table[:2].take(word, axis=1)
+        z, r = _sigmoid(zr)
+        new = h @ u[2]
+        new *= r
+        new += table[2].take(word, axis=0)
+        np.tanh(new, out=new)
+        z *= h - new
+        h = new + z
         if held >= 32768 or t == len(active) - 1:
             own = np.concatenate(tokens)
             logs = _token_logs(w, np.concatenate(states), inputs[own], group[own])
@@ -216,7 +231,7 @@ def _window(w, token, target, keep, share, h):
     span, n = token.shape
     hidden, classes, per = w["u"].shape[0], w["bin"].shape[0], w["bin"].shape[1]
     u, kind = w["u"], w["u"].dtype
-    gate = (w["emb"] @ w["wx"] + w["bx"])[token]
+    gate = (w["emb"] @ w["wx"] + w["bx"]).take(token, axis=0)
     before, ahead, news = (np.empty((span, n, hidden), kind) for _ in range(3))
     gates = np.empty((span, n, 2 * hidden), kind)
     for t in range(span):
@@ -232,7 +247,7 @@ def _window(w, token, target, keep, share, h):
     d, total = _odds(states, w["wc"], w["bc"])
     d *= (weight / total)[:, None]
     d[np.arange(len(goal)), goal] -= weight
-    g = {"wc": states.T @ d, "bc": d.sum(axis=0), "win": np.zeros_like(w["win"]), "bin": np.zeros_like(w["bin"])}
+    g = {"wc": states.T @ d, "bc": np.ones(len(d), kind) @ d, "win": np.zeros_like(w["win"]), "bin": np.zeros_like(w["bin"])}
     down = d @ w["wc"].T
     word = token.ravel()
     order, cuts = _by_class(goal, classes)
@@ -245,7 +260,7 @@ def _window(w, token, target, keep, share, h):
         e *= (heavy[a:b] / total)[:, None]
         e[np.arange(b - a), slot[a:b]] -= heavy[a:b]
         np.matmul(mine[a:b].T, e, out=g["win"][c])
-        np.sum(e, axis=0, out=g["bin"][c])
+        np.matmul(np.ones(b - a, kind), e, out=g["bin"][c])
         np.matmul(e, w["win"][c].T, out=back_down[a:b])
     down[order] += back_down
     down = down.reshape(span, n, hidden)
@@ -264,5 +279,5 @@ def _window(w, token, target, keep, share, h):
     at = np.flatnonzero(np.diff(word[order], prepend=-1))
     sums = np.zeros((len(w["emb"]), 3 * hidden), kind)
     sums[word[order[at]]] = np.add.reduceat(into.reshape(-1, 3 * hidden)[order], at, axis=0)
-    g |= {"emb": sums @ w["wx"].T, "wx": w["emb"].T @ sums, "bx": sums.sum(axis=0), "u": states.T @ within.reshape(-1, 3 * hidden)}
+    g |= {"emb": sums @ w["wx"].T, "wx": w["emb"].T @ sums, "bx": np.ones(len(sums), kind) @ sums, "u": states.T @ within.reshape(-1, 3 * hidden)}
     return g, h

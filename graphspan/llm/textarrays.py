@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 
 #: bytes that separate words of kind "spaces": [\x20\x09-\x0D]
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_BLOCK = 1 << 22
+_BLOCK = 1 << 18  # values that are hashed at once, so that they stay in a cache
 _BASE, _BASE2 = 0x9E3779B97F4A7C1B, 0xC2B2AE3D27D4EB4B  # both 3 mod 8
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -63,12 +63,15 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     held = _powers.get(base)
     if held is None or len(held[0]) < n:
-        size = max(n, 1 << 16)
+        size = max(n, 1 << 16, min(2 * n, _BLOCK + 1))
         out = []
         for x in (base, pow(base, -1, 1 << 64)):
-            steps = np.full(size, x, np.uint64)
-            steps[0] = 1
-            out.append(np.multiply.accumulate(steps))
+            steps, have = np.ones(size, np.uint64), 1
+            while have < size:  # the powers so far, times the next one
+                more = min(have, size - have)
+                np.multiply(steps[:more], np.uint64(pow(x, have, 1 << 64)), out=steps[have : have + more])
+                have += more
+            out.append(steps)
         held = (out[0], out[1])
         if size <= 2 * _BLOCK:
             _powers[base] = held

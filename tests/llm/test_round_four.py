@@ -1,12 +1,13 @@
-"""Near-duplicates in groups of edited copies."""
+"""Near-duplicates in groups of edited copies; hashes of many words."""
 
 from __future__ import annotations
 
 import random
 
+import numpy as np
 from fixtures import SCHEMA
 
-from graphspan.llm import shingle_join, simhash
+from graphspan.llm import shingle_join, simhash, textarrays as ta
 
 
 def _edited(copies: int) -> list[tuple]:
@@ -44,3 +45,18 @@ def test_a_group_of_edited_copies_makes_few_pairs(spark, monkeypatch):
     found = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA))
     assert {r.id: r.component_id for r in found.collect()} == _groups(rows, 0.8)
     assert sum(compared) < 2 * len(rows), compared
+
+
+def test_word_hashes_need_short_power_tables():
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 123, 1_500_000).astype(np.uint8)
+    data[rng.integers(0, len(data), 200_000)] = 32
+    starts, ends, _ = ta.words(data, np.array([0, len(data)]))
+    ta._powers.clear()
+    hashes = ta.word_hashes(data, starts, ends)
+    held = ta._powers[ta._BASE]
+    assert len(held[0]) < 1 << 20
+    for i in (0, 1, 1000, len(held[0]) - 1):
+        assert int(held[0][i]) == pow(ta._BASE, i, 1 << 64) and int(held[0][i]) * int(held[1][i]) % (1 << 64) == 1
+    alone = [ta.word_hashes(data[s:e], np.array([0]), np.array([e - s]))[0] for s, e in zip(starts[-50:], ends[-50:], strict=True)]
+    assert alone == hashes[-50:].tolist()
