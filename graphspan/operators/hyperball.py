@@ -45,9 +45,9 @@ def hyperball(edges: DataFrame, p: int) -> DataFrame:
     edges = once(edges)
     adj = adjacency(edges)
     best = Best(words(edges, p), ["id", "word"], F.max, values=tuple(f"r{i}" for i in range(WIDTH)))
-    frontier, rounds = best.base, 0
+    frontier, changed, rounds = best.base, best.rows, 0
     while True:
-        frontier, changed = best.step_each(frontier, adj)
+        frontier, changed = best.step_each(frontier, adj, changed)
         if not changed:
             break
         rounds += 1

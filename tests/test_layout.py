@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from graphspan.operators import superstep, transforms, traversal
 from graphspan.operators.adjacency import adjacency, adjacency_with, along
 from graphspan.operators.fixpoint import Best
+from graphspan.sources import graphs
 
 
 def _sizes(table):
@@ -88,3 +89,31 @@ def test_dense_ids_of_any_ids(spark, spread):
 
 def test_dense_ids_of_no_edges(spark):
     assert transforms.dense_ids(frame(spark, [(1, 2, 3)]).filter("false")).count() == 0
+
+
+def test_a_step_of_few_senders_combines_messages_where_edges_lie(spark, monkeypatch):
+    """Without broadcasts by size: of an edge's two ends the receiver's is read, so no message is shuffled."""
+    from graphspan.operators import fixpoint
+
+    plans, write = [], fixpoint.materialise_with
+
+    def noted(df, *args, **measures):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *args, **measures)
+
+    monkeypatch.setattr(fixpoint, "materialise_with", noted)
+    adj = adjacency(graphs.mesh(spark, 8))
+    best = fixpoint.Best(spark.createDataFrame([(0, 0)], "id long, value long"), ["id"])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        fresh, seen = best.step(best.base, adj, F.col("value") + F.col("w"), most=1)
+        _, more = best.step(fresh, adj, F.col("value") + F.col("w"), most=best.told + 1)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert seen["n"] == 2 and more["n"] == 3
+    assert plans[0].count("Exchange hashpartitioning") == 0 and "BroadcastHashJoin" in plans[0]
+    # a large frontier: senders, messages and earlier changes move, and edges are not sorted
+    assert "ShuffledHashJoin" in plans[1] and "BroadcastHashJoin" not in plans[1]
