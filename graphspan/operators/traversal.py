@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from graphspan.operators.adjacency import adjacency, adjacency_with, only
 from graphspan.operators.fixpoint import Best
 from graphspan.operators.sweeps import double_sweep
-from graphspan.session import discard, materialise, once
+from graphspan.session import discard, materialise, materialise_with, once
 
 
 def default_root(edges: DataFrame) -> int | None:
@@ -74,11 +74,11 @@ def delta_stepping(edges: DataFrame, delta: int, root: int | None = None, log: l
         bucket = nearest // delta
         upto, steps = delta * (bucket + 1), 0
         inside = F.col("value") < upto
-        frontier = materialise(best.lookup(rows.filter(inside)).filter("known = value").select("id", "value"), "frontier")
-        here = [frontier]
+        frontier, seen_here = materialise_with(best.lookup(rows.filter(inside)).filter("known = value").select("id", "value"), "frontier", n=F.count("*"))
+        here, sizes = [frontier], [seen_here["n"]]
 
-        def stepped(senders: DataFrame, along: DataFrame, counter: str) -> tuple[DataFrame, int]:
-            fresh, now = best.step(senders, along, further, inside=F.count(F.when(inside, 1)), top=F.max("value"))
+        def stepped(senders: DataFrame, most: int, along: DataFrame, counter: str) -> tuple[DataFrame, int]:
+            fresh, now = best.step(senders, along, further, most=most, inside=F.count(F.when(inside, 1)), top=F.max("value"))
             log.append((counter, bucket, steps, now["n"]))
             if now["n"] > now["inside"]:
                 waiting.append((fresh, now["top"]))
@@ -86,15 +86,16 @@ def delta_stepping(edges: DataFrame, delta: int, root: int | None = None, log: l
                 best.pinned.append(fresh)
             return fresh, now["inside"]
 
-        while True:
+        while sizes[-1]:  # what waited may all have been improved since
             steps += 1
-            fresh, within = stepped(here[-1], light, "Updated")
+            fresh, within = stepped(here[-1], sizes[-1], light, "Updated")
             if not within:
                 break
             here.append(fresh.filter(inside))
-        if seen["heavy"]:
+            sizes.append(within)
+        if seen["heavy"] and steps:
             steps += 1
-            stepped(_union(here).groupBy("id").agg(F.min("value").alias("value")), heavy, "Heavy")
+            stepped(_union(here).groupBy("id").agg(F.min("value").alias("value")), sum(sizes), heavy, "Heavy")
         waiting = [(t, top) for t, top in waiting if top >= upto]
         if len(waiting) > _WAITING:
             merged = materialise(_union([t for t, _ in waiting]).filter(F.col("value") >= upto).groupBy("id").agg(F.min("value").alias("value")), "waiting")

@@ -117,3 +117,12 @@ def test_a_step_of_few_senders_combines_messages_where_edges_lie(spark, monkeypa
     assert plans[0].count("Exchange hashpartitioning") == 0 and "BroadcastHashJoin" in plans[0]
     # a large frontier: senders, messages and earlier changes move, and edges are not sorted
     assert "ShuffledHashJoin" in plans[1] and "BroadcastHashJoin" not in plans[1]
+
+
+def test_a_bucket_whose_rows_were_all_improved_is_passed_over(spark):
+    """Node 3 waits at 30, beyond the bucket, and is improved to 14 before its bucket comes."""
+    log = []
+    edges = [(0, 1, 4), (0, 3, 30), (1, 2, 5), (2, 3, 5)]
+    found = traversal.delta_stepping(frame(spark, edges), 10, 0, log)
+    assert sorted(map(tuple, found.collect())) == [(0, 0), (1, 4), (2, 9), (3, 14)]
+    assert sorted({bucket for _, bucket, _, _ in log}) == [0, 1]
