@@ -6,7 +6,7 @@ import pytest
 from graphs_for_tests import frame
 from pyspark.sql import functions as F
 
-from graphspan.operators import superstep, transforms, traversal
+from graphspan.operators import cluster, superstep, transforms, traversal
 from graphspan.operators.adjacency import adjacency, adjacency_with, along
 from graphspan.operators.fixpoint import Best
 from graphspan.sources import graphs
@@ -119,6 +119,40 @@ def test_a_step_of_few_senders_combines_messages_where_edges_lie(spark, monkeypa
     assert "ShuffledHashJoin" in plans[1] and "BroadcastHashJoin" not in plans[1]
 
 
+def test_large_frontiers_give_the_same_distances(spark, monkeypatch):
+    from graphspan.operators import fixpoint
+
+    edges = frame(spark, _hubs())
+    centres = spark.createDataFrame([(3,), (70,), (150,)], "id long")
+    each = [lambda: traversal.sssp(edges), lambda: traversal.delta_stepping(edges, 4), lambda: cluster.grow_once(edges, centres), lambda: cluster.clusters(edges, 3)]
+    told = [sorted(map(tuple, f().collect())) for f in each]
+    monkeypatch.setattr(fixpoint, "_TOLD", 0)
+    assert [sorted(map(tuple, f().collect())) for f in each] == told
+
+
+@pytest.mark.parametrize("shift, weight", [(0, 1), (-(10**6), 1), (0, 10**17)])
+def test_nearest_centres_as_numbers_and_as_structs(spark, shift, weight):
+    """The smallest of several nearest centres, whether distance and root fit one number or not."""
+    edges = [(u + shift, v + shift, w * weight) for u, v, w in _hubs(5)]
+    roots = [40 + shift, 3 + shift, 150 + shift]
+    near = {}
+    for u, v, w in edges:
+        near.setdefault(u, []).append((v, w))
+        near.setdefault(v, []).append((u, w))
+    cluster_of = {r: (0, r) for r in roots}
+    todo = list(roots)
+    while todo:
+        a = todo.pop()
+        for b, w in near[a]:
+            told = (cluster_of[a][0] + w, cluster_of[a][1])
+            if b not in cluster_of or told < cluster_of[b]:
+                cluster_of[b] = told
+                todo.append(b)
+
+    found = {r["id"]: (r["distance"], r["root"]) for r in cluster.grow_once(frame(spark, edges), spark.createDataFrame([(r,) for r in roots], "id long")).collect()}
+    assert found == cluster_of
+
+
 def test_a_bucket_whose_rows_were_all_improved_is_passed_over(spark):
     """Node 3 waits at 30, beyond the bucket, and is improved to 14 before its bucket comes."""
     log = []
