@@ -315,3 +315,46 @@ def test_components_of_paths_that_lie_together_take_few_rounds(spark, monkeypatc
     path = spark.range(0, 3000, 1, 4).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.lit(1).cast("long").alias("w"))
     assert connected_components(path).groupBy("component").count().collect() == [(0, 3001)]
     assert len(made) <= 5
+
+
+def test_invariants_ask_for_the_distance_to_the_own_root(spark, monkeypatch):
+    """Node 3 is 6 from its root 0, not 1, and 6 has no path to it; another root is as near as each claims to be."""
+    from graphspan.plans import queries
+
+    edges = [(0, 1, 1), (1, 2, 2), (2, 3, 3), (3, 4, 1), (5, 6, 1)]
+    found = [(0, 0, 0), (1, 0, 1), (2, 0, 3), (3, 0, 1), (4, 4, 0), (5, 5, 0), (6, 0, 1)]
+    monkeypatch.setattr(queries.graphs, "part_supplier", lambda *_: frame(spark, edges))
+    monkeypatch.setattr(queries.cluster, "clusters", lambda *_, **__: spark.createDataFrame(found, "id long, root long, distance long"))
+    assert tuple(queries.QUERIES["cluster_invariants"](spark, "").first()) == (7, 0, 2, 0, 0)
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_distances_under_the_true_ones_match_brute_force(spark, seed):
+    """Right rows whose paths leave their cluster, wrong ones that rest on wrong ones, zero weights, repeats, unknown roots."""
+    import random
+
+    rng = random.Random(seed)
+    edges = sorted({(min(a, b), max(a, b)) for a, b in ((rng.randrange(30), rng.randrange(30)) for _ in range(60)) if a != b})
+    edges = [(u, v, rng.randint(0, 9)) for u, v in edges]
+    far = {}
+    for r in range(30):
+        d, todo = {r: 0}, [r]
+        while todo:
+            x = todo.pop(0)
+            for a, b, w in edges:
+                for p, q in ((a, b), (b, a)):
+                    if p == x and d[x] + w < d.get(q, 10**9):
+                        d[q] = d[x] + w
+                        todo.append(q)
+        far[r] = d
+
+    def found(table):
+        some = cluster.too_near(frame(spark, edges), spark.createDataFrame(table, "id long, root long, distance long"))
+        return sorted((tuple(r) for r in some.collect()), key=str)
+
+    roots = rng.sample(range(30), 4)
+    right = [(i, r, far[r][i] + rng.choice([0, 0, 1])) for i in range(30) for r in [rng.choice(roots)] if i in far[r]]
+    assert found(right) == []
+    table = right + [(i, r, d - 4) for i, r, d in right if r == roots[0]] + [(3, 99, 5), (99, 99, 0), (4, roots[1], -1), (5, roots[2], None)]
+    wrong = [(i, r, d) for i, r, d in table if d is None or d < (0 if i == r else far.get(r, {}).get(i, 10**9))]
+    assert found(table) == sorted(wrong, key=str)
